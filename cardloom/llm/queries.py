@@ -1,8 +1,8 @@
 """The corpus operators' queries and the SQL that checks them, for registration."""
 
-from . import mixing, phrase_dedup, simhash, suffix_dedup, topk, url_rules
+from . import decontaminate, mixing, phrase_dedup, simhash, suffix_dedup, topk, url_rules
 
-_MODULES = (url_rules, simhash, topk, phrase_dedup, suffix_dedup, mixing)
+_MODULES = (url_rules, simhash, decontaminate, topk, phrase_dedup, suffix_dedup, mixing)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
