@@ -5,11 +5,11 @@ has the smallest hash, the rightmost of equals. Equal windows pick the same anch
 stand, so all that can repeat meets under its anchor's hash, with about 2 / (K - k + 2) rows a unit instead of one. The
 windows that share one anchor form its *context*; contexts of equal content form a class.
 
-The work is one Spark job:
+The work:
 
-1. each batch of documents settles the repeats inside it and sends on one row for a class (so a passage that a third of
-   the corpus holds arrives once a batch, not once a document);
-2. windows over the anchor tell which classes repeat as a whole, and which anchors hold several classes;
+1. each batch of documents settles the repeats inside it and sends on one document's rows for a class (so a passage that
+   a third of the corpus holds arrives once a batch, not once a document);
+2. windows over the anchor tell which classes repeat as a whole, and which anchors hold several classes; that is stored;
 3. only for the latter the text of one context a class is fetched, and a resolver finds which of its windows repeat in
    another class. Anchors with more than `most_classes` classes are resolved by grouping the windows' 128-bit hashes
    instead, which needs no group in one task.
@@ -22,7 +22,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ._spark import stored
 from ._text import doc_chunks, string_bytes, words
 
 BASE = 0x9E3779B97F4A7C15
 LOW = np.uint64((1 << 22) - 1)
 PIECE = 1 << 20
-#: Rows of contexts resolved together in a task.
-BUFFER = 20_000
+#: Bytes of contexts resolved together in a task, besides one anchor's.
+BUFFER = 1_500_000
 _TABLES = np.random.default_rng(20_011).integers(1, 2**63, (2, 256), np.uint64)
 
 
@@ -46,14 +46,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for base in (BASE, pow(BASE, -1, 1 << 64)):
-        p = np.full(n, base, np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
+_known_powers: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """At least n powers of the base and of its inverse."""
+    if not _known_powers or len(_known_powers[0]) < n:
+        _known_powers.clear()
+        for base in (BASE, pow(BASE, -1, 1 << 64)):
+            p = np.full(1 << max(16, (n - 1).bit_length()), base, np.uint64)
+            p[0] = 1
+            _known_powers.append(np.multiply.accumulate(p))
+    return _known_powers
 
 
 class PrefixHash:
@@ -61,7 +65,7 @@ class PrefixHash:
 
     def __init__(self, values: np.ndarray):
         n = len(values)
-        self.up, self.down = _powers(1 << max(16, int(n + 1).bit_length()))
+        self.up, self.down = _powers(n + 1)
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(values * self.up[:n], out=self.sums[1:])
 
@@ -137,7 +141,7 @@ class Repeats:
     finish: Callable  # bytes of a document, spans -> a row of the result
     result: pa.Schema
     later_only: bool  # only windows that begin in a smaller document count (else anywhere else)
-    most_classes: int = 4096
+    most_classes: int = 2048
 
 
 def _batch_contexts(spec: Repeats, batch: pa.RecordBatch) -> dict[str, np.ndarray]:
@@ -165,23 +169,18 @@ def _batch_contexts(spec: Repeats, batch: pa.RecordBatch) -> dict[str, np.ndarra
 
 
 def _leading(spec: Repeats) -> Callable:
-    """Rows (anchor, ctx, doc, shape, places, n): one for each class of the batch, of its smallest document."""
+    """Rows (anchor, ctx, doc, place): the contexts of a class in its smallest document of the batch. place holds the
+    anchor's place, the windows furthest and nearest to its left, and whether the batch has the class more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             c = _batch_contexts(spec, batch)
             if not c:
                 continue
-            keep = np.flatnonzero(c["leads"])
-            same = np.zeros(len(keep), bool)
-            same[1:] = (c["anchor"][keep][1:] == c["anchor"][keep][:-1]) & (c["ctx"][keep][1:] == c["ctx"][keep][:-1])
-            row = np.flatnonzero(~same)
-            places = pa.ListArray.from_arrays(pa.array(np.append(row, len(keep)), pa.int32()), pa.array(c["a"][keep]))
-            at = keep[row]
-            shape = ((c["a"] - c["lo"]) * 1024 + (c["a"] - c["hi"]))[at].astype(np.int32)
-            columns = [c["anchor"][at].view(np.int64), c["ctx"][at].view(np.int64), c["doc"][at], shape]
-            columns = [pa.array(x) for x in columns] + [places, pa.array(np.minimum(c["count"][at], 2).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, ["anchor", "ctx", "doc", "shape", "places", "n"])
+            at = np.flatnonzero(c["leads"])
+            place = (((c["a"] << 10) + c["a"] - c["lo"] << 10) + c["a"] - c["hi"])[at] * 2 + (c["count"][at] > 1)
+            columns = [c["anchor"][at].view(np.int64), c["ctx"][at].view(np.int64), c["doc"][at], place]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["anchor", "ctx", "doc", "place"])
 
     return run
 
@@ -215,28 +214,27 @@ def _spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatc
 
 
 def _fetch(spec: Repeats) -> Callable:
-    """Cut the asked contexts out of the texts."""
+    """Cut the asked contexts out of the texts; one row for a class and document, with all its places there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = string_bytes(batch.column("text"))
-            asked = batch.column("asked").to_pylist()
-            out = {k: [] for k in ("anchor", "ctx", "doc", "shape", "places", "hot", "snippet")}
-            for i, (doc, rows) in enumerate(zip(batch.column("doc_id").to_pylist(), asked)):
-                text = data[offsets[i] : offsets[i + 1]]
-                cuts = [(r["places"][0] - r["shape"] // 1024, r["places"][0] - r["shape"] % 1024 + spec.window) for r in rows]
-                for r, snippet in zip(rows, spec.cut_text(text, cuts)):
-                    for k in ("anchor", "ctx", "shape", "places", "hot"):
-                        out[k].append(r[k])
-                    out["doc"].append(doc)
-                    out["snippet"].append(snippet)
+            out = {k: [] for k in _SNIPPETS.names}
+            for i, (doc, asked) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("asked").to_pylist())):
+                classes: dict[tuple, list[int]] = {}
+                for r in asked:
+                    classes.setdefault((r["anchor"], r["ctx"], (r["place"] >> 1) & 0xFFFFF), []).append(r["place"] >> 21)
+                cuts = [(p[0] - (shape >> 10), p[0] - (shape & 1023) + spec.window) for (_, _, shape), p in classes.items()]
+                for (anchor, _, shape), places, snippet in zip(classes, classes.values(), spec.cut_text(data[offsets[i] : offsets[i + 1]], cuts)):
+                    for k, v in (("anchor", anchor), ("doc", doc), ("shape", shape), ("places", places), ("snippet", snippet)):
+                        out[k].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=_SNIPPETS)
 
     return run
 
 
-_SNIPPETS = pa.schema({"anchor": pa.int64(), "ctx": pa.int64(), "doc": pa.int64(), "shape": pa.int32(), "places": pa.list_(pa.int64()), "hot": pa.bool_(), "snippet": pa.binary()})
-_SNIPPET_DDL = "anchor long, ctx long, doc long, shape int, places array<long>, hot boolean, snippet binary"
+_SNIPPETS = pa.schema({"anchor": pa.int64(), "doc": pa.int64(), "shape": pa.int32(), "places": pa.list_(pa.int64()), "snippet": pa.binary()})
+_SNIPPET_DDL = "anchor long, doc long, shape int, places array<long>, snippet binary"
 
 
 def _resolving(spec: Repeats) -> Callable:
@@ -248,15 +246,14 @@ def _resolving(spec: Repeats) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[dict] = []
+        held = 0
         for batch in batches:
-            rows += batch.to_pylist()
-            if len(rows) >= BUFFER:
-                last = len(rows)
-                while last and rows[last - 1]["anchor"] == rows[-1]["anchor"]:
-                    last -= 1
-                if last:
-                    yield out(rows[:last])
-                    rows = rows[last:]
+            for row in batch.to_pylist():
+                if held >= BUFFER and row["anchor"] != rows[-1]["anchor"]:
+                    yield out(rows)
+                    rows, held = [], 0
+                rows.append(row)
+                held += len(row["snippet"])
         if rows:
             yield out(rows)
 
@@ -306,25 +303,40 @@ def remove_repeats(docs: DataFrame, spec: Repeats, ddl: str, id_col: str, text_c
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     known = texts.where("doc_id is not null")
     settled = known.mapInArrow(_settled(spec), "doc long, start long, end long")
-    leading = known.mapInArrow(_leading(spec), "anchor long, ctx long, doc long, shape int, places array<long>, n int")
+    leading = known.mapInArrow(_leading(spec), "anchor long, ctx long, doc long, place long")
 
     by_class = W.partitionBy("anchor", "ctx")
-    seen = leading.repartition("anchor").withColumns({"first": F.min("doc").over(by_class), "total": F.sum("n").over(by_class), "rank": F.row_number().over(by_class.orderBy("doc"))})
-    repeats = F.col("doc") > F.col("first") if spec.later_only else F.col("total") > 1
-    seen = seen.withColumn("repeats", repeats).withColumn("classes", F.sum(F.when(F.col("rank") == 1, 1).otherwise(0)).over(W.partitionBy("anchor")))
-    whole = seen.where("repeats").select("doc", "shape", F.explode("places").alias("a")).select(
-        "doc", F.expr("a - shape div 1024").alias("start"), F.expr(f"a - shape % 1024 + {spec.window}").alias("end")
-    )
-    one_each = F.col("doc") == F.col("first") if spec.later_only else F.col("rank") == 1
-    asked = seen.where(one_each & (F.col("classes") > 1)).groupBy("doc").agg(
-        F.collect_list(F.struct("anchor", "ctx", "shape", "places", (F.col("classes") > spec.most_classes).alias("hot"))).alias("asked")
+    rank = F.row_number().over(by_class.orderBy("doc", "place"))
+    seen = leading.repartition("anchor").withColumn("rank", rank)
+    if spec.later_only:
+        first = F.min("doc").over(by_class)
+        seen = seen.withColumns({"repeats": F.col("doc") > first, "stands": F.col("doc") == first})
+    else:
+        seen = seen.withColumns({"repeats": F.sum(1 + F.col("place") % 2).over(by_class) > 1, "stands": F.col("rank") == 1})
+    seen = seen.withColumn("classes", F.sum((F.col("rank") == 1).cast("int")).over(W.partitionBy("anchor")))
+    asks = F.col("stands") & (F.col("classes") > 1)
+    verdicts = stored(
+        seen.withColumn("asks", asks).where("repeats or asks").select(
+            "doc", "place", "repeats", "asks", (F.col("classes") > spec.most_classes).alias("hot"), F.when(asks, F.col("anchor")).alias("anchor"), F.when(asks, F.col("ctx")).alias("ctx")
+        )
     )
-    snippets = known.join(asked, known["doc_id"] == asked["doc"]).select("doc_id", "text", "asked").mapInArrow(_fetch(spec), _SNIPPET_DDL)
-    some = snippets.where("not hot").repartition("anchor").sortWithinPartitions("anchor", "doc").mapInArrow(_resolving(spec), "doc long, start long, end long")
-    rows = snippets.where("hot").mapInArrow(_window_rows(spec), "one long, two long, doc long, start long")
-    known_windows = rows.groupBy("one", "two").agg(F.min("doc").alias("first"), F.count("*").alias("total"))
-    hot = rows.join(known_windows, ["one", "two"]).where(repeats).select("doc", "start", (F.col("start") + spec.window).alias("end"))
+    left, right = F.shiftright("place", 11).bitwiseAND(1023), F.shiftright("place", 1).bitwiseAND(1023)
+    at = F.shiftright("place", 21)
+    whole = verdicts.where("repeats").select("doc", (at - left).alias("start"), (at - right + spec.window).alias("end"))
+
+    def snippets(which: str) -> DataFrame:
+        asked = verdicts.where(f"asks and {which}").groupBy("doc").agg(F.collect_list(F.struct("anchor", "ctx", "place")).alias("asked"))
+        return known.join(asked, known["doc_id"] == asked["doc"]).select("doc_id", "text", "asked").mapInArrow(_fetch(spec), _SNIPPET_DDL)
+
+    some = snippets("not hot").repartition("anchor").sortWithinPartitions("anchor", "doc").mapInArrow(_resolving(spec), "doc long, start long, end long")
+    spans = settled.unionByName(whole).unionByName(some)
+    if not verdicts.where("asks and hot").isEmpty():
+        rows = snippets("hot").mapInArrow(_window_rows(spec), "one long, two long, doc long, start long")
+        known_windows = rows.groupBy("one", "two").agg(F.min("doc").alias("first"), F.count("*").alias("total"))
+        again = F.col("doc") > F.col("first") if spec.later_only else F.col("total") > 1
+        spans = spans.unionByName(rows.join(known_windows, ["one", "two"]).where(again).select("doc", "start", (F.col("start") + spec.window).alias("end")))
 
-    spans = settled.unionByName(whole).unionByName(some).unionByName(hot)
     spans = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return texts.join(spans, texts["doc_id"] == spans["doc"], "left").select("doc_id", "text", "spans").mapInArrow(_finishing(spec), ddl)
+    done = known.join(spans, known["doc_id"] == spans["doc"], "left").select("doc_id", "text", "spans")
+    rest = texts.where("doc_id is null").withColumn("spans", F.lit(None).cast("array<struct<start:bigint,end:bigint>>"))
+    return done.unionByName(rest).mapInArrow(_finishing(spec), ddl)

@@ -85,7 +85,7 @@ def _finish(text: np.ndarray, spans: np.ndarray) -> dict:
     return {"n_words": len(starts), "n_removed": int(gone.sum()), "kept_text": kept.decode("utf-8"), "kept_sha256": hashlib.sha256(kept).hexdigest()}
 
 
-def remove_repeated_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, most_classes: int = 4096, with_text: bool = True) -> DataFrame:
+def remove_repeated_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, most_classes: int = 2048, with_text: bool = True) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256 and, if asked, kept_text) for each row.
 
     A word is removed if a window of `window` words covers it that also starts in a document with a smaller id; windows

@@ -179,7 +179,7 @@ def _finish(text: np.ndarray, spans: np.ndarray) -> dict:
     return {"n_bytes": len(text), "n_removed": int(gone.sum()), "n_spans": runs, "kept": kept, "kept_sha256": hashlib.sha256(kept).hexdigest()}
 
 
-def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, most_classes: int = 4096, with_text: bool = True) -> DataFrame:
+def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, most_classes: int = 2048, with_text: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked, kept) for each row; kept is what is left of the
     UTF-8 bytes, which may begin or end inside a character.
 
