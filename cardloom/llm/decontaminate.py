@@ -129,6 +129,8 @@ class Items:
         last = np.minimum(last, len(pos) - 1)
         ok &= (size[last] == size) & (pos[last] - pos < width)
         at = np.flatnonzero(ok)
+        if not len(at):
+            return
         low, high = pos[last[at]] - width[at] + 1, pos[at]
         doc = np.searchsorted(bounds, high, "right") - 1
         low = np.maximum(low, bounds[doc])
