@@ -26,7 +26,7 @@ def parse_date(c: Column | str) -> Column:
     """The first of DATE_FORMATS that reads the text; null if none does."""
     text = strip(F.regexp_replace(col(c).cast("string"), r"[ T]\d{1,2}:\d{2}(:\d{2})?.*$", ""))
     shapes = {"MM/dd/yyyy": r"^\d{2}/\d{2}/\d{4}$", "M/d/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$", "MM/dd/yy": r"^\d{2}/\d{2}/\d{2}$", "M/d/yy": r"^\d{1,2}/\d{1,2}/\d{2}$"}
-    tries = [F.when(text.rlike(shapes[f]), F.try_to_date(text, F.lit(f))) if f in shapes else F.try_to_date(text, F.lit(f)) for f in DATE_FORMATS]
+    tries = [F.when(text.rlike(shapes[f]), F.try_to_date(text, f)) if f in shapes else F.try_to_date(text, f) for f in DATE_FORMATS]
     return F.coalesce(*tries)
 
 
@@ -36,7 +36,7 @@ def parse_month_day(c: Column | str) -> Column:
     month, day = (F.regexp_extract(text, r"^(\d{1,2})/(\d{1,2})$", i).try_cast("int") for i in (1, 2))
     numeric = F.when(month.between(1, 12) & day.between(1, 31), F.struct(month.alias("month"), day.alias("day")))
     short = F.initcap(F.regexp_replace(text, r"^([A-Za-z]{3})[A-Za-z]*\.?\s+(\d{1,2})$", "$1 $2"))
-    named = F.try_to_date(F.concat(short, F.lit(" 2024")), F.lit("MMM d yyyy"))
+    named = F.try_to_date(F.concat(short, F.lit(" 2024")), "MMM d yyyy")
     return F.coalesce(numeric, F.when(named.isNotNull(), F.struct(F.month(named).alias("month"), F.dayofmonth(named).alias("day"))))
 
 

@@ -21,7 +21,7 @@ def available_months(ledger: DataFrame) -> DataFrame:
 
 def prior_month(month: Column | str) -> Column:
     month = F.col(month) if isinstance(month, str) else month
-    return F.date_format(F.add_months(F.try_to_date(F.concat(month, F.lit("-01")), F.lit("yyyy-MM-dd")), -1), "yyyy-MM")
+    return F.date_format(F.add_months(F.try_to_date(F.concat(month, F.lit("-01")), "yyyy-MM-dd"), -1), "yyyy-MM")
 
 
 def holder() -> Column:
