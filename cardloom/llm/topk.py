@@ -113,7 +113,7 @@ class Shard:
                     width = int((scores >= edge).sum(axis=1).max())
                     part = np.argsort(~(scores >= edge), axis=1, kind="stable")[:, :width]
                     scores, ids = np.take_along_axis(scores, part, 1), np.take_along_axis(ids, part, 1)
-                keep = np.lexsort((ids, -scores), axis=1)[:, :k]
+                keep = np.lexsort((ids, ~scores), axis=1)[:, :k]  # ~ falls as scores rise, without overflow
                 best[q], best_id[q] = np.take_along_axis(scores, keep, 1), np.take_along_axis(ids, keep, 1)
                 better = (best[q, -1] > kth[q]) | ((best[q, -1] == kth[q]) & (best_id[q, -1] < kth_id[q]))
                 kth[q[better]], kth_id[q[better]] = best[q[better], -1], best_id[q[better], -1]
