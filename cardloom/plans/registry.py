@@ -8,8 +8,9 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import parse, text
 from ..operators import classify, cluster, coverage, identity, ledgerqa, maintenance, merchants, overview, proposals, recurring, reports
+from ..sources import documents, statements
 from . import testledger as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -209,10 +210,10 @@ rec AS (SELECT normalized_merchant, n AS occurrences, av, sd, gap, (sd / av < 0.
 """
 
 
-@query(_RECURRING + "SELECT normalized_merchant, CAST(occurrences AS BIGINT) AS occurrences, round(av, 2) AS avg_amount, round(gap, 1) AS median_gap_days, is_recurring, category FROM rec")
+@query(_RECURRING + "SELECT normalized_merchant, CAST(occurrences AS BIGINT) AS occurrences, round(gap, 1) AS median_gap_days, is_recurring, category FROM rec")
 def recurring_merchants(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = recurring.recurring(t.ledger(spark, sf_dir))
-    return found.select("normalized_merchant", "occurrences", "avg_amount", "median_gap_days", "is_recurring", "category")
+    return found.select("normalized_merchant", "occurrences", "median_gap_days", "is_recurring", "category")
 
 
 @query(_RECURRING + "SELECT normalized_merchant FROM rec WHERE is_recurring")
@@ -534,3 +535,79 @@ def apply_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rollback_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     queue = _queue(spark, sf_dir).withColumns({"status": F.lit("accepted"), "batch_id": F.lit("batch-1")})
     return proposals.rollback_proposals(queue, "batch-1", "2026-01-03T00:00:00").groupBy("status").agg(F.count("*").alias("n"))
+
+
+# --- statement text ---------------------------------------------------------------------------------------------------
+
+
+def _statement_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each derived document written out as a CSV export with debit and credit columns; every seventh also a second time."""
+    rows = t.raw(spark, sf_dir)
+    quoted = F.concat(F.lit('"'), "raw_description", F.lit('"'))
+    money = F.abs("amount").cast("string")
+    line = F.concat_ws(",", F.date_format("posted_date", "MM/dd/yyyy"), quoted, F.when(F.col("amount") >= 0, money).otherwise(""), F.when(F.col("amount") < 0, money).otherwise(""))
+    lines = rows.groupBy("source_document_id").agg(F.array_sort(F.collect_list(F.struct("source_row", line.alias("line")))).alias("lines"))
+    body = F.concat(F.lit("Date,Description,Debit,Credit\n"), F.array_join(F.transform("lines", lambda r: r["line"]), "\n"))
+    docs = lines.select(F.col("source_document_id").alias("card"), body.alias("body"), F.explode(F.sequence(F.lit(0), F.when(F.crc32("source_document_id") % 7 == 0, 1).otherwise(0))).alias("copy"))
+    content = F.encode("body", "UTF-8")
+    return docs.select(
+        F.sha2(content, 256).alias("document_id"), F.concat("card", F.col("copy").cast("string")).alias("card"), F.lit(False).alias("at_root"), F.concat("card", F.lit("/"), "copy", F.lit(".csv")).alias("source_file"),
+        F.lit("csv").alias("suffix"), content.alias("content"), F.lit(None).cast("string").alias("card_issuer"), F.lit(None).cast("string").alias("card_product"),
+    )
+
+
+@query("SELECT posted_date, CAST(amount AS DOUBLE) AS amount, CAST(count(*) AS BIGINT) AS rows FROM raw GROUP BY ALL")
+def parse_csv_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents.route_documents(documents.dedupe_documents(_statement_documents(spark, sf_dir)))
+    rows, _ = statements.parse_csv_statements(docs)
+    return rows.groupBy("posted_date", F.col("amount").cast("double").alias("amount")).agg(F.count("*").alias("rows"))
+
+
+@query("SELECT coalesce(status, 'parse') AS status, CAST(count(*) AS BIGINT) AS documents FROM (SELECT DISTINCT source_document_id, NULL AS status FROM raw) GROUP BY 1")
+def dedupe_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents left to parse after identical copies are marked."""
+    docs = documents.route_documents(documents.dedupe_documents(_statement_documents(spark, sf_dir)))
+    return docs.where("status is null").groupBy(F.coalesce("status", F.lit("parse")).alias("status")).agg(F.count("*").alias("documents"))
+
+
+@query("SELECT source_document_id, source_row, CAST(amount AS DOUBLE) AS amount FROM raw")
+def parse_amount_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts written as $1,234.50, (1,234.50) or 1,234.50-, read back."""
+    shown = F.format_number(F.abs("amount"), 2)
+    text_ = F.when(F.col("amount") >= 0, F.concat(F.lit("$"), shown)).when(F.col("source_row") % 2 == 0, F.concat(F.lit("("), shown, F.lit(")"))).otherwise(F.concat(shown, F.lit("-")))
+    return t.raw(spark, sf_dir).select("source_document_id", "source_row", parse.parse_amount(text_).cast("double").alias("amount"))
+
+
+@query("SELECT source_document_id, source_row, posted_date FROM raw")
+def parse_date_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates written in three forms, read back."""
+    form = [F.date_format("posted_date", f) for f in ("MM/dd/yyyy", "yyyy-MM-dd", "MMM d, yyyy")]
+    text_ = F.when(F.col("source_row") % 3 == 0, form[0]).when(F.col("source_row") % 3 == 1, form[1]).otherwise(form[2])
+    return t.raw(spark, sf_dir).select("source_document_id", "source_row", parse.parse_date(text_).alias("posted_date"))
+
+
+@query("SELECT source_document_id, source_row, posted_date FROM raw")
+def resolve_cycle_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Month and day alone, put back into a billing cycle of 28 days around the date."""
+    rows = t.raw(spark, sf_dir).withColumn("p", parse.parse_month_day(F.date_format("posted_date", "M/d")))
+    start = F.date_sub("posted_date", (F.col("source_row") % 28).cast("int"))
+    return rows.select("source_document_id", "source_row", parse.resolve_cycle_date(F.col("p.month"), F.col("p.day"), start, F.date_add(start, 27)).alias("posted_date"))
+
+
+@query("SELECT source_document_id AS document_id, posted_date, CAST(abs(amount) AS DOUBLE) AS amount, raw_description FROM raw GROUP BY ALL")
+def parse_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of date, description and amount, equal ones of a document once."""
+    line = F.concat_ws("  ", F.date_format("posted_date", "MM/dd/yyyy"), "raw_description", F.concat(F.lit("$"), F.format_number(F.abs("amount"), 2)))
+    lines = t.raw(spark, sf_dir).select(F.col("source_document_id").alias("document_id"), F.col("source_row").alias("line_no"), line.alias("text"))
+    return statements.parse_text_lines(lines).select("document_id", "posted_date", F.col("amount").cast("double").alias("amount"), "raw_description")
+
+
+@query("SELECT DISTINCT card_issuer, card_product, (card_issuer, coalesce(card_product, '')) NOT IN (SELECT (issuer, product) FROM products) AND card_issuer IN (SELECT issuer FROM products) AS outside FROM raw")
+def products_outside_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issuer and product pairs of the ledger that the product vocabulary lacks (issuers renamed to ones it can know)."""
+    names = {"BUILDING": "Chase", "AUTOMOBILE": "Wells Fargo"}
+    pairs = [F.lit(x) for p in names.items() for x in p]
+    rows = t.raw(spark, sf_dir).select("card_issuer", "card_product").distinct()
+    vocabulary = t.products(spark).withColumn("issuer", F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("issuer")), "issuer"))
+    found = documents.resolve_product(rows.withColumn("issuer", F.try_element_at(F.create_map(*pairs), F.col("card_issuer"))), vocabulary, "issuer", "card_product")
+    return found.select("card_issuer", "card_product", F.col("needs_selection").alias("outside"))
