@@ -63,19 +63,20 @@ def embed(windows: np.ndarray, tables: int) -> np.ndarray:
     """Samples (row, table) of the CGK embeddings of windows (rows of word hashes; 0 is past the end)."""
     count, n = windows.shape
     rng = np.random.default_rng(n)
-    out = np.zeros((count, tables), np.uint64)
-    rows = np.arange(count)
-    padded = np.concatenate((windows, np.zeros((count, 1), np.uint64)), axis=1)
+    sampled = np.zeros((tables, 2 * n), bool)
     for t in range(tables):
-        sampled = np.sort(rng.choice(2 * n, SAMPLED, replace=False))
-        salts = rng.integers(1, 2**63, 2 * n, np.uint64)
-        at = np.zeros(count, np.int64)
-        for j in range(int(sampled[-1]) + 1):
-            word = padded[rows, at]
-            if j in sampled:
-                out[:, t] = mix(out[:, t] * _STEP + word + np.uint64(1))
-            at = np.minimum(at + ((word ^ salts[j]) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(63)).astype(np.int64), n)
-    return out
+        sampled[t, rng.choice(2 * n, SAMPLED, replace=False)] = True
+    salts = rng.integers(1, 2**63, (2 * n, tables, 1), np.uint64)
+    flat = np.concatenate((windows, np.zeros((count, 1), np.uint64)), axis=1).ravel()
+    base = np.arange(count) * (n + 1)
+    out, at = np.zeros((tables, count), np.uint64), np.zeros((tables, count), np.int64)
+    for j in range(int(np.flatnonzero(sampled.any(axis=0))[-1]) + 1):  # all tables walk at once
+        word = flat[base + at]
+        use = np.flatnonzero(sampled[:, j])
+        if len(use):
+            out[use] = mix(out[use] * _STEP + word[use] + np.uint64(1))
+        at = np.minimum(at + ((word ^ salts[j]) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(63)).astype(np.int64), n)
+    return out.T
 
 
 class Items:
@@ -146,8 +147,8 @@ class Items:
             n, e = int(self.sizes[k]), int(self.edits[k])
             row = np.searchsorted(bounds, starts, "right") - 1
             ends = bounds[row + 1]
-            for s in range(0, len(starts), 4096):
-                part, end = starts[s : s + 4096], ends[s : s + 4096]
+            for s in range(0, len(starts), 1024):
+                part, end = starts[s : s + 1024], ends[s : s + 1024]
                 index = part[:, None] + np.arange(n + e)
                 stretch = np.where(index < end[:, None], w[np.minimum(index, len(w) - 1)], np.uint64(0))
                 samples = embed(stretch[:, :n], self.tables)
