@@ -286,11 +286,14 @@ def train(docs: DataFrame, text_col: str = "text", rows: int = FIT_ROWS) -> Fiel
     count = some.count()
     drawn = some.select(key.alias("h"), "text").where(F.pmod("h", F.lit(1_000_000)) < int(1_000_000 * min(1.0, rows / max(1, count))) + 1)
     found = drawn.mapInArrow(label, ddl).orderBy("h", F.col("facts").cast("string"), F.col("tags").cast("string")).limit(10 * rows).collect()
-    chains = [(tuple(r["facts"]), list(r["tags"])) for r in found]
+    own = []
     for row in LABELLED:
         text, spans = _marked(row)
-        chains += [(tuple(_facts(text[a:b]) for a, b in run), _tags(run, spans)) for run in stretches(text)] * 5
-    return Field(chains)
+        own += [(tuple(_facts(text[a:b]) for a, b in run), _tags(run, spans)) for run in stretches(text)]
+    # The patterns' silence on a stretch that the table marks is no label: finding those is what the field is for.
+    marked = {facts for facts, tags in own if any(tags)}
+    chains = [(tuple(r["facts"]), list(r["tags"])) for r in found]
+    return Field([c for c in chains if any(c[1]) or c[0] not in marked] + own * 5)
 
 
 def find_spans(texts: list[str | None], field: Field, known: dict) -> list[tuple[list, list]]:
