@@ -83,8 +83,8 @@ def scan_licenses(files: DataFrame, templates: DataFrame, id_col: str, path_col:
     lengths = vectors.groupBy("template").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("length"))
     vectors = small(stored(vectors.join(lengths, "template").select("license", "template", "term", (F.col("weight") / F.col("length")).alias("unit"))))
 
-    passages = rows.where(F.col("text").rlike(key)).select("row1", "row2", F.length("text").alias("whole"), F.explode(F.split("text", begin)).alias("passage"))
-    passages = passages.where(F.col("passage").rlike(key)).select("row1", "row2", "whole", F.length("passage").alias("size"), F.lower("passage").alias("passage"))
+    passages = rows.where(F.col("text").rlike(key)).select("row1", "row2", F.length("text").alias("whole"), F.posexplode(F.split("text", begin)).alias("pos", "passage"))
+    passages = passages.where(F.col("passage").rlike(key)).select("row1", "row2", "whole", "pos", F.length("passage").alias("size"), F.lower("passage").alias("passage"))
     passages = passages.withColumn("mark", F.md5("passage"))
     distinct = passages.groupBy("mark").agg(F.first("passage").alias("passage"))
     counted = distinct.select("mark", F.explode(terms(F.col("passage"))).alias("term")).groupBy("mark", "term").agg(F.count("*").alias("tf"))
@@ -94,7 +94,9 @@ def scan_licenses(files: DataFrame, templates: DataFrame, id_col: str, path_col:
     near = matched.join(size, "mark").withColumn("score", F.round(F.least(F.col("dot") / F.col("length"), F.lit(1.0)), 9)).where(F.col("score") >= threshold)
     best = near.groupBy("mark").agg(F.min(F.struct((-F.col("score")).alias("back"), "license")).alias("b"))
 
-    own = passages.join(best, "mark").groupBy("row1", "row2").agg(F.min("b").alias("b"), (F.sum("size") / F.first("whole")).alias("share"))
+    # Equal rows bring each passage as often as there are copies; the share is of one of them.
+    copies = F.count("*") / F.size(F.collect_set("pos"))
+    own = passages.join(best, "mark").groupBy("row1", "row2").agg(F.min("b").alias("b"), (F.sum("size") / copies / F.first("whole")).alias("share"))
     own = stored(own.select("row1", "row2", F.col("b.license").alias("license"), (-F.col("b.back")).alias("score"), "share"))
     judged = rows.select("id", "path", "row1", "row2").join(own, ["row1", "row2"], "left")
     by_name = F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False))
