@@ -135,8 +135,11 @@ def top_k(vectors: DataFrame, every: int, k: int = K, id_col: str = "vec_id", ve
         "id is not null and v is not null and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity'))"
     )
     clean = stored(clean.select("id", F.transform("v", lambda x: F.floor(x * float(scale)).cast("double")).alias("v")))
-    total, wide = clean.agg(F.count("*"), F.max(F.size("v"))).first()
+    total, wide, narrow = clean.agg(F.count("*"), F.max(F.size("v")), F.min(F.size("v"))).first()
     wide = max(1, wide or 1)
+    # Of equal vectors only the k + 1 smallest ids can be among anyone's best k; the rest of a large group never gathers.
+    equal = W.partitionBy("v").orderBy("id")
+    candidates = clean.withColumn("place", F.dense_rank().over(equal)).where(F.col("place") <= k + 1).drop("place")
 
     def matrix(column: pd.Series) -> np.ndarray:
         out = np.zeros((len(column), wide))
@@ -153,20 +156,18 @@ def top_k(vectors: DataFrame, every: int, k: int = K, id_col: str = "vec_id", ve
             if len(b):
                 yield b.assign(shard=leaf_of(tree.value, matrix(b["v"])))
 
-    dealt = stored(clean.mapInPandas(deal, "id long, v array<double>, shard long"))
+    dealt = stored(candidates.mapInPandas(deal, "id long, v array<double>, shard long"))
     # Tight boxes of the shards, a row for each of at most MOST_SHARDS * 2.
     flat = dealt.select("shard", F.posexplode("v").alias("d", "x")).groupBy("shard", "d").agg(F.min("x").alias("low"), F.max("x").alias("high")).toPandas()
     names = np.sort(flat["shard"].unique())
     low, high = np.zeros((len(names), wide)), np.zeros((len(names), wide))
     at = (np.searchsorted(names, flat["shard"].to_numpy()), flat["d"].to_numpy())
     low[at], high[at] = flat["low"].to_numpy(), flat["high"].to_numpy()
-    if not (total and flat["d"].count() == len(names) * wide):  # some vectors are filled up with zeros
+    if narrow != wide:  # some vectors are filled up with zeros
         low, high = np.minimum(low, 0), np.maximum(high, 0)
     boxes = spark.sparkContext.broadcast((names, low, high))
 
-    queries = dealt.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("q"))
-    blocks = max(1, -(-queries.count() // BLOCK))
-    queries = queries.withColumn("block", F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(blocks)).cast("int"))
+    queries = clean.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("q"))
 
     def choose(first: bool):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -193,23 +194,24 @@ def top_k(vectors: DataFrame, every: int, k: int = K, id_col: str = "vec_id", ve
         i, found, score = shard.search(ids, matrix(q["q"]), k, q["kth"].to_numpy(np.int64), q["kth_id"].to_numpy(np.int64))
         return pd.DataFrame({"query_id": ids[i], "vec_id": found, "score": score})
 
-    every_block = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
     def in_shards(asked: DataFrame) -> DataFrame:
-        # A shard is searched only where a block of queries reaches it.
-        both = every_block.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block"))
+        # A shard's vectors are sent once for each block of queries that reach it, and not at all where none does.
+        blocks = asked.groupBy("shard").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        blocks = F.broadcast(stored(blocks))  # a row a shard
+        x = dealt.join(blocks, "shard").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+        q = asked.join(blocks, "shard").withColumn("block", F.pmod(F.xxhash64(F.lit(3), "id"), F.col("blocks")).cast("int")).drop("blocks")
+        both = x.groupBy("shard", "block").cogroup(q.groupBy("shard", "block"))
         return both.applyInPandas(lambda key, x, q: search(key, x, q) if len(x) and len(q) else search_none(), "query_id long, vec_id long, score long")
 
     def search_none() -> pd.DataFrame:
         return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})
 
-    columns = "id long, q array<double>, block int"
-    asked_ddl = f"{columns}, kth long, kth_id long, shard long"
+    asked_ddl = "id long, q array<double>, kth long, kth_id long, shard long"
     first = stored(in_shards(queries.mapInPandas(choose(True), asked_ddl)))
     worst = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min(F.struct("score", (-F.col("vec_id")).alias("back"))).alias("w"))
     full = F.col("n") >= k
     told = queries.join(worst, queries["id"] == worst["query_id"], "left").select(
-        "id", "q", "block", F.when(full, F.col("w.score")).otherwise(F.lit(_NONE)).alias("kth"), F.when(full, -F.col("w.back")).otherwise(F.lit(2**63 - 1)).alias("kth_id")
+        "id", "q", F.when(full, F.col("w.score")).otherwise(F.lit(_NONE)).alias("kth"), F.when(full, -F.col("w.back")).otherwise(F.lit(2**63 - 1)).alias("kth_id")
     )
     rest = in_shards(told.mapInPandas(choose(False), asked_ddl))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
