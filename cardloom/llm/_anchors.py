@@ -298,9 +298,16 @@ def covered(length: int, spans: np.ndarray) -> np.ndarray:
     return np.cumsum(steps[:length]) > 0
 
 
-def remove_repeats(docs: DataFrame, spec: Repeats, ddl: str, id_col: str, text_col: str) -> DataFrame:
-    """One row a document: what `spec.finish` makes of its text and the spans to remove."""
+def remove_repeats(docs: DataFrame, spec: Repeats, ddl: str, id_col: str, text_col: str, scan: bool) -> DataFrame:
+    """One row a document: what `spec.finish` makes of its text and the spans to remove.
+
+    What repeats inside a batch is found in one pass and left out of another, so both must see the same batches. A scan of
+    files gives them in the same order each time; anything else (`scan` false), such as what a shuffle brings, is written
+    to the shared folder first.
+    """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    if not scan:
+        texts = stored(texts)
     known = texts.where("doc_id is not null")
     settled = known.mapInArrow(_settled(spec), "doc long, start long, end long")
     leading = known.mapInArrow(_leading(spec), "anchor long, ctx long, doc long, place long")

@@ -85,23 +85,24 @@ def _finish(text: np.ndarray, spans: np.ndarray) -> dict:
     return {"n_words": len(starts), "n_removed": int(gone.sum()), "kept_text": kept.decode("utf-8"), "kept_sha256": hashlib.sha256(kept).hexdigest()}
 
 
-def remove_repeated_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, most_classes: int = 2048, with_text: bool = True) -> DataFrame:
+def remove_repeated_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, most_classes: int = 2048, with_text: bool = True, scan: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256 and, if asked, kept_text) for each row.
 
     A word is removed if a window of `window` words covers it that also starts in a document with a smaller id; windows
     are judged on the input. Null and empty texts have no words. A row without doc_id comes back whole and is no source.
-    Rows that repeat a doc_id and its text get equal results. Other columns are left out; no rows give no rows.
+    Rows that repeat a doc_id and its text get equal results. Other columns are left out; no rows give no rows. `scan` says that
+    docs only reads files, which needs no copy of the texts.
     """
     fields = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string()} | ({"kept_text": pa.string()} if with_text else {})
     finish = _finish if with_text else lambda text, spans: {k: v for k, v in _finish(text, spans).items() if k != "kept_text"}
     spec = Repeats(window, min(GRAM, window), word_units, _cut, _resolver(window), _hasher(window), finish, pa.schema(fields), True, most_classes)
     ddl = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
-    return remove_repeats(docs, spec, ddl, id_col, text_col)
+    return remove_repeats(docs, spec, ddl, id_col, text_col, scan)
 
 
 def op7_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document left after repeated 13-word phrases are removed, as counts and a digest."""
-    return remove_repeated_phrases(table(spark, sf_dir, "documents"), with_text=False)
+    return remove_repeated_phrases(table(spark, sf_dir, "documents"), with_text=False, scan=True)
 
 
 QUERIES = {"op7_phrase_automata": op7_phrase_automata}

@@ -179,25 +179,26 @@ def _finish(text: np.ndarray, spans: np.ndarray) -> dict:
     return {"n_bytes": len(text), "n_removed": int(gone.sum()), "n_spans": runs, "kept": kept, "kept_sha256": hashlib.sha256(kept).hexdigest()}
 
 
-def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, most_classes: int = 2048, with_text: bool = True) -> DataFrame:
+def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, most_classes: int = 2048, with_text: bool = True, scan: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked, kept) for each row; kept is what is left of the
     UTF-8 bytes, which may begin or end inside a character.
 
     A byte is removed if a string of `window` bytes covers it that also starts anywhere else, the same document
     included; matches stay inside a document and are judged on the input. Null texts count as empty. A row without
     doc_id comes back whole and is no source. Rows that repeat a doc_id and its text count as two places and get equal
-    results. Other columns are left out; no rows give no rows. `window` is at most 1023.
+    results. Other columns are left out; no rows give no rows. `scan` says that
+    docs only reads files, which needs no copy of the texts. `window` is at most 1023.
     """
     fields = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()} | ({"kept": pa.binary()} if with_text else {})
     finish = _finish if with_text else lambda text, spans: {k: v for k, v in _finish(text, spans).items() if k != "kept"}
     spec = Repeats(window, max(1, window // 2), byte_units, lambda t, cuts: [t[a:b].tobytes() for a, b in cuts], _resolver(window), _hasher(window), finish, pa.schema(fields), False, most_classes)
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
-    return remove_repeats(docs, spec, ddl, id_col, text_col)
+    return remove_repeats(docs, spec, ddl, id_col, text_col, scan)
 
 
 def op8_suffix_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of each document left after repeated 400-byte strings are removed, as counts and a digest."""
-    return remove_repeated_strings(table(spark, sf_dir, "documents"), with_text=False)
+    return remove_repeated_strings(table(spark, sf_dir, "documents"), with_text=False, scan=True)
 
 
 QUERIES = {"op8_suffix_sort": op8_suffix_sort}
