@@ -30,6 +30,10 @@ def _digest(*parts: Column | str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(SEED), *parts))
 
 
+def size_in_words(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """(key, source_size, target) of each source of `sizes` (key, source_size): the weights repeat in key order and share
     `share` times all sizes; a target stops at `most` times its source's size and the excess is shared anew.
@@ -84,7 +88,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sized = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
         F.coalesce(F.concat(F.lit("s"), source_col), F.lit("z")).alias("key"),  # null last
-        F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        size_in_words(F.col(text_col)).alias("size"),
         mark.alias("mark"),
     ).withColumns({"block": part(1), "sub": part(3)})
     sized = stored(sized)

@@ -117,7 +117,8 @@ def test_phrases_equal_brute_force(spark, most_classes):
         gone = {j for k in range(len(w) - 12) if first[tuple(w[k : k + 13])] < doc for j in range(k, k + 13)}
         kept = " ".join(x for j, x in enumerate(w) if j not in gone)
         want[doc] = (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest(), kept)
-    found = phrase_dedup.remove_repeated_phrases(docs(spark, rows), most_classes=most_classes).collect()
+    shuffled = docs(spark, rows).repartition(3)
+    found = phrase_dedup.remove_repeated_phrases(shuffled, most_classes=most_classes).collect()
     assert len(found) == len(rows)
     assert all(want[r["doc_id"]] == (r["n_words"], r["n_removed"], r["kept_sha256"], r["kept_text"]) for r in found if r["doc_id"] is not None)
     assert next(r for r in found if r["doc_id"] is None)["n_removed"] == 0
@@ -151,7 +152,10 @@ def test_suffix_order_sorts():
     assert list(order) == sorted(range(200), key=lambda i: (group[i], snippets[i][2:], i))
 
 
-def test_top_k_equals_brute_force(spark):
+@pytest.mark.parametrize("shard, block", [(8192, 8192), (32, 3)])
+def test_top_k_equals_brute_force(spark, monkeypatch, shard, block):
+    monkeypatch.setattr(topk, "SHARD", shard)
+    monkeypatch.setattr(topk, "BLOCK", block)
     rng = np.random.default_rng(5)
     rows = [(int(i), [float(x) for x in rng.normal(0, 0.3, 8)]) for i in range(300)]
     rows += [(300 + i, rows[7][1]) for i in range(60)]  # ties
@@ -263,6 +267,10 @@ def test_mixing(spark):
         shards.update(r["shards"])
     assert all(abs(taken[s] - want[s]) <= 60 for s in sizes)
     assert max(shards.values()) < 2 * min(shards.values()) and len(shards) == 16
+    import corpus_pipeline
+
+    mixed = corpus_pipeline.mix(spark, docs(spark, [*rows, (None, "w w w", "a"), (None, "w", "a")]), "").collect()
+    assert all(r["taken"] == len(r["text"].split()) * len(r["shards"].split(",")) > 0 for r in mixed)
     again = {(r["doc_id"], tuple(r["shards"])) for r in mixing.mix_sources(docs(spark, rows)).collect()}
     assert again == {(r["doc_id"], tuple(r["shards"])) for r in found}
     assert mixing.mix_sources(docs(spark, rows).limit(0)).count() == 0
@@ -314,9 +322,10 @@ def test_viterbi_equals_enumeration():
 
 def test_licenses(spark):
     templates = spark.createDataFrame(licenses.TEMPLATES, "license string, key string, text string")
-    rows = [(1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/c/x.py", "foo bar"), (3, "a/b/LICENSE.txt", "Licensed under the Apache License, Version 2.0."), (4, "a/y.py", None), (5, "z.py", ""), (6, None, "foo"), (7, "q/k.py", "Some text here, and much more of it. All rights reserved. The end of a longer text that says nothing."), (2, "a/b/c/x.py", "foo bar")]
+    header = (8, "q/m.py", "Some text here. All rights reserved. The end of it.")  # copies don't make it a licence file
+    rows = [header, header, (1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/c/x.py", "foo bar"), (3, "a/b/LICENSE.txt", "Licensed under the Apache License, Version 2.0."), (4, "a/y.py", None), (5, "z.py", ""), (6, None, "foo"), (7, "q/k.py", "Some text here, and much more of it. All rights reserved. The end of a longer text that says nothing."), (2, "a/b/c/x.py", "foo bar")]
     got = {r["id"]: (r["license"], r["origin"], r["licence_path"]) for r in licenses.scan_licenses(spark.createDataFrame(rows, "id bigint, path string, text string"), templates, "id", "path", "text").collect()}
-    assert got == {1: ("MIT", "file", "a/LICENSE"), 2: ("Apache-2.0", "inherited", "a/b/LICENSE.txt"), 3: ("Apache-2.0", "file", "a/b/LICENSE.txt"), 4: ("MIT", "inherited", "a/LICENSE"), 5: (None, "none", None), 6: (None, "none", None), 7: ("proprietary", "header", "q/k.py")}
+    assert got == {1: ("MIT", "file", "a/LICENSE"), 2: ("Apache-2.0", "inherited", "a/b/LICENSE.txt"), 3: ("Apache-2.0", "file", "a/b/LICENSE.txt"), 4: ("MIT", "inherited", "a/LICENSE"), 5: (None, "none", None), 6: (None, "none", None), 7: ("proprietary", "header", "q/k.py"), 8: ("proprietary", "header", "q/m.py")}
     assert licenses.scan_licenses(spark.createDataFrame([], "id bigint, path string, text string"), templates, "id", "path", "text").count() == 0
 
 
