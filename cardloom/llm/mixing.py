@@ -75,9 +75,10 @@ def split_draws(draws: DataFrame, levels: int) -> DataFrame:
     return listed.join(shards, ["key", "place"]).drop("place")
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", levels: int = LEVELS, **shares) -> DataFrame:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", levels: int = LEVELS, keep: bool = False, **shares) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken, shards) for each row; size is in words, taken the words that
-    the mix takes, repeats counted: 0, 1 or 2 times the size; shards lists where each copy goes.
+    the mix takes, repeats counted: 0, 1 or 2 times the size; shards lists where each copy goes. With `keep`, row holds all
+    columns of the row.
 
     Null sources are one source, the last; a null text has size 0. Rows without words take nothing and go nowhere.
     Repeated rows fall into the same block but are counted each. Other columns are left out; no rows give no rows. A
@@ -85,13 +86,14 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     mark = _digest(F.lit("doc"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     part = lambda a: F.conv(F.substring("mark", a, 2), 16, 10).cast("int")
-    sized = docs.select(
+    every = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
         F.coalesce(F.concat(F.lit("s"), source_col), F.lit("z")).alias("key"),  # null last
         size_in_words(F.col(text_col)).alias("size"),
         mark.alias("mark"),
+        *([F.struct("*").alias("row")] if keep else []),
     ).withColumns({"block": part(1), "sub": part(3)})
-    sized = stored(sized)
+    sized = stored(every.drop("row"))
 
     subs = stored(sized.groupBy("key", "block", "sub").agg(F.sum("size").alias("words")))
     blocks = subs.groupBy("key", "block").agg(F.sum("words").alias("words"))
@@ -132,12 +134,13 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     places = drawn.groupBy("key", "block").agg(
         F.array_sort(F.collect_list(F.when(~cut, F.col("shard")))).alias("whole"), F.max(F.when(cut, F.col("shard"))).alias("cut_shard")
     )
-    out = sized.join(small(targets.select("key", "source_size", "target")), "key").join(small(stored(places)), ["key", "block"], "left")
+    # With whole rows the texts are read again here: all tables joined to them are small, so no text is shuffled.
+    out = (every if keep else sized).join(small(targets.select("key", "source_size", "target")), "key").join(small(stored(places)), ["key", "block"], "left")
     out = out.join(small(some_subs), ["key", "block", "sub"], "left").join(small(stored(some_docs)), ["key", "mark"], "left")
     extra = F.col("cut_shard").isNotNull() & F.coalesce("by_sub", "by_doc", F.lit(False))
     shards = F.concat(F.coalesce("whole", F.array().cast("array<int>")), F.when(extra, F.array("cut_shard")).otherwise(F.array().cast("array<int>")))
     shards = F.when(F.col("size") > 0, shards).otherwise(F.array().cast("array<int>"))
-    out = out.select("doc_id", "source", "size", "source_size", "target", shards.alias("shards"))
+    out = out.select(*(["row"] if keep else []), "doc_id", "source", "size", "source_size", "target", shards.alias("shards"))
     return out.withColumn("taken", F.col("size") * F.size("shards"))
 
 
