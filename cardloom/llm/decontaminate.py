@@ -1,18 +1,17 @@
-"""Benchmark decontamination: CGK embeddings of item-sized windows, bit-sampling LSH, exact edit verification.
+"""Benchmark decontamination: a q-gram filter by item, exact edit verification of every window that passes it.
 
 Texts are sequences of words, A-Z lower-cased. A document is contaminated by an item of n words if some stretch of it is
-within n / 5 word edits of the item. The CGK random walk embeds edit distance into Hamming distance: reading a sequence,
-it writes the current word and moves on or stays by a random bit that depends on the step and the word, so two sequences
-fall back into step soon after an edit. Each table walks anew and samples a few positions of the embedding; windows of
-the item's size that agree with an item on a table's sample are candidates, and a banded edit distance decides.
+within n / 5 word edits of the item. A stretch within e edits of an item holds at least n - 2 - 3e of the item's word
+trigrams (the q-gram lemma; short items go by pairs or single words, where that bound is below 1), so windows with fewer
+cannot match. All others are verified: one table an item and region gives the edit distance of the nearest stretch
+that begins at each word. Nothing is sampled, so no match is lost at any length, distance or kind of edit.
 
-The number of tables follows from the target recall. Most windows never walk: a window within e edits of an item has at
-least n - 2 - 3e of its word trigrams, and those with fewer of any item of that size cannot match (the q-gram lemma).
+Sampled CGK embeddings chose the candidates before; their samples agree too rarely on long items or after insertions and
+deletions, and the filter by item leaves fewer candidates than they did.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,13 +25,12 @@ from ._spark import table
 from ._text import doc_chunks, string_bytes, words
 
 SIMILARITY = 0.8
-RECALL = 0.995
-#: Sampled positions a table, and how often a position of the embeddings agrees at the largest allowed distance.
-SAMPLED, AGREE = 3, 0.5
-#: Items with fewer words are left out; items below SHORT words match only as they are.
-LEAST, SHORT = 5, 6
+#: Sizes of grams, the most selective first.
+GRAMS = (3, 2, 1)
 #: Words of items broadcast together; more items are looked for in several passes.
 MOST_WORDS = 2_000_000
+#: Cells of a verification's table row held together.
+CELLS = 1 << 16
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -46,147 +44,139 @@ def word_hashes(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]
         yield a, mix(one + (ends - starts).astype(np.uint64)) | np.uint64(1), first
 
 
-def trigrams(w: np.ndarray) -> np.ndarray:
-    return mix(w[:-2] * np.uint64(3) + w[1:-1] * np.uint64(0x9E3779B97F4A7C15) + w[2:] * _STEP) if len(w) > 2 else np.zeros(0, np.uint64)
+def grams(w: np.ndarray, q: int) -> np.ndarray:
+    """Hashes of the runs of q words; runs of different lengths hash apart."""
+    out = np.full(max(0, len(w) - q + 1), np.uint64(q))
+    for k in range(q):
+        out = mix(out * _STEP + w[k : len(w) - q + 1 + k])
+    return out
 
 
 def allowed(n: np.ndarray | int, similarity: float = SIMILARITY):
     """Word edits that a match of an item of n words may have."""
-    return np.where(np.asarray(n) < SHORT, 0, np.floor(np.asarray(n) * (1 - similarity) + 1e-9)).astype(np.int64)
-
-
-def tables_for(recall: float) -> int:
-    return math.ceil(math.log(1 - recall) / math.log(1 - AGREE**SAMPLED))
+    return np.floor(np.asarray(n) * (1 - similarity) + 1e-9).astype(np.int64)
 
 
-def embed(windows: np.ndarray, tables: int) -> np.ndarray:
-    """Samples (row, table) of the CGK embeddings of windows (rows of word hashes; 0 is past the end)."""
-    count, n = windows.shape
-    rng = np.random.default_rng(n)
-    sampled = np.zeros((tables, 2 * n), bool)
-    for t in range(tables):
-        sampled[t, rng.choice(2 * n, SAMPLED, replace=False)] = True
-    salts = rng.integers(1, 2**63, (2 * n, tables, 1), np.uint64)
-    flat = np.concatenate((windows, np.zeros((count, 1), np.uint64)), axis=1).ravel()
-    base = np.arange(count) * (n + 1)
-    out, at = np.zeros((tables, count), np.uint64), np.zeros((tables, count), np.int64)
-    for j in range(int(np.flatnonzero(sampled.any(axis=0))[-1]) + 1):  # all tables walk at once
-        word = flat[base + at]
-        use = np.flatnonzero(sampled[:, j])
-        if len(use):
-            out[use] = mix(out[use] * _STEP + word[use] + np.uint64(1))
-        at = np.minimum(at + ((word ^ salts[j]) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(63)).astype(np.int64), n)
-    return out.T
+def ranges(low: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """low[0], low[0] + 1, ... (count[0] of them), low[1], ..."""
+    return np.repeat(low - np.append(0, np.cumsum(count)[:-1]), count) + np.arange(count.sum())
 
 
 class Items:
-    """The items of one pass: their words, trigrams by size, and tables of samples by size."""
+    """The items of one pass: their words, and which items hold a gram."""
 
-    def __init__(self, ids: list, texts: list, similarity: float, recall: float):
+    def __init__(self, ids: list, texts: list, similarity: float):
         self.ids, self.words = [], []
-        self.tables = tables_for(recall)
-        self.similarity = similarity
         for a, w, first in word_hashes(pa.array(texts, pa.string())):
-            for i in range(len(first) - 1):
-                if first[i + 1] - first[i] >= LEAST:
-                    self.ids.append(ids[a + i])
-                    self.words.append(w[first[i] : first[i + 1]])
-        sizes = np.array([len(w) for w in self.words], np.int64)
-        self.sizes = np.unique(sizes)
+            for i in np.flatnonzero(np.diff(first)):
+                self.ids.append(ids[a + i])
+                self.words.append(w[first[i] : first[i + 1]])
+        self.sizes = np.array([len(w) for w in self.words], np.int64)
         self.edits = allowed(self.sizes, similarity)
-        self.need = np.maximum(1, self.sizes - 2 - 3 * self.edits)
-        grams = [trigrams(w) for w in self.words]
-        flat = np.concatenate([np.zeros(0, np.uint64), *grams])
-        size_of = np.repeat(np.searchsorted(self.sizes, sizes), [len(g) for g in grams])
-        pairs = np.unique(np.stack((flat, size_of.astype(np.uint64)), axis=1), axis=0) if len(flat) else np.zeros((0, 2), np.uint64)
-        self.grams, begin = np.unique(pairs[:, 0], return_index=True)
-        self.gram_sizes, self.gram_begin = pairs[:, 1].astype(np.int64), np.append(begin, len(pairs))
-        self.filter = np.zeros(1 << 22, bool)
-        self.filter[self.grams >> np.uint64(42)] = True
-        self.by_size = {}
-        for k, n in enumerate(self.sizes):
-            members = np.flatnonzero(sizes == n)
-            samples = embed(np.stack([self.words[m] for m in members]), self.tables)
-            self.by_size[k] = members, [(np.sort(samples[:, t]), members[np.argsort(samples[:, t], kind="stable")]) for t in range(self.tables)]
-
-    def candidates(self, w: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(index of a size, first words of windows) that hold enough trigrams of items of that size."""
-        g = trigrams(w)
-        hits = np.flatnonzero(self.filter[g >> np.uint64(42)])
-        where = np.searchsorted(self.grams, g[hits])
-        true = self.grams[np.minimum(where, len(self.grams) - 1)] == g[hits]
-        hits, where = hits[true], where[true]
-        if not len(hits):
-            return
-        # The hits, once for each size of item that has the trigram.
-        many = self.gram_begin[where + 1] - self.gram_begin[where]
-        pos = np.repeat(hits, many)
-        size = self.gram_sizes[np.repeat(self.gram_begin[where] - np.append(0, np.cumsum(many)[:-1]), many) + np.arange(many.sum())]
-        order = np.lexsort((pos, size))
-        pos, size = pos[order], size[order]
-        need, width = self.need[size], self.sizes[size] + self.edits[size] - 2
-        last = np.arange(len(pos)) + need - 1
-        ok = last < len(pos)
-        last = np.minimum(last, len(pos) - 1)
-        ok &= (size[last] == size) & (pos[last] - pos < width)
-        at = np.flatnonzero(ok)
-        if not len(at):
-            return
-        low, high = pos[last[at]] - width[at] + 1, pos[at]
-        doc = np.searchsorted(bounds, high, "right") - 1
-        low = np.maximum(low, bounds[doc])
-        length = high - low + 1
-        start = np.repeat(low, length) + np.arange(length.sum()) - np.repeat(np.append(0, np.cumsum(length)[:-1]), length)
-        kind = np.repeat(size[at], length)
-        for k in np.unique(kind):
-            yield int(k), np.unique(start[kind == k])
+        shares = np.stack([self.sizes - q + 1 - q * self.edits for q in GRAMS])  # grams that a match holds at least
+        kind = (shares > 0).argmax(axis=0)
+        self.q = np.array(GRAMS)[kind]
+        self.need = np.maximum(1, np.take_along_axis(shares, kind[None, :], axis=0)[0]) if len(self.words) else self.sizes
+        self.lists = []
+        for q in GRAMS:
+            some = np.flatnonzero(self.q == q)
+            if not len(some):
+                continue
+            held = [np.unique(grams(self.words[i], q)) for i in some]
+            flat, item = np.concatenate(held), np.repeat(some, [len(h) for h in held])
+            order = np.lexsort((item, flat))
+            known, begin = np.unique(flat[order], return_index=True)
+            sieve = np.zeros(1 << 22, bool)
+            sieve[known >> np.uint64(42)] = True
+            self.lists.append((q, known, item[order], np.append(begin, len(order)), sieve))
+
+    def regions(self, w: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(row, item, first start, last start) of all windows that hold enough grams of an item; none overlap."""
+        found = [(np.zeros(0, np.int64),) * 4]
+        for q, known, items, begin, sieve in self.lists:
+            g = grams(w, q)
+            hits = np.flatnonzero(sieve[g >> np.uint64(42)])
+            where = np.minimum(np.searchsorted(known, g[hits]), len(known) - 1)
+            true = known[where] == g[hits]
+            hits, where = hits[true], where[true]
+            row = np.searchsorted(bounds, hits, "right") - 1
+            inside = hits + q <= bounds[row + 1]
+            hits, where, row = hits[inside], where[inside], row[inside]
+            # The hits, once for each item that has the gram.
+            many = begin[where + 1] - begin[where]
+            pos, row, item = np.repeat(hits, many), np.repeat(row, many), items[ranges(begin[where], many)]
+            order = np.lexsort((pos, item, row))
+            pos, row, item = pos[order], row[order], item[order]
+            last = np.arange(len(pos)) + self.need[item] - 1
+            ok = last < len(pos)
+            last = np.minimum(last, len(pos) - 1)
+            width = self.sizes[item] + self.edits[item] - q + 1
+            ok &= (row[last] == row) & (item[last] == item) & (pos[last] - pos < width)
+            at = np.flatnonzero(ok)
+            low, high = np.maximum(pos[last[at]] - width[at] + 1, bounds[row[at]]), pos[at]
+            found.append((row[at], item[at], low, high))
+        row, item, low, high = map(np.concatenate, zip(*found))
+        if not len(row):
+            return row, item, low, high
+        # Both ends ascend with the position of an item's hits in a row: each begins where the one before ended.
+        same = (row[1:] == row[:-1]) & (item[1:] == item[:-1])
+        low[1:] = np.where(same, np.maximum(low[1:], high[:-1] + 1), low[1:])
+        open_ = low <= high
+        row, item, low, high = row[open_], item[open_], low[open_], high[open_]
+        fresh = np.append(True, (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (low[1:] != high[:-1] + 1))
+        at = np.flatnonzero(fresh)
+        row, item, low, high = row[at], item[at], low[at], high[np.append(at[1:], len(fresh)) - 1]
+        # Long ones in pieces, so that those verified together are of like lengths.
+        most = 2 * (self.sizes[item] + self.edits[item])
+        pieces = -(-(high - low + 1) // most)
+        k = ranges(np.zeros(len(pieces), np.int64), pieces)
+        row, item, low, high, most = (np.repeat(x, pieces) for x in (row, item, low, high, most))
+        return row, item, low + k * most, np.minimum(high, low + (k + 1) * most - 1)
 
     def matches(self, w: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-        """(row, item, first word in the row, edits) of candidates that verify."""
-        for k, starts in self.candidates(w, bounds):
-            n, e = int(self.sizes[k]), int(self.edits[k])
-            row = np.searchsorted(bounds, starts, "right") - 1
-            ends = bounds[row + 1]
-            for s in range(0, len(starts), 1024):
-                part, end = starts[s : s + 1024], ends[s : s + 1024]
-                index = part[:, None] + np.arange(n + e)
-                stretch = np.where(index < end[:, None], w[np.minimum(index, len(w) - 1)], np.uint64(0))
-                samples = embed(stretch[:, :n], self.tables)
-                pairs = []
-                for t, (keys, members) in enumerate(self.by_size[k][1]):
-                    lo, hi = np.searchsorted(keys, samples[:, t]), np.searchsorted(keys, samples[:, t], "right")
-                    i = np.repeat(np.arange(len(part)), hi - lo)
-                    j = np.repeat(lo - np.append(0, np.cumsum(hi - lo)[:-1]), hi - lo) + np.arange((hi - lo).sum())
-                    pairs.append(np.stack((i, members[j]), axis=1))
-                pairs = np.unique(np.concatenate(pairs), axis=0)
-                for p in range(0, len(pairs), 4096):
-                    i, item = pairs[p : p + 4096].T
-                    edits = edit_distance(np.stack([self.words[m] for m in item]), stretch[i]) if len(i) else np.zeros(0, np.int64)
-                    good = edits <= e
-                    i, item = i[good], item[good]
-                    yield row[s + i], item, part[i] - bounds[row[s + i]], edits[good]
-
-
-def edit_distance(items: np.ndarray, stretches: np.ndarray) -> np.ndarray:
-    """Word edits between each item and the nearest beginning of its stretch (0 is past the end of the document)."""
+        """(row, item, first word in the row, edits) of the nearest match of each region that has one."""
+        row, item, low, high = self.regions(w, bounds)
+        for n in np.unique(self.sizes[item]):
+            some = np.flatnonzero(self.sizes[item] == n)
+            e = int(self.edits[item[some[0]]])
+            some = some[np.argsort(high[some] - low[some], kind="stable")]
+            span = high[some] - low[some] + n + e
+            step = max(1, CELLS // int(span[-1]))
+            for s in range(0, len(some), step):
+                part = some[s : s + step]
+                index = low[part, None] + np.arange(int(span[min(s + step, len(some)) - 1]))
+                stretch = np.where(index < bounds[row[part] + 1, None], w[np.minimum(index, len(w) - 1)], np.uint64(0))
+                edits = start_distances(np.stack([self.words[m] for m in item[part]]), stretch)
+                edits = np.where(index <= high[part, None], edits, 1 << 20)
+                best = edits.argmin(axis=1)
+                least = edits[np.arange(len(part)), best]
+                good = least <= e
+                yield row[part][good], item[part][good], (low[part] + best - bounds[row[part]])[good], least[good].astype(np.int64)
+
+
+def start_distances(items: np.ndarray, stretches: np.ndarray) -> np.ndarray:
+    """Word edits between each item and the nearest part of its stretch that begins at each word (0 is past the end)."""
     count, n = items.shape
-    m = stretches.shape[1]
-    step = np.arange(m + 1)
-    over = np.concatenate((np.zeros((count, 1), bool), stretches == 0), axis=1)
-    old = np.where(over, 1 << 20, step)
+    back = stretches[:, ::-1]
+    step = np.arange(back.shape[1] + 1, dtype=np.int32)
+    old = np.zeros((count, len(step)), np.int32)
     for i in range(n):
         new = np.empty_like(old)
         new[:, 0] = i + 1
-        new[:, 1:] = np.minimum(old[:, 1:] + 1, old[:, :-1] + (stretches != items[:, i : i + 1]))
-        new = np.minimum.accumulate(new - step, axis=1) + step
-        old = np.where(over, 1 << 20, new)
-    return old.min(axis=1)
+        new[:, 1:] = np.minimum(old[:, 1:] + 1, old[:, :-1] + (back != items[:, n - 1 - i, None]))
+        old = np.minimum.accumulate(new - step, axis=1) + step
+    return old[:, :0:-1]
+
+
+def edit_distance(items: np.ndarray, stretches: np.ndarray) -> np.ndarray:
+    """Word edits between each item and the nearest beginning of its stretch (0 is past the end of the document)."""
+    return np.minimum(start_distances(items, stretches)[:, 0], items.shape[1])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, item_id, start_word, edits): for each row and item the nearest match, the first of equals.
 
-    Null and empty texts match nothing; items of under 5 words are left out, items of 5 match only without edits. Repeated
+    Null and empty texts match nothing; items of under 5 words match only as they are. Repeated
     documents and items each have their rows; null ids are passed on. Other columns are left out. No documents or no items
     give no rows. The items are broadcast in passes of bounded size. No shuffle.
     """
@@ -198,7 +188,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     out = None
     for k in range(passes):
         some = items.where(F.pmod(F.xxhash64("text"), F.lit(passes)) == k).collect()
-        shared = spark.sparkContext.broadcast(Items([r.id for r in some], [r.text for r in some], similarity, recall))
+        shared = spark.sparkContext.broadcast(Items([r.id for r in some], [r.text for r in some], similarity))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             known = shared.value

@@ -350,3 +350,36 @@ def test_pipeline(spark, tmp_path):
     assert set(seen["decontamination"]) == set(seen["simhash_near_dedup"]) - {900}
     assert "<EMAIL>" in seen["pii"][901]["text"] and seen["pii"][901]["n_chars"] == len(seen["pii"][901]["text"])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == out.count()
+
+
+def start_edits(item, text, s):
+    """Edits from the item to the nearest beginning of text[s:]."""
+    old = list(range(len(text) - s + 1))
+    for i, x in enumerate(item, 1):
+        new = [i]
+        for j, y in enumerate(text[s:], 1):
+            new.append(min(old[j] + 1, new[-1] + 1, old[j - 1] + (x != y)))
+        old = new
+    return min(old)
+
+
+@pytest.mark.parametrize("kind", ["delete", "insert", "replace", "mixed"])
+def test_decontamination_loses_no_match_at_the_full_distance(kind):
+    rnd = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    items = [[rnd.choice(vocabulary) for _ in range(n)] for n in (10, 16, 30, 59, 120, 200) for _ in range(5)]
+    known = decontaminate.Items(list(range(len(items))), [" ".join(x) for x in items], 0.8)
+    texts = []
+    for x in items:
+        out = list(x)
+        for at in sorted(rnd.sample(range(len(x)), len(x) // 5), reverse=True):
+            edit = rnd.choice(["delete", "insert", "replace"]) if kind == "mixed" else kind
+            out[at : at + (edit != "insert")] = [] if edit == "delete" else ["edit"]
+        texts.append([rnd.choice(vocabulary) for _ in range(40)] + out + [rnd.choice(vocabulary) for _ in range(40)])
+    ((_, w, bounds),) = decontaminate.word_hashes(pa.array([" ".join(t) for t in texts]))
+    got = {}
+    for r, i, start, edits in (x for m in known.matches(w, bounds) for x in zip(*map(np.ndarray.tolist, m))):
+        got[r, i] = min(got.get((r, i), (edits, start)), (edits, start))
+    assert set(got) >= {(i, i) for i in range(len(items))}
+    for i in range(0, 20, 3):
+        assert got[i, i] == min((start_edits(items[i], texts[i], s), s) for s in range(len(texts[i])))
