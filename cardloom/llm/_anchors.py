@@ -8,7 +8,8 @@ windows that share one anchor form its *context*; contexts of equal content form
 The work:
 
 1. each batch of documents settles the repeats inside it and sends on one document's rows for a class (so a passage that
-   a third of the corpus holds arrives once a batch, not once a document);
+   a third of the corpus holds arrives once a batch, not once a document); what it settled goes along in the same rows,
+   so nothing rests on two scans being cut into the same batches;
 2. windows over the anchor tell which classes repeat as a whole, and which anchors hold several classes; that is stored;
 3. only for the latter the text of one context a class is fetched, and a resolver finds which of its windows repeat in
    another class. Anchors with more than `most_classes` classes are resolved by grouping the windows' 128-bit hashes
@@ -169,8 +170,11 @@ def _batch_contexts(spec: Repeats, batch: pa.RecordBatch) -> dict[str, np.ndarra
 
 
 def _leading(spec: Repeats) -> Callable:
-    """Rows (anchor, ctx, doc, place): the contexts of a class in its smallest document of the batch. place holds the
-    anchor's place, the windows furthest and nearest to its left, and whether the batch has the class more than once."""
+    """Rows (anchor, ctx, doc, place, settled): the contexts of a class in its smallest document of the batch. place holds
+    the anchor's place, the windows furthest and nearest to its left, and whether the batch has the class more than once.
+
+    Rows with `settled` are spans of the other documents that repeat a smaller one of the same batch: ctx is where they
+    start, place where they end, and anchor only deals them out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,22 +183,14 @@ def _leading(spec: Repeats) -> Callable:
                 continue
             at = np.flatnonzero(c["leads"])
             place = (((c["a"] << 10) + c["a"] - c["lo"] << 10) + c["a"] - c["hi"])[at] * 2 + (c["count"][at] > 1)
-            columns = [c["anchor"][at].view(np.int64), c["ctx"][at].view(np.int64), c["doc"][at], place]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["anchor", "ctx", "doc", "place"])
-
-    return run
-
-
-def _settled(spec: Repeats) -> Callable:
-    """Rows (doc, start, end): what repeats a smaller document of the same batch; found again rather than kept."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            c = _batch_contexts(spec, batch)
-            if not c:
-                continue
+            yield rows(c["anchor"][at].view(np.int64), c["ctx"][at].view(np.int64), c["doc"][at], place, False)
             at = np.flatnonzero(~c["leads"])
-            yield _spans(c["doc"][at], c["lo"][at], c["hi"][at] + spec.window)
+            doc, start, end = (x.to_numpy() for x in _spans(c["doc"][at], c["lo"][at], c["hi"][at] + spec.window).columns)
+            yield rows(mix(doc.view(np.uint64) * np.uint64(BASE) + start.view(np.uint64)).view(np.int64), start, doc, end, True)
+
+    def rows(anchor: np.ndarray, ctx: np.ndarray, doc: np.ndarray, place: np.ndarray, settled: bool) -> pa.RecordBatch:
+        columns = [anchor, ctx, doc, place, np.full(len(doc), settled)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["anchor", "ctx", "doc", "place", "settled"])
 
     return run
 
@@ -301,18 +297,17 @@ def covered(length: int, spans: np.ndarray) -> np.ndarray:
 def remove_repeats(docs: DataFrame, spec: Repeats, ddl: str, id_col: str, text_col: str, scan: bool) -> DataFrame:
     """One row a document: what `spec.finish` makes of its text and the spans to remove.
 
-    What repeats inside a batch is found in one pass and left out of another, so both must see the same batches. A scan of
-    files gives them in the same order each time; anything else (`scan` false), such as what a shuffle brings, is written
-    to the shared folder first.
+    What repeats inside a batch is found and left out of the other rows in one pass, so later scans may be batched in any
+    way. A scan of files gives the same rows each time; anything else (`scan` false), such as what a shuffle brings, is
+    written to the shared folder first, so that a task that runs again reads the same batches.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     if not scan:
         texts = stored(texts)
     known = texts.where("doc_id is not null")
-    settled = known.mapInArrow(_settled(spec), "doc long, start long, end long")
-    leading = known.mapInArrow(_leading(spec), "anchor long, ctx long, doc long, place long")
+    leading = known.mapInArrow(_leading(spec), "anchor long, ctx long, doc long, place long, settled boolean")
 
-    by_class = W.partitionBy("anchor", "ctx")
+    by_class = W.partitionBy("settled", "anchor", "ctx")
     rank = F.row_number().over(by_class.orderBy("doc", "place"))
     seen = leading.repartition("anchor").withColumn("rank", rank)
     if spec.later_only:
@@ -320,15 +315,17 @@ def remove_repeats(docs: DataFrame, spec: Repeats, ddl: str, id_col: str, text_c
         seen = seen.withColumns({"repeats": F.col("doc") > first, "stands": F.col("doc") == first})
     else:
         seen = seen.withColumns({"repeats": F.sum(1 + F.col("place") % 2).over(by_class) > 1, "stands": F.col("rank") == 1})
-    seen = seen.withColumn("classes", F.sum((F.col("rank") == 1).cast("int")).over(W.partitionBy("anchor")))
-    asks = F.col("stands") & (F.col("classes") > 1)
+    seen = seen.withColumn("classes", F.sum((F.col("rank") == 1).cast("int")).over(W.partitionBy("settled", "anchor")))
+    asks = ~F.col("settled") & F.col("stands") & (F.col("classes") > 1)
     verdicts = stored(
-        seen.withColumn("asks", asks).where("repeats or asks").select(
-            "doc", "place", "repeats", "asks", (F.col("classes") > spec.most_classes).alias("hot"), F.when(asks, F.col("anchor")).alias("anchor"), F.when(asks, F.col("ctx")).alias("ctx")
+        seen.withColumn("asks", asks).where("repeats or asks or settled").select(
+            "doc", "place", "settled", (F.col("repeats") & ~F.col("settled")).alias("repeats"), "asks", (F.col("classes") > spec.most_classes).alias("hot"),
+            F.when(asks, F.col("anchor")).alias("anchor"), F.when(F.col("asks") | F.col("settled"), F.col("ctx")).alias("ctx"),
         )
     )
     left, right = F.shiftright("place", 11).bitwiseAND(1023), F.shiftright("place", 1).bitwiseAND(1023)
     at = F.shiftright("place", 21)
+    settled = verdicts.where("settled").select("doc", F.col("ctx").alias("start"), F.col("place").alias("end"))
     whole = verdicts.where("repeats").select("doc", (at - left).alias("start"), (at - right + spec.window).alias("end"))
 
     def snippets(which: str) -> DataFrame:

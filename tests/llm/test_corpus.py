@@ -383,3 +383,26 @@ def test_decontamination_loses_no_match_at_the_full_distance(kind):
     assert set(got) >= {(i, i) for i in range(len(items))}
     for i in range(0, 20, 3):
         assert got[i, i] == min((start_edits(items[i], texts[i], s), s) for s in range(len(texts[i])))
+
+
+@pytest.mark.parametrize("remove", [lambda d: phrase_dedup.remove_repeated_phrases(d, scan=True), lambda d: suffix_dedup.remove_repeated_strings(d, window=60, scan=True)])
+def test_repeats_dont_depend_on_how_later_scans_are_batched(spark, monkeypatch, tmp_path, remove):
+    from cardloom.llm import _anchors
+
+    docs(spark, [r for r in corpus(13) if r[0] is not None]).distinct().coalesce(1).write.parquet(str(tmp_path / "d"))
+    table = spark.read.parquet(str(tmp_path / "d"))
+    want = {(r["doc_id"], r["n_removed"], r["kept_sha256"]) for r in remove(table).collect()}
+    assert sum(n for _, n, _ in want) > 0
+    size, write = "spark.sql.execution.arrow.maxRecordsPerBatch", _anchors.stored
+
+    def then_one_row_a_batch(df):
+        out = write(df)
+        spark.conf.set(size, 1)
+        return out
+
+    monkeypatch.setattr(_anchors, "stored", then_one_row_a_batch)
+    try:
+        got = {(r["doc_id"], r["n_removed"], r["kept_sha256"]) for r in remove(table).collect()}
+    finally:
+        spark.conf.unset(size)
+    assert got == want
