@@ -406,3 +406,14 @@ def test_repeats_dont_depend_on_how_later_scans_are_batched(spark, monkeypatch,
     finally:
         spark.conf.unset(size)
     assert got == want
+
+
+def test_whole_licences(spark):
+    templates = spark.createDataFrame(licenses.TEMPLATES, "license string, key string, text string")
+    bodies = {r["license"]: r["text"] for r in licenses.licence_bodies(spark).collect()}
+    head = "BSD 3-Clause License\n\nCopyright (c) 2019, Some People\nAll rights reserved.\n\n"
+    rows = [(1, "a/LICENSE", head + bodies["BSD-3-Clause"]), (2, "a/x.py", "foo"), (3, "b/LICENSE", "Copyright (c) 2001 A. Body\n\n" + bodies["MIT"]), (4, "c/notes", bodies["ISC"]), (5, "d/LICENSE", "All rights reserved."), (6, "e/LICENSE", "Copyright X. All rights reserved.\n" + bodies["BSD-2-Clause"])]
+    rows += [(10 + i, f"z{i}/LICENSE", text) for i, text in enumerate(bodies.values())]
+    got = {r["id"]: (r["license"], r["origin"]) for r in licenses.scan_licenses(spark.createDataFrame(rows, "id bigint, path string, text string"), templates, "id", "path", "text").collect()}
+    assert [got[i] for i in range(1, 7)] == [("BSD-3-Clause", "file"), ("BSD-3-Clause", "inherited"), ("MIT", "file"), ("ISC", "file"), ("proprietary", "file"), ("BSD-2-Clause", "file")]
+    assert [got[10 + i] for i in range(len(bodies))] == [(name, "file") for name in bodies]
