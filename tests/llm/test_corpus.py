@@ -417,3 +417,12 @@ def test_whole_licences(spark):
     got = {r["id"]: (r["license"], r["origin"]) for r in licenses.scan_licenses(spark.createDataFrame(rows, "id bigint, path string, text string"), templates, "id", "path", "text").collect()}
     assert [got[i] for i in range(1, 7)] == [("BSD-3-Clause", "file"), ("BSD-3-Clause", "inherited"), ("MIT", "file"), ("ISC", "file"), ("proprietary", "file"), ("BSD-2-Clause", "file")]
     assert [got[10 + i] for i in range(len(bodies))] == [(name, "file") for name in bodies]
+
+
+def test_decontamination_finds_short_items():
+    items = ["alone", "two words", "a b c", "p q r s", "v w x y z"]
+    texts = ["is ALONE here", "two words", "two other words", "a b c d", "a b d c", "p q r s", "p q s", "0 v w X2 y z 0", "v w y z", "v w x 1 y z", "w x y z", "v w 1 y 2", ""]
+    known = decontaminate.Items(list(range(5)), items, 0.8)
+    ((_, w, bounds),) = decontaminate.word_hashes(pa.array(texts))
+    got = {(r, i): (s, e) for m in known.matches(w, bounds) for r, i, s, e in zip(*map(np.ndarray.tolist, m))}
+    assert got == {(0, 0): (1, 0), (1, 1): (0, 0), (3, 2): (0, 0), (5, 3): (0, 0), (7, 4): (1, 1), (8, 4): (0, 1), (9, 4): (0, 1), (10, 4): (0, 1)}
