@@ -2,19 +2,22 @@
 
 A document is a sequence of units (bytes or words). Each window of K units picks as its anchor the k-gram inside it that
 has the smallest hash, the rightmost of equals. Equal windows pick the same anchor at the same offset wherever they
-stand, so all that can repeat meets under its anchor's hash, with about 2 / (K - k + 2) rows a unit instead of one. The
-windows that share one anchor form its *context*; contexts of equal content form a class.
+stand, so all that can repeat meets under its anchor, with about 2 / (K - k + 2) rows a unit instead of one. The windows
+that share one anchor form its *context*; contexts of equal content form a class, named by 64-bit digests of the anchor's
+and of the context's own text. Anchors only bring together what may repeat; the operator's own method, its automata or
+its sorted suffixes, says on the text which windows do.
 
 The work:
 
-1. each batch of documents settles the repeats inside it and sends on one document's rows for a class (so a passage that
-   a third of the corpus holds arrives once a batch, not once a document); what it settled goes along in the same rows,
-   so nothing rests on two scans being cut into the same batches;
-2. windows over the anchor tell which classes repeat as a whole, and which anchors hold several classes; that is stored;
-3. only for the latter the text of one context a class is fetched, and a resolver finds which of its windows repeat in
-   another class. Anchors with more than `most_classes` classes are resolved by grouping the windows' 128-bit hashes
-   instead, which needs no group in one task.
-4. the removed spans are gathered by document and joined to the texts.
+1. each chunk of documents settles the repeats inside it by that method and sends on one row for a class (so a passage
+   that a third of the corpus holds arrives once a chunk, not once a document). What it settled goes along in the same
+   rows, so nothing rests on two scans being cut into the same batches;
+2. windows over the anchor tell which anchors hold several classes, or a class of several documents; that is stored;
+3. of these the text of one context a class is fetched, and the resolver runs the method over the classes of whole
+   anchors. The places of a class follow its text in the same sorted rows, as a stream, and get what was found in it;
+4. anchors with more than `most_classes` classes are dealt out anew by single windows, which then are contexts of their
+   own, and go through steps 2 and 3 again;
+5. the removed spans are gathered by document and joined to the texts.
 
 Both joins to the texts need them dealt out by document; Spark reuses that exchange, so texts are shuffled once.
 """
@@ -26,18 +29,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._spark import stored
-from ._text import doc_chunks, string_bytes, words
+from ._spark import in_arrow, small, stored
+from ._text import doc_chunks, string_bytes
 
 BASE = 0x9E3779B97F4A7C15
 LOW = np.uint64((1 << 22) - 1)
+#: Units looked at together; longer documents are cut, with the windows at the cut in one of the pieces.
 PIECE = 1 << 20
-#: Bytes of contexts resolved together in a task, besides one anchor's.
-BUFFER = 1_500_000
+#: Bytes of texts that settle their repeats together.
+CHUNK = 1 << 21
+#: Bytes of rows resolved together in a task, besides one anchor's.
+BUFFER = 2_000_000
 _TABLES = np.random.default_rng(20_011).integers(1, 2**63, (2, 256), np.uint64)
 
 
@@ -47,6 +54,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def ranges(low: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """low[0], low[0] + 1, ... (count[0] of them), low[1], ..."""
+    return np.repeat(low - np.append(0, np.cumsum(count)[:-1]), count) + np.arange(count.sum())
+
+
 _known_powers: list[np.ndarray] = []
 
 
@@ -62,7 +74,8 @@ def _powers(n: int) -> list[np.ndarray]:
 
 
 class PrefixHash:
-    """Prefix polynomial hashes of a sequence (mod 2^64): the hash of any stretch from two look-ups."""
+    """Prefix polynomial hashes of a sequence (mod 2^64): the hash of any stretch from two look-ups. Some sequences can
+    be built to collide, so these hashes choose anchors and guide comparisons, and never decide that texts are equal."""
 
     def __init__(self, values: np.ndarray):
         n = len(values)
@@ -77,6 +90,30 @@ class PrefixHash:
         return (self.sums[k:] - self.sums[:-k]) * self.down[: len(self.sums) - k]
 
 
+PRIME = 2**32 - 5
+_prime_powers: list[np.ndarray] = []
+
+
+class PrimeHash:
+    """Prefix polynomial hashes modulo a prime, beside PrefixHash: what is built to collide there doesn't here."""
+
+    def __init__(self, values: np.ndarray):
+        n = len(values)
+        if not _prime_powers or len(_prime_powers[0]) < n + 1:
+            _prime_powers.clear()
+            for base in (BASE % PRIME, pow(BASE, -1, PRIME)):
+                p = np.ones(1, np.uint64)
+                while len(p) < max(1 << 16, n + 1):
+                    p = np.concatenate((p, p * np.uint64(pow(base, len(p), PRIME)) % np.uint64(PRIME)))
+                _prime_powers.append(p)
+        self.down = _prime_powers[1]
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(values % np.uint64(PRIME) * _prime_powers[0][:n] % np.uint64(PRIME), out=self.sums[1:])
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return (self.sums[ends] - self.sums[starts]) % np.uint64(PRIME) * self.down[starts] % np.uint64(PRIME)
+
+
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     n = len(x)
     y = np.full(-(-n // w) * w, np.uint64(2**64 - 1))
@@ -87,18 +124,16 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[: n - w + 1], ahead[w - 1 : n])
 
 
-def contexts(first: np.ndarray, second: np.ndarray, bounds: np.ndarray, window: int, gram: int) -> dict[str, np.ndarray]:
-    """The contexts of documents that lie one after another: units' hashes twice over, and where each document begins.
+def contexts(units: np.ndarray, bounds: np.ndarray, window: int, gram: int) -> Iterator[tuple[int, PrefixHash, dict[str, np.ndarray]]]:
+    """(where the piece begins, its prefix hashes, its contexts) for the pieces of documents that lie one after another.
 
-    Returns doc, a (the anchor), lo and hi (first and last window), all as units of the document, anchor and ctx hashes.
-    """
-    n, w = len(first), window - gram + 1
-    found: list[tuple] = []
-    doc_of = np.repeat(np.arange(len(bounds) - 1, dtype=np.int32), np.diff(bounds))
+    Contexts are doc (index), a (the anchor), lo and hi (first and last window), as units counted from the chunk's begin."""
+    n, w = len(units), window - gram + 1
+    doc_of = np.repeat(np.arange(len(bounds) - 1, dtype=np.int64), np.diff(bounds))
     for s in range(0, max(0, n - window + 1), PIECE):
         e = min(n, s + PIECE + window - 1)
-        p1, p2 = PrefixHash(first[s:e]), PrefixHash(second[s:e])
-        grams = p1.rolling(gram)
+        hashes = PrefixHash(units[s:e])
+        grams = hashes.rolling(gram)
         key = (grams ^ (grams >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
         key &= ~LOW
         key |= LOW - np.arange(len(key), dtype=np.uint64)
@@ -108,25 +143,7 @@ def contexts(first: np.ndarray, second: np.ndarray, bounds: np.ndarray, window:
         lo = np.concatenate(([0], cut))
         hi = np.concatenate((cut, [len(chosen)])) - 1
         lo, hi = lo[inside[lo]], hi[inside[lo]]
-        a = chosen[lo]
-        shape = (a - lo).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + (a - hi).astype(np.uint64)
-        doc = doc_of[lo + s]
-        base = s - bounds[doc]
-        found.append((doc, a + base, lo + base, hi + base, mix(grams[a]), mix(p2.of(lo, hi + window) ^ mix(shape))))
-    if not found:
-        found.append(tuple(np.zeros(0, t) for t in (np.int32, np.int64, np.int64, np.int64, np.uint64, np.uint64)))
-    return dict(zip(("doc", "a", "lo", "hi", "anchor", "ctx"), map(np.concatenate, zip(*found))))
-
-
-def byte_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return _TABLES[0][data], _TABLES[1][data], offsets
-
-
-def word_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    starts, ends, first = words(data, offsets)
-    one = PrefixHash(_TABLES[0][data]).of(starts, ends)
-    length = (ends - starts).astype(np.uint64)
-    return mix(one + length), mix(one ^ (length * np.uint64(0xD6E8FEB86659FD93))), first
+        yield s, hashes, {"doc": doc_of[lo + s], "a": chosen[lo] + s, "lo": lo + s, "hi": hi + s}
 
 
 @dataclass(frozen=True)
@@ -135,139 +152,171 @@ class Repeats:
 
     window: int
     gram: int
-    units: Callable  # bytes and offsets of documents -> two hashes a unit, bounds
+    #: bytes and offsets of documents -> a chunk: .units (a hash each), .bounds, .anchor_ids(a), .class_ids(lo, end), and
+    #: .settle(contexts, documents' ids, where the piece begins, its hashes) -> (contexts settled, doc, start, end)
+    chunk: Callable
     cut_text: Callable  # bytes of a document, [(start, end) in units] -> list of bytes
-    resolve: Callable  # list of context rows -> [(doc, start, end)]
-    window_hashes: Callable  # bytes of a context, windows in it -> two uint64 arrays
+    #: anchors, docs, left, right, several, snippets of classes -> (class, first, last) windows to remove, for the class's
+    #: first document and for its other ones
+    resolve: Callable
+    window_ids: Callable  # a snippet, windows in it -> two lists of digests
     finish: Callable  # bytes of a document, spans -> a row of the result
     result: pa.Schema
     later_only: bool  # only windows that begin in a smaller document count (else anywhere else)
     most_classes: int = 2048
 
 
-def _batch_contexts(spec: Repeats, batch: pa.RecordBatch) -> dict[str, np.ndarray]:
-    """All contexts of a batch with their class, leader and count inside the batch, ordered by class and document."""
-    ids = batch.column(0).to_numpy(zero_copy_only=False)
-    data, offsets = string_bytes(batch.column(1))
-    parts = []
-    for a, b in doc_chunks(offsets):
-        found = contexts(*spec.units(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), spec.window, spec.gram)
-        found["doc"] = ids[a:b][found["doc"]]
-        parts.append(found)
-    if not parts:
-        return {}
-    all_ = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
-    order = np.lexsort((all_["a"], all_["doc"], all_["ctx"], all_["anchor"]))
-    all_ = {k: v[order] for k, v in all_.items()}
-    n = len(order)
-    fresh = np.ones(n, bool)
-    fresh[1:] = (all_["anchor"][1:] != all_["anchor"][:-1]) | (all_["ctx"][1:] != all_["ctx"][:-1])
-    begin = np.flatnonzero(fresh)
-    size = np.diff(np.append(begin, n))
-    all_["count"] = np.repeat(size, size)
-    all_["leads"] = all_["doc"] == np.repeat(all_["doc"][begin], size)
-    return all_
+ROWS = "anchor long, ctx long, doc long, variant long, place long, settled boolean"
+
+
+def place_of(a, left, right):
+    """The anchor's place and the windows furthest and nearest to its left, in one long."""
+    return ((a << 10) + left << 10) + right
 
 
 def _leading(spec: Repeats) -> Callable:
-    """Rows (anchor, ctx, doc, place, settled): the contexts of a class in its smallest document of the batch. place holds
-    the anchor's place, the windows furthest and nearest to its left, and whether the batch has the class more than once.
+    """Rows (anchor, ctx, doc, variant, place, settled): a context for each class and document that the chunk hasn't settled.
+
+    Rows with `settled` are spans to remove: ctx is where they start, place where they end, anchor only deals them out."""
 
-    Rows with `settled` are spans of the other documents that repeat a smaller one of the same batch: ctx is where they
-    start, place where they end, and anchor only deals them out."""
+    def rows(anchor, ctx, doc, variant, place, settled: bool) -> pa.RecordBatch:
+        columns = [anchor, ctx, doc, variant, place, np.full(len(doc), settled)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["anchor", "ctx", "doc", "variant", "place", "settled"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c = _batch_contexts(spec, batch)
-            if not c:
-                continue
-            at = np.flatnonzero(c["leads"])
-            place = (((c["a"] << 10) + c["a"] - c["lo"] << 10) + c["a"] - c["hi"])[at] * 2 + (c["count"][at] > 1)
-            yield rows(c["anchor"][at].view(np.int64), c["ctx"][at].view(np.int64), c["doc"][at], place, False)
-            at = np.flatnonzero(~c["leads"])
-            doc, start, end = (x.to_numpy() for x in _spans(c["doc"][at], c["lo"][at], c["hi"][at] + spec.window).columns)
-            yield rows(mix(doc.view(np.uint64) * np.uint64(BASE) + start.view(np.uint64)).view(np.int64), start, doc, end, True)
-
-    def rows(anchor: np.ndarray, ctx: np.ndarray, doc: np.ndarray, place: np.ndarray, settled: bool) -> pa.RecordBatch:
-        columns = [anchor, ctx, doc, place, np.full(len(doc), settled)]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["anchor", "ctx", "doc", "place", "settled"])
+            ids, variants = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            data, offsets = string_bytes(batch.column(2))
+            for a, b in doc_chunks(offsets, CHUNK):
+                own, chunk = ids[a:b], spec.chunk(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                for s, hashes, c in contexts(chunk.units, chunk.bounds, spec.window, spec.gram):
+                    if not len(c["doc"]):
+                        continue
+                    c["anchor"] = chunk.anchor_ids(c["a"])
+                    c["ctx"] = chunk.class_ids(c["lo"], c["hi"] + spec.window)
+                    done, doc, start, end = chunk.settle(c, own, s, hashes)
+                    base, left = chunk.bounds[c["doc"]], ~done
+                    place = place_of(c["a"] - base, c["a"] - c["lo"], c["a"] - c["hi"])[left]
+                    at = c["doc"][left]
+                    yield rows(c["anchor"][left].view(np.int64), c["ctx"][left].view(np.int64), own[at], variants[a + at], place, False)
+                    if len(doc):
+                        base = chunk.bounds[doc]
+                        doc, variant, start, end = (x.to_numpy() for x in _spans(own[doc], variants[a + doc], start - base, end - base).columns)
+                        dealt = mix(doc.view(np.uint64) * np.uint64(BASE) + start.view(np.uint64)).view(np.int64)
+                        yield rows(dealt, start, doc, variant, end, True)
 
     return run
 
 
-def _spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+def _spans(doc: np.ndarray, variant: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
     """Spans of the same document that touch become one row."""
-    order = np.lexsort((start, doc))
-    doc, start, end = doc[order], start[order], end[order]
+    order = np.lexsort((start, variant, doc))
+    doc, variant, start, end = doc[order], variant[order], start[order], end[order]
     if len(doc):
-        reach = np.maximum.accumulate(end + (np.cumsum(np.append(0, doc[1:] != doc[:-1])) << 40))
-        base = np.cumsum(np.append(0, doc[1:] != doc[:-1])) << 40
+        base = np.cumsum(np.append(0, (doc[1:] != doc[:-1]) | (variant[1:] != variant[:-1]))) << 40
+        reach = np.maximum.accumulate(end + base)
         fresh = np.ones(len(doc), bool)
         fresh[1:] = (start[1:] + base[1:]) > reach[:-1]
         at = np.flatnonzero(fresh)
-        doc, start, end = doc[at], start[at], np.append(reach[at[1:] - 1], reach[-1]) - base[at]
-    return pa.RecordBatch.from_arrays([pa.array(doc.astype(np.int64)), pa.array(start.astype(np.int64)), pa.array(end.astype(np.int64))], ["doc", "start", "end"])
+        doc, variant, start, end = doc[at], variant[at], start[at], np.append(reach[at[1:] - 1], reach[-1]) - base[at]
+    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (doc, variant, start, end)], ["doc", "variant", "start", "end"])
+
+
+_SNIPPETS = pa.schema({"anchor": pa.int64(), "ctx": pa.int64(), "doc": pa.int64(), "variant": pa.int64(), "place": pa.int64(), "several": pa.bool_(), "snippet": pa.binary()})
+_SNIPPET_DDL = "anchor long, ctx long, doc long, variant long, place long, several boolean, snippet binary"
 
 
 def _fetch(spec: Repeats) -> Callable:
-    """Cut the asked contexts out of the texts; one row for a class and document, with all its places there."""
+    """Cut the asked contexts out of the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = string_bytes(batch.column("text"))
-            out = {k: [] for k in _SNIPPETS.names}
-            for i, (doc, asked) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("asked").to_pylist())):
-                classes: dict[tuple, list[int]] = {}
-                for r in asked:
-                    classes.setdefault((r["anchor"], r["ctx"], (r["place"] >> 1) & 0xFFFFF), []).append(r["place"] >> 21)
-                cuts = [(p[0] - (shape >> 10), p[0] - (shape & 1023) + spec.window) for (_, _, shape), p in classes.items()]
-                for (anchor, _, shape), places, snippet in zip(classes, classes.values(), spec.cut_text(data[offsets[i] : offsets[i + 1]], cuts)):
-                    for k, v in (("anchor", anchor), ("doc", doc), ("shape", shape), ("places", places), ("snippet", snippet)):
-                        out[k].append(v)
-            yield pa.RecordBatch.from_pydict(out, schema=_SNIPPETS)
+            lists = batch.column("asked")
+            many = np.diff(lists.offsets.to_numpy())
+            asked = lists.flatten()
+            place = asked.field("place").to_numpy()
+            a, left, right = place >> 20, (place >> 10) & 1023, place & 1023
+            cuts = list(zip((a - left).tolist(), (a - right + spec.window).tolist()))
+            snippets, at = [], 0
+            for i, n in enumerate(many.tolist()):
+                snippets += spec.cut_text(data[offsets[i] : offsets[i + 1]], cuts[at : at + n])
+                at += n
+            which = pa.array(np.repeat(np.arange(len(many)), many))
+            columns = [asked.field("anchor"), asked.field("ctx"), batch.column("doc").take(which), batch.column("variant").take(which), asked.field("place"), asked.field("several"), pa.array(snippets, pa.binary())]
+            out = pa.RecordBatch.from_arrays(columns, schema=_SNIPPETS)
+            for k in range(0, len(out), 10_000):
+                yield out.slice(k, 10_000)
 
     return run
 
 
-_SNIPPETS = pa.schema({"anchor": pa.int64(), "doc": pa.int64(), "shape": pa.int32(), "places": pa.list_(pa.int64()), "snippet": pa.binary()})
-_SNIPPET_DDL = "anchor long, doc long, shape int, places array<long>, snippet binary"
-
-
 def _resolving(spec: Repeats) -> Callable:
-    """Resolve contexts that come ordered by anchor, some whole anchors at a time."""
-
-    def out(rows: list[dict]) -> pa.RecordBatch:
-        found = np.array(spec.resolve(rows), np.int64).reshape(-1, 3)
-        return _spans(found[:, 0], found[:, 1], found[:, 2])
+    """Resolve contexts that come ordered by anchor, of each anchor first the classes' texts (kind 0), then their places.
+
+    Whole anchors are resolved some at a time. Of an anchor with very many places only the texts are kept, and its places
+    stream past them."""
+
+    def out(rows: pa.Table) -> pa.RecordBatch:
+        texts, places = rows.filter(pc.equal(rows["kind"], 0)), rows.filter(pc.equal(rows["kind"], 1))
+        anchor, ctx, doc, place = (texts[c].to_numpy() for c in ("anchor", "ctx", "doc", "place"))
+        left = (place >> 10) & 1023
+        several = texts["several"].to_numpy()
+        first, others = spec.resolve(anchor, doc, left, place & 1023, several, texts["snippet"].to_pylist())
+        number = {key: i for i, key in enumerate(zip(anchor.tolist(), ctx.tolist()))}
+        m_doc, m_variant, m_place = (places[c].to_numpy() for c in ("doc", "variant", "place"))
+        of = np.fromiter((number[key] for key in zip(places["anchor"].to_pylist(), places["ctx"].to_pylist())), np.int64, len(m_doc))
+        is_first = m_doc == doc[of]
+        found = [(np.zeros(0, np.int64),) * 4]
+        for mask, (cls, low, high) in ((is_first, first), (~is_first, others)):
+            order = np.argsort(cls, kind="stable")
+            cls, low, high = cls[order], low[order], high[order]
+            at = np.flatnonzero(mask)
+            begin = np.searchsorted(cls, of[at])
+            count = np.searchsorted(cls, of[at], "right") - begin
+            part, member = ranges(begin, count), np.repeat(at, count)
+            base = (m_place[member] >> 20) - ((m_place[member] >> 10) & 1023)
+            found.append((m_doc[member], m_variant[member], base + low[part], base + high[part] + spec.window))
+        return _spans(*map(np.concatenate, zip(*found)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[dict] = []
-        held = 0
+        held: list[pa.RecordBatch] = []
+        size, most = 0, BUFFER
         for batch in batches:
-            for row in batch.to_pylist():
-                if held >= BUFFER and row["anchor"] != rows[-1]["anchor"]:
-                    yield out(rows)
-                    rows, held = [], 0
-                rows.append(row)
-                held += len(row["snippet"])
-        if rows:
-            yield out(rows)
+            held.append(batch)
+            size += batch.nbytes
+            if size < most:
+                continue
+            rows = pa.Table.from_batches(held)
+            anchors = rows["anchor"].to_numpy()
+            cut = int(np.searchsorted(anchors, anchors[-1]))
+            if cut:
+                yield out(rows.slice(0, cut))
+                rows = rows.slice(cut)
+            elif rows["kind"][-1].as_py():
+                yield out(rows)
+                rows = rows.filter(pc.equal(rows["kind"], 0))
+            rows = rows.combine_chunks()
+            held, size = rows.to_batches(), rows.nbytes
+            most = size + BUFFER
+        if held:
+            yield out(pa.Table.from_batches(held))
 
     return run
 
 
 def _window_rows(spec: Repeats) -> Callable:
-    """All windows of the contexts of anchors with very many classes, by two hashes."""
+    """The windows of classes of hot anchors: two digests for each, in order."""
+    schema = pa.schema({"anchor": pa.int64(), "ctx": pa.int64(), "ones": pa.list_(pa.int64()), "twos": pa.list_(pa.int64())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                left, right = r["shape"] // 1024, r["shape"] % 1024
-                one, two = spec.window_hashes(np.frombuffer(r["snippet"], np.uint8), left - right + 1)
-                for place in r["places"]:
-                    start = np.arange(place - left, place - right + 1)
-                    doc = np.full(len(start), r["doc"])
-                    yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(doc), pa.array(start)], ["one", "two", "doc", "start"])
+            out: dict[str, list] = {"ones": [], "twos": []}
+            for place, snippet in zip(batch.column("place").to_pylist(), batch.column("snippet").to_pylist()):
+                one, two = spec.window_ids(snippet, ((place >> 10) & 1023) - (place & 1023) + 1)
+                out["ones"].append(one.view(np.int64))
+                out["twos"].append(two.view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("anchor"), batch.column("ctx"), pa.array(out["ones"], schema.field(2).type), pa.array(out["twos"], schema.field(3).type)], schema=schema)
 
     return run
 
@@ -276,7 +325,7 @@ def _finishing(spec: Repeats) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = string_bytes(batch.column("text"))
-            ids, all_spans = batch.column("doc_id").to_pylist(), batch.column("spans").to_pylist()
+            ids, all_spans = batch.column("id").to_pylist(), batch.column("spans").to_pylist()
             rows = []
             for i, (doc, spans) in enumerate(zip(ids, all_spans)):
                 pairs = np.array([(s["start"], s["end"]) for s in spans or ()], np.int64).reshape(-1, 2)
@@ -294,53 +343,64 @@ def covered(length: int, spans: np.ndarray) -> np.ndarray:
     return np.cumsum(steps[:length]) > 0
 
 
-def remove_repeats(docs: DataFrame, spec: Repeats, ddl: str, id_col: str, text_col: str, scan: bool) -> DataFrame:
-    """One row a document: what `spec.finish` makes of its text and the spans to remove.
-
-    What repeats inside a batch is found and left out of the other rows in one pass, so later scans may be batched in any
-    way. A scan of files gives the same rows each time; anything else (`scan` false), such as what a shuffle brings, is
-    written to the shared folder first, so that a task that runs again reads the same batches.
-    """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def keyed_texts(docs: DataFrame, id_col: str, text_col: str, scan: bool) -> DataFrame:
+    """(id, doc, variant, text) of each row: doc and variant together name a text. variant is 0 but for the rows whose id
+    is null or stands at several texts, where it is a hash of the text (and doc another one, where there is no id)."""
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     if not scan:
         texts = stored(texts)
-    known = texts.where("doc_id is not null")
-    leading = known.mapInArrow(_leading(spec), "anchor long, ctx long, doc long, place long, settled boolean")
+    hashed = F.xxhash64(F.coalesce("text", F.lit("")))
+    ids = texts.where("id is not null").groupBy("id").agg(F.min(hashed).alias("low"), F.max(hashed).alias("high"))
+    unclear = stored(ids.where("low <> high").select(F.col("id").alias("unclear")))
+    own = F.xxhash64(F.lit(1), F.coalesce("text", F.lit(""))).bitwiseOR(F.lit(1))
+    if unclear.isEmpty():
+        variant = F.when(F.col("id").isNull(), own).otherwise(F.lit(0))
+    else:
+        texts = texts.join(small(unclear), F.col("id") == F.col("unclear"), "left")
+        variant = F.when(F.col("id").isNull() | F.col("unclear").isNotNull(), own).otherwise(F.lit(0))
+    return texts.select("id", F.coalesce("id", hashed).alias("doc"), variant.cast("long").alias("variant"), "text")
+
 
+def _resolved(rows: DataFrame, known: DataFrame, spec: Repeats) -> DataFrame:
+    """(doc, variant, start, end): the spans to remove, from rows of contexts (steps 2 to 4)."""
     by_class = W.partitionBy("settled", "anchor", "ctx")
-    rank = F.row_number().over(by_class.orderBy("doc", "place"))
-    seen = leading.repartition("anchor").withColumn("rank", rank)
-    if spec.later_only:
-        first = F.min("doc").over(by_class)
-        seen = seen.withColumns({"repeats": F.col("doc") > first, "stands": F.col("doc") == first})
-    else:
-        seen = seen.withColumns({"repeats": F.sum(1 + F.col("place") % 2).over(by_class) > 1, "stands": F.col("rank") == 1})
+    seen = rows.repartition("anchor").withColumn("rank", F.row_number().over(by_class.orderBy("doc", "variant", "place")))
+    several = F.max("doc").over(by_class) > F.min("doc").over(by_class) if spec.later_only else F.count("*").over(by_class) > 1
+    seen = seen.withColumn("several", several)
     seen = seen.withColumn("classes", F.sum((F.col("rank") == 1).cast("int")).over(W.partitionBy("settled", "anchor")))
-    asks = ~F.col("settled") & F.col("stands") & (F.col("classes") > 1)
     verdicts = stored(
-        seen.withColumn("asks", asks).where("repeats or asks or settled").select(
-            "doc", "place", "settled", (F.col("repeats") & ~F.col("settled")).alias("repeats"), "asks", (F.col("classes") > spec.most_classes).alias("hot"),
-            F.when(asks, F.col("anchor")).alias("anchor"), F.when(F.col("asks") | F.col("settled"), F.col("ctx")).alias("ctx"),
+        seen.where("settled or several or classes > 1").select(
+            "anchor", "ctx", "doc", "variant", "place", "settled", "several", (~F.col("settled") & (F.col("rank") == 1)).alias("asks"),
+            (~F.col("settled") & (F.col("classes") > spec.most_classes)).alias("hot"),
         )
-    )
-    left, right = F.shiftright("place", 11).bitwiseAND(1023), F.shiftright("place", 1).bitwiseAND(1023)
-    at = F.shiftright("place", 21)
-    settled = verdicts.where("settled").select("doc", F.col("ctx").alias("start"), F.col("place").alias("end"))
-    whole = verdicts.where("repeats").select("doc", (at - left).alias("start"), (at - right + spec.window).alias("end"))
-
-    def snippets(which: str) -> DataFrame:
-        asked = verdicts.where(f"asks and {which}").groupBy("doc").agg(F.collect_list(F.struct("anchor", "ctx", "place")).alias("asked"))
-        return known.join(asked, known["doc_id"] == asked["doc"]).select("doc_id", "text", "asked").mapInArrow(_fetch(spec), _SNIPPET_DDL)
-
-    some = snippets("not hot").repartition("anchor").sortWithinPartitions("anchor", "doc").mapInArrow(_resolving(spec), "doc long, start long, end long")
-    spans = settled.unionByName(whole).unionByName(some)
-    if not verdicts.where("asks and hot").isEmpty():
-        rows = snippets("hot").mapInArrow(_window_rows(spec), "one long, two long, doc long, start long")
-        known_windows = rows.groupBy("one", "two").agg(F.min("doc").alias("first"), F.count("*").alias("total"))
-        again = F.col("doc") > F.col("first") if spec.later_only else F.col("total") > 1
-        spans = spans.unionByName(rows.join(known_windows, ["one", "two"]).where(again).select("doc", "start", (F.col("start") + spec.window).alias("end")))
-
-    spans = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    done = known.join(spans, known["doc_id"] == spans["doc"], "left").select("doc_id", "text", "spans")
-    rest = texts.where("doc_id is null").withColumn("spans", F.lit(None).cast("array<struct<start:bigint,end:bigint>>"))
-    return done.unionByName(rest).mapInArrow(_finishing(spec), ddl)
+    )
+
+    def texts_of(which: str) -> DataFrame:
+        asked = verdicts.where(f"asks and {which}").groupBy("doc", "variant").agg(F.collect_list(F.struct("anchor", "ctx", "place", "several")).alias("asked"))
+        return in_arrow(known.join(asked, ["doc", "variant"]).select("doc", "variant", "text", "asked"), _fetch(spec), _SNIPPET_DDL)
+
+    columns = ["anchor", "ctx", "doc", "variant", "place", "several"]
+    places = verdicts.where("not settled and not hot").select(F.lit(1).alias("kind"), *columns, F.lit(None).cast("binary").alias("snippet"))
+    both = texts_of("not hot").select(F.lit(0).alias("kind"), *columns, "snippet").unionByName(places)
+    found = in_arrow(both.repartition("anchor").sortWithinPartitions("anchor", "kind"), _resolving(spec), "doc long, variant long, start long, end long")
+    spans = verdicts.where("settled").select("doc", "variant", F.col("ctx").alias("start"), F.col("place").alias("end")).unionByName(found)
+    if verdicts.where("hot").isEmpty():
+        return spans
+    windows = in_arrow(texts_of("hot"), _window_rows(spec), "anchor long, ctx long, ones array<long>, twos array<long>")
+    first = F.shiftright("place", 20) - F.shiftright("place", 10).bitwiseAND(1023)
+    each = verdicts.where("hot").join(windows, ["anchor", "ctx"]).select("doc", "variant", first.alias("first"), F.posexplode(F.arrays_zip("ones", "twos")).alias("n", "w"))
+    single = each.select(F.col("w.ones").alias("anchor"), F.col("w.twos").alias("ctx"), "doc", "variant", F.shiftleft(F.col("first") + F.col("n"), 20).alias("place"), F.lit(False).alias("settled"))
+    return spans.unionByName(_resolved(single, known, spec))
+
+
+def remove_repeats(docs: DataFrame, spec: Repeats, ddl: str, id_col: str, text_col: str, scan: bool) -> DataFrame:
+    """One row a document: what `spec.finish` makes of its text and the spans to remove. Anything but a scan of files
+    (`scan` false) is written to the shared folder first, as it is read several times."""
+    texts = keyed_texts(docs, id_col, text_col, scan)
+    known = texts.where("id is not null") if spec.later_only else texts
+    leading = in_arrow(known.select("doc", "variant", "text"), _leading(spec), ROWS)
+    spans = _resolved(leading, known, spec).groupBy("doc", "variant").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    done = known.join(spans, ["doc", "variant"], "left").select("id", "text", "spans")
+    if spec.later_only:
+        done = done.unionByName(texts.where("id is null").select("id", "text", F.lit(None).cast("array<struct<start:bigint,end:bigint>>").alias("spans")))
+    return in_arrow(done, _finishing(spec), ddl)

@@ -1,9 +1,13 @@
 """Substring dedup by words: repeated-phrase automata.
 
 Windows of 13 words that also start in a document with a smaller id are removed. Anchors (see _anchors) confirm which
-passages recur; for each shard of anchors the recurring windows are compiled into an Aho-Corasick automaton, and the
-shard's share of the documents, cut to the surroundings of its anchors, streams through it to find every occurrence.
-A phrase occurs only where its anchor does, so a document's surroundings reach every automaton that could match in it.
+passages may recur. Each chunk of documents compiles the passages that recur inside it into an Aho-Corasick automaton
+and streams its documents through; each shard of anchors compiles what recurs across chunks and streams the passages
+of the shard, one for each distinct text, whose places share what is found. A phrase occurs only where its anchor does, so
+every occurrence meets every automaton that could match it, and a word is removed only where an automaton found a phrase.
+
+Automata read words as short runs of characters, a run for each distinct word of the chunk or shard, which keeps their
+nodes few and their alphabet small.
 """
 
 from __future__ import annotations
@@ -13,13 +17,90 @@ import hashlib
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from ._anchors import PrefixHash, Repeats, covered, mix, remove_repeats, word_units
+from ._anchors import Repeats, covered, mix, remove_repeats
 from ._spark import table
 from ._text import words
 
 WINDOW, GRAM = 13, 5
+_digest = xxhash.xxh3_64_intdigest
+
+
+def spelled(codes: np.ndarray) -> tuple[str, int]:
+    """Numbers of words as one string, and the characters a word has: digits of base 128, apart by their position."""
+    digits = max(1, -(-int(codes.max(initial=0)).bit_length() // 7))
+    out = np.empty((len(codes), digits), "<u4")
+    for k in range(digits):
+        out[:, k] = 0x100 + 0x80 * k + ((codes >> (7 * k)) & 127)
+    return out.tobytes().decode("utf-32-le"), digits
+
+
+class Words:
+    """A chunk of documents: its words joined by one space, a number and a hash for each."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, window: int):
+        starts, ends, self.bounds = words(data, offsets)
+        self.window = window
+        lengths = ends - starts
+        self.to = np.concatenate(([0], np.cumsum(lengths + 1)))
+        keep = np.repeat(starts - self.to[:-1], lengths + 1) + np.arange(self.to[-1])
+        joined = data[np.minimum(keep, max(0, len(data) - 1))] if len(starts) else np.zeros(0, np.uint8)
+        joined[self.to[1:] - 1] = 32
+        self.view = memoryview(joined)
+        array = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(self.to), pa.py_buffer(joined)])
+        encoded = array.dictionary_encode()
+        self.codes = encoded.indices.to_numpy(zero_copy_only=False)
+        known = encoded.dictionary.to_pylist()
+        self.units = np.fromiter((_digest(w, 1) for w in known), np.uint64, len(known))[self.codes] if known else np.zeros(0, np.uint64)
+
+    def anchor_ids(self, at: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(at), np.uint64)
+        for k in range(min(GRAM, self.window)):
+            out = mix(out + self.units[at + k])
+        return out
+
+    def class_ids(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        view, lo, hi = self.view, self.to[begin].tolist(), (self.to[end] - 1).tolist()
+        return np.fromiter((_digest(view[i:j], 2) for i, j in zip(lo, hi)), np.uint64, len(lo))
+
+    def settle(self, c: dict[str, np.ndarray], ids: np.ndarray, _piece: int, _hashes) -> tuple[np.ndarray, ...]:
+        """Stream the documents through the automaton of the chunk's recurring passages. Returns which contexts have all
+        their windows in smaller documents of the chunk, and where the windows found lie."""
+        n = len(c["doc"])
+        doc = ids[c["doc"]]
+        order = np.lexsort((c["a"], doc, c["ctx"], c["anchor"]))
+        fresh = np.ones(n, bool)
+        fresh[1:] = (c["anchor"][order[1:]] != c["anchor"][order[:-1]]) | (c["ctx"][order[1:]] != c["ctx"][order[:-1]])
+        begin = np.flatnonzero(fresh)
+        size = np.diff(np.append(begin, n))
+        later = doc[order] > np.repeat(doc[order[begin]], size)
+        recurs = np.logical_or.reduceat(later, begin)
+        none = np.zeros(0, np.int64)
+        if not recurs.any():
+            return np.zeros(n, bool), none, none, none
+        text, digits = spelled(self.codes)
+        automaton = ahocorasick.Automaton()
+        first = order[begin[recurs]]
+        for lo, end, source in zip(c["lo"][first].tolist(), (c["hi"][first] + self.window).tolist(), doc[first].tolist()):
+            automaton.add_word(text[lo * digits : end * digits], (end - lo, source))
+        automaton.make_automaton()
+        found: list[tuple[int, int, int]] = []
+        for d in np.unique(c["doc"][order[later]]).tolist():
+            own = int(ids[d])
+            for end, (length, source) in automaton.iter(text, int(self.bounds[d]) * digits, int(self.bounds[d + 1]) * digits):
+                if source < own:
+                    end = (end + 1) // digits
+                    found.append((d, end - length, end))
+        if not found:
+            return np.zeros(n, bool), none, none, none
+        where, start, end = np.array(found, np.int64).T
+        steps = np.zeros(len(self.codes) + 2, np.int64)
+        np.add.at(steps, start, 1)
+        np.add.at(steps, end - self.window + 1, -1)
+        hit = np.concatenate(([0], np.cumsum(np.cumsum(steps) > 0)))
+        return hit[c["hi"] + 1] - hit[c["lo"]] == c["hi"] - c["lo"] + 1, where, start, end
 
 
 def _words_of(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -30,50 +111,68 @@ def _words_of(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _cut(text: np.ndarray, cuts: list[tuple[int, int]]) -> list[bytes]:
     starts, ends = _words_of(text)
     raw, begin, end = text.tobytes(), starts.tolist(), ends.tolist()
-    return [b" ".join(raw[begin[i] : end[i]] for i in range(a, b)) for a, b in cuts]
-
-
-def _windows(snippet: bytes, window: int) -> list[str]:
-    w = snippet.decode("utf-8", "surrogateescape").split(" ")
-    return [f" {' '.join(w[i : i + window])} " for i in range(len(w) - window + 1)]
+    split = [raw[i:j] for i, j in zip(begin, end)]
+    return [b" ".join(split[a:b]) for a, b in cuts]
 
 
 def _resolver(window: int):
-    def resolve(rows: list[dict]) -> list[tuple[int, int, int]]:
-        first: dict[str, int] = {}
+    def resolve(anchor, doc, left, right, several, snippets: list[bytes]):
+        """Windows of each class that recur: for the class's first document those known from a smaller one, for its other
+        documents all."""
+        number: dict[bytes, int] = {}
+        split = [s.split(b" ") for s in snippets]
+        codes = np.array([number.setdefault(w, len(number)) for s in split for w in s], np.int64)
+        text, digits = spelled(codes)
+        ends = np.cumsum([len(s) for s in split]).tolist()
+        begins = [0, *ends[:-1]]
+        docs, many = doc.tolist(), several.tolist()
+        _, group, count = np.unique(anchor, return_inverse=True, return_counts=True)
+        alone = (count[group] == 1).tolist()
+        width = window * digits
+        known: dict[str, int] = {}
         recurring: set[str] = set()
-        for r in rows:
-            for phrase in _windows(r["snippet"], window):
-                doc = first.setdefault(phrase, r["doc"])
-                if doc != r["doc"]:
+        for i, (a, b) in enumerate(zip(begins, ends)):
+            if alone[i]:
+                continue
+            for k in range(a * digits, (b - window) * digits + 1, digits):
+                phrase = text[k : k + width]
+                source = known.setdefault(phrase, docs[i])
+                if source != docs[i] or many[i]:
                     recurring.add(phrase)
-                    first[phrase] = min(doc, r["doc"])
-        if not recurring:
-            return []
+                    known[phrase] = min(source, docs[i])
         automaton = ahocorasick.Automaton()
         for phrase in recurring:
-            automaton.add_word(phrase, (len(phrase), first[phrase]))
-        automaton.make_automaton()
-        found = []
-        for r in rows:
-            text = f" {r['snippet'].decode('utf-8', 'surrogateescape')} "
-            hits = [end + 1 - length for end, (length, doc) in automaton.iter(text) if doc < r["doc"]]
-            left = r["shape"] // 1024
-            for at in hits:
-                word = text.count(" ", 0, at)
-                found += [(r["doc"], a - left + word, a - left + word + window) for a in r["places"]]
-        return found
+            automaton.add_word(phrase, (window, known[phrase]))
+        for i, (a, b) in enumerate(zip(begins, ends)):
+            if alone[i] and many[i] and text[a * digits : b * digits] not in automaton:  # the only class of its anchor recurs as a whole
+                automaton.add_word(text[a * digits : b * digits], (b - a, docs[i]))
+        first: list[tuple[int, int, int]] = []
+        others: list[tuple[int, int, int]] = []
+        if len(automaton):
+            automaton.make_automaton()
+            for i, (a, b) in enumerate(zip(begins, ends)):
+                for end, (length, source) in automaton.iter(text, a * digits, b * digits):
+                    last = (end + 1) // digits - window - a
+                    low = last + window - length
+                    for found, good in ((first, source < docs[i]), (others, source <= docs[i])):
+                        if not good:
+                            continue
+                        if found and found[-1][0] == i and low <= found[-1][2] + 1:
+                            found[-1] = (i, min(low, found[-1][1]), max(last, found[-1][2]))
+                        else:
+                            found.append((i, low, last))
+        return tuple(tuple(np.array(f, np.int64).reshape(-1, 3).T) for f in (first, others))
 
     return resolve
 
 
-def _hasher(window: int):
-    def hashes(snippet: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
-        one, two, _ = word_units(snippet, np.array([0, len(snippet)]))
-        at = np.arange(count)
-        return mix(PrefixHash(one).of(at, at + window)), mix(PrefixHash(two).of(at, at + window))
+def _window_ids(window: int):
+    def ids(snippet: bytes, count: int) -> tuple[np.ndarray, np.ndarray]:
+        w = snippet.split(b" ")
+        phrases = [b" ".join(w[i : i + window]) for i in range(count)]
+        return tuple(np.fromiter((_digest(p, seed) for p in phrases), np.uint64, count) for seed in (3, 4))
 
-    return hashes
+    return ids
 
 
 def _finish(text: np.ndarray, spans: np.ndarray) -> dict:
@@ -89,13 +188,14 @@ def remove_repeated_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: s
     """(doc_id, n_words, n_removed, kept_sha256 and, if asked, kept_text) for each row.
 
     A word is removed if a window of `window` words covers it that also starts in a document with a smaller id; windows
-    are judged on the input. Null and empty texts have no words. A row without doc_id comes back whole and is no source.
-    Rows that repeat a doc_id and its text get equal results. Other columns are left out; no rows give no rows. `scan` says that
-    docs only reads files, which needs no copy of the texts.
+    are judged on the input. Null and empty texts have no words. A row without doc_id comes back whole and is no source, as no
+    id is smaller or larger than none. Rows that repeat a doc_id are judged each by its own text, and are no source for one
+    another. Other columns are left out; no rows give no rows. `scan` says that docs only reads files, which needs no copy of
+    the texts.
     """
     fields = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string()} | ({"kept_text": pa.string()} if with_text else {})
     finish = _finish if with_text else lambda text, spans: {k: v for k, v in _finish(text, spans).items() if k != "kept_text"}
-    spec = Repeats(window, min(GRAM, window), word_units, _cut, _resolver(window), _hasher(window), finish, pa.schema(fields), True, most_classes)
+    spec = Repeats(window, min(GRAM, window), lambda data, offsets: Words(data, offsets, window), _cut, _resolver(window), _window_ids(window), finish, pa.schema(fields), True, most_classes)
     ddl = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
     return remove_repeats(docs, spec, ddl, id_col, text_col, scan)
 

@@ -4,32 +4,46 @@ Strings of 400 bytes that start at two places or more are removed. Anchors (see
 may share one. The contexts of an anchor are sorted by their suffixes from the anchor on, in a mergesort whose
 comparisons find the common extension of two suffixes by binary search on prefix polynomial hashes; neighbours in that
 order share the longest extensions, and going outward from each the common extensions to both sides tell which strings
-repeat. What the hashes claim is verified on the bytes.
+repeat. What the hashes claim is verified on the bytes. Each chunk of documents sorts its own contexts so and settles
+those that are equal; the contexts that are left, one for each distinct text, are sorted by shards of anchors, and one that
+stands in several chunks meets itself there.
 """
 
 from __future__ import annotations
 
+import copy
 import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from ._anchors import _TABLES, PrefixHash, Repeats, byte_units, covered, mix, remove_repeats
+from ._anchors import _TABLES, PrefixHash, PrimeHash, Repeats, covered, remove_repeats
 from ._spark import table
 
 WINDOW, GRAM = 400, 200
+_digest = xxhash.xxh3_64_intdigest
 
 
 class Contexts:
-    """Contexts laid one after another: bytes, prefix hashes, and where each begins, ends and has its anchor."""
+    """Contexts over one array of bytes: prefix hashes, and where each begins, ends and has its anchor."""
 
-    def __init__(self, snippets: list[bytes], left: np.ndarray):
-        self.data = np.frombuffer(b"".join(snippets), np.uint8)
+    def __init__(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, anchor: np.ndarray, hashes: PrefixHash | None = None):
+        self.data, self.begin, self.end, self.anchor = data, begin, end, anchor
+        self.hash = PrefixHash(_TABLES[0][data]) if hashes is None else hashes
+        self.prime = PrimeHash(_TABLES[1][data])
+
+    @classmethod
+    def of(cls, snippets: list[bytes], left: np.ndarray) -> Contexts:
         ends = np.cumsum([len(s) for s in snippets])
-        self.begin, self.end = np.append(0, ends[:-1]), ends
-        self.anchor = self.begin + left
-        self.hash = PrefixHash(_TABLES[0][self.data])
+        begin = np.append(0, ends[:-1])
+        return cls(np.frombuffer(b"".join(snippets), np.uint8), begin, ends, begin + left)
+
+    def take(self, which: np.ndarray) -> Contexts:
+        out = copy.copy(self)
+        out.begin, out.end, out.anchor = self.begin[which], self.end[which], self.anchor[which]
+        return out
 
     def ahead(self, i: np.ndarray, j: np.ndarray, verify: bool = False) -> np.ndarray:
         """Length of the common extension of the suffixes from the anchors of i and j."""
@@ -41,16 +55,15 @@ class Contexts:
 
     def _extent(self, x: np.ndarray, y: np.ndarray, most: np.ndarray, way: int, verify: bool) -> np.ndarray:
         low, high = np.zeros(len(x), np.int64), most.copy()
+        mid = most  # most comparisons are of equal texts
         while (open_ := low < high).any():
-            mid = (low + high + 1) // 2
-            if way > 0:
-                equal = self.hash.of(x, x + mid) == self.hash.of(y, y + mid)
-            else:
-                equal = self.hash.of(x - mid, x) == self.hash.of(y - mid, y)
+            (u, v), (s, t) = ((x, x + mid), (y, y + mid)) if way > 0 else ((x - mid, x), (y - mid, y))
+            equal = (self.hash.of(u, v) == self.hash.of(s, t)) & (self.prime.of(u, v) == self.prime.of(s, t))
             low, high = np.where(open_ & equal, mid, low), np.where(open_ & ~equal, mid - 1, high)
+            mid = (low + high + 1) // 2
         if verify:  # a collision can only claim too much
-            for k in range(0, len(x), 4096):
-                s = slice(k, k + 4096)
+            for k in range(0, len(x), 512):
+                s = slice(k, k + 512)
                 step = np.arange(low[s].max(initial=0))
                 inside = step < low[s, None]
                 shift = step if way > 0 else -1 - step
@@ -141,35 +154,69 @@ def repeated_windows(c: Contexts, group: np.ndarray, nearest: np.ndarray, furthe
     return out
 
 
+class Bytes:
+    """A chunk of documents as bytes."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, window: int, gram: int):
+        self.data, self.bounds, self.window, self.gram = data, offsets, window, gram
+        self.units = _TABLES[0][data]
+        self.view = memoryview(np.ascontiguousarray(data))
+
+    def _digests(self, begin: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+        view = self.view
+        return np.fromiter((_digest(view[i:j], seed) for i, j in zip(begin.tolist(), end.tolist())), np.uint64, len(begin))
+
+    def anchor_ids(self, at: np.ndarray) -> np.ndarray:
+        return self._digests(at, at + self.gram, 1)
+
+    def class_ids(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return self._digests(begin, end, 2)
+
+    def settle(self, c: dict[str, np.ndarray], _ids: np.ndarray, piece: int, hashes: PrefixHash) -> tuple[np.ndarray, ...]:
+        """Sort the suffixes of the contexts whose anchor stands several times in the piece. Neighbours that extend to both
+        sides over all of either, verified on the bytes, are equal: all of them repeat, and one stands for them later."""
+        _, group, count = np.unique(c["anchor"], return_inverse=True, return_counts=True)
+        some = np.flatnonzero(count[group] > 1)
+        some = some[np.argsort(group[some], kind="stable")]
+        done = np.zeros(len(group), bool)
+        if not len(some):
+            return done, some, some, some
+        lo, end, a = c["lo"][some], c["hi"][some] + self.window, c["a"][some]
+        near = Contexts(self.data[piece : piece + len(hashes.sums) - 1], lo - piece, end - piece, a - piece, hashes)
+        order = suffix_order(near, group[some])
+        i, j = order[:-1], order[1:]
+        alike = (group[some[i]] == group[some[j]]) & (a[i] - lo[i] == a[j] - lo[j]) & (end[i] - a[i] == end[j] - a[j])
+        at = np.flatnonzero(alike)
+        i, j = i[at], j[at]
+        equal = (near.ahead(i, j, verify=True) == end[i] - a[i]) & (near.back(i, j, verify=True) == a[i] - lo[i])
+        i, j = i[equal], j[equal]
+        done[some[j]] = True
+        repeats = np.unique(np.concatenate((i, j)))
+        return done, c["doc"][some[repeats]], lo[repeats], end[repeats]
+
+
 def _resolver(window: int):
-    def resolve(rows: list[dict]) -> np.ndarray:
-        shape = np.array([r["shape"] for r in rows])
-        left, right = shape // 1024, shape % 1024
-        c = Contexts([r["snippet"] for r in rows], left)
-        _, group = np.unique(np.array([r["anchor"] for r in rows]), return_inverse=True)
-        parts = repeated_windows(c, group, right, left, window)
-        if not parts:
-            return np.zeros((0, 3), np.int64)
-        found = np.concatenate(parts)
-        doc = np.array([r["doc"] for r in rows])
-        count = np.array([len(r["places"]) for r in rows])
-        places = np.concatenate([r["places"] for r in rows])
-        begin = np.append(0, np.cumsum(count)[:-1])
-        many = count[found[:, 0]]
-        part = np.repeat(np.arange(len(found)), many)
-        which = np.arange(many.sum()) - np.repeat(np.append(0, np.cumsum(many)[:-1]), many)
-        a = places[begin[found[part, 0]] + which]
-        return np.stack((doc[found[part, 0]], a - found[part, 2], a - found[part, 1] + window), axis=1)
+    def resolve(anchor, _doc, left, right, several, snippets: list[bytes]):
+        """Windows of each class that stand in another class, or in the class itself where it has several places."""
+        c = Contexts.of(snippets, left)
+        which = np.concatenate((np.arange(len(left)), np.flatnonzero(several)))
+        which = which[np.argsort(anchor[which], kind="stable")]
+        _, group = np.unique(anchor[which], return_inverse=True)
+        parts = repeated_windows(c.take(which), group, right[which], left[which], window)
+        found = np.concatenate([np.zeros((0, 3), np.int64), *parts])
+        cls = which[found[:, 0]]
+        windows = tuple(np.unique(np.stack((cls, left[cls] - found[:, 2], left[cls] - found[:, 1]), axis=1), axis=0).T)
+        return windows, windows
 
     return resolve
 
 
-def _hasher(window: int):
-    def hashes(snippet: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
-        at = np.arange(count)
-        return tuple(mix(PrefixHash(t[snippet]).of(at, at + window)) for t in _TABLES)
+def _window_ids(window: int):
+    def ids(snippet: bytes, count: int) -> tuple[np.ndarray, np.ndarray]:
+        view = memoryview(snippet)
+        return tuple(np.fromiter((_digest(view[i : i + window], seed) for i in range(count)), np.uint64, count) for seed in (3, 4))
 
-    return hashes
+    return ids
 
 
 def _finish(text: np.ndarray, spans: np.ndarray) -> dict:
@@ -184,14 +231,15 @@ def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: s
     UTF-8 bytes, which may begin or end inside a character.
 
     A byte is removed if a string of `window` bytes covers it that also starts anywhere else, the same document
-    included; matches stay inside a document and are judged on the input. Null texts count as empty. A row without
-    doc_id comes back whole and is no source. Rows that repeat a doc_id and its text count as two places and get equal
-    results. Other columns are left out; no rows give no rows. `scan` says that
-    docs only reads files, which needs no copy of the texts. `window` is at most 1023.
+    included; matches stay inside a document and are judged on the input. Null texts count as empty. Rows without
+    doc_id are judged and are sources like any other. Rows that repeat a doc_id are places of their own, each with its own
+    text. Other columns are left out; no rows give no rows. `scan` says that docs only reads files, which needs no copy of
+    the texts. `window` is at most 1023.
     """
     fields = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()} | ({"kept": pa.binary()} if with_text else {})
     finish = _finish if with_text else lambda text, spans: {k: v for k, v in _finish(text, spans).items() if k != "kept"}
-    spec = Repeats(window, max(1, window // 2), byte_units, lambda t, cuts: [t[a:b].tobytes() for a, b in cuts], _resolver(window), _hasher(window), finish, pa.schema(fields), False, most_classes)
+    gram = max(1, window // 2)
+    spec = Repeats(window, gram, lambda data, offsets: Bytes(data, offsets, window, gram), lambda t, cuts: [t[a:b].tobytes() for a, b in cuts], _resolver(window), _window_ids(window), finish, pa.schema(fields), False, most_classes)
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
     return remove_repeats(docs, spec, ddl, id_col, text_col, scan)
 

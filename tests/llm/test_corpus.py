@@ -129,13 +129,13 @@ def test_phrases_equal_brute_force(spark, most_classes):
 def test_strings_equal_brute_force(spark, most_classes):
     rows, k = corpus(3), 60
     texts = [(d, (t or "").encode()) for d, t, _ in rows]
-    count = Counter(b[i : i + k] for d, b in texts if d is not None for i in range(len(b) - k + 1))
+    count = Counter(b[i : i + k] for _, b in texts for i in range(len(b) - k + 1))
     found = suffix_dedup.remove_repeated_strings(docs(spark, rows), window=k, most_classes=most_classes).collect()
     want = {}
     for doc, b in texts:
         gone = np.zeros(len(b), bool)
         for i in range(len(b) - k + 1):
-            if doc is not None and count[b[i : i + k]] > 1:
+            if count[b[i : i + k]] > 1:
                 gone[i : i + k] = True
         kept = np.frombuffer(b, np.uint8)[~gone].tobytes()
         runs = int((gone[1:] & ~gone[:-1]).sum() + (gone[0] if len(b) else 0))
@@ -148,7 +148,7 @@ def test_suffix_order_sorts():
     rng = random.Random(4)
     snippets = ["".join(rng.choice("ab") for _ in range(rng.randint(3, 30))).encode() for _ in range(200)]
     group = np.sort(np.array([rng.randrange(7) for _ in snippets]))
-    order = suffix_dedup.suffix_order(suffix_dedup.Contexts(snippets, np.full(200, 2)), group)
+    order = suffix_dedup.suffix_order(suffix_dedup.Contexts.of(snippets, np.full(200, 2)), group)
     assert list(order) == sorted(range(200), key=lambda i: (group[i], snippets[i][2:], i))
 
 
@@ -426,3 +426,119 @@ def test_decontamination_finds_short_items():
     ((_, w, bounds),) = decontaminate.word_hashes(pa.array(texts))
     got = {(r, i): (s, e) for m in known.matches(w, bounds) for r, i, s, e in zip(*map(np.ndarray.tolist, m))}
     assert got == {(0, 0): (1, 0), (1, 1): (0, 0), (3, 2): (0, 0), (5, 3): (0, 0), (7, 4): (1, 1), (8, 4): (0, 1), (9, 4): (0, 1), (10, 4): (0, 1)}
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def phrases_by_brute_force(rows, window=13):
+    """(n_words, n_removed, digest) of each row; rows without an id are untouched."""
+    first = {}
+    for doc, text in rows:
+        w = WORD.findall(text or "")
+        for k in range(len(w) - window + 1):
+            if doc is not None:
+                key = tuple(w[k : k + window])
+                first[key] = min(first.get(key, doc), doc)
+    for doc, text in rows:
+        w = WORD.findall(text or "")
+        gone = {j for k in range(len(w) - window + 1) if doc is not None and first[tuple(w[k : k + window])] < doc for j in range(k, k + window)}
+        yield len(w), len(gone), hashlib.sha256(" ".join(x for j, x in enumerate(w) if j not in gone).encode()).hexdigest()
+
+
+def strings_by_brute_force(rows, k):
+    texts = [(t or "").encode() for _, t in rows]
+    count = Counter(b[i : i + k] for b in texts for i in range(len(b) - k + 1))
+    for b in texts:
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - k + 1):
+            if count[b[i : i + k]] > 1:
+                gone[i : i + k] = True
+        yield len(b), int(gone.sum()), hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()
+
+
+def odd_rows():
+    rnd = random.Random(21)
+    text = lambda k: " ".join(f"w{rnd.randrange(4000)}" for _ in range(k))
+    a, b, hot = text(150), text(150), text(9)
+    t = thue_morse(1024)
+    flipped = t.translate(str.maketrans("ab", "ba"))
+    rows = [(1, "x " * 12 + t), (2, "x " * 12 + flipped), (3, t + " " + text(40)), (4, flipped + " " + text(40))]
+    rows += [(10, a), (10, b), (11, a), (12, b), (None, a), (None, text(30)), (13, text(5) + " " + b[:400])]
+    rows += [(20 + i, text(3) + " " + hot + " " + text(5)) for i in range(30)]  # one anchor, many classes
+    rows += [(60 + i, text(4) + " " + hot + " " + " ".join(a.split()[:9])) for i in range(10)]
+    return rows + [(80, a), (80, a), (-5, b), (90, None), (None, None), (91, "")]
+
+
+@pytest.mark.parametrize("most_classes", [2048, 1])
+@pytest.mark.parametrize("rows_a_batch", [None, 3])
+def test_repeats_of_odd_rows(spark, most_classes, rows_a_batch):
+    """Words built to collide, ids with several texts, rows without an id, an anchor with many classes."""
+    rows = odd_rows()
+    df = docs(spark, [(d, t, "s") for d, t in rows])
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if rows_a_batch:
+        spark.conf.set(size, rows_a_batch)
+    try:
+        got = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in phrase_dedup.remove_repeated_phrases(df, most_classes=most_classes).collect())
+        assert got == Counter((d, *x) for (d, _), x in zip(rows, phrases_by_brute_force(rows)))
+        got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in suffix_dedup.remove_repeated_strings(df, window=50, most_classes=most_classes).collect())
+        assert got == Counter((d, *x) for (d, _), x in zip(rows, strings_by_brute_force(rows, 50)))
+    finally:
+        spark.conf.unset(size)
+
+
+def test_texts_longer_than_a_piece(spark, monkeypatch):
+    from cardloom.llm import _anchors
+
+    monkeypatch.setattr(_anchors, "PIECE", 100)
+    rnd = random.Random(22)
+    long = " ".join(f"w{rnd.randrange(300)}" for _ in range(2000))
+    rows = [(1, long), (2, long[700:5000] + " end"), (3, long[:300] + " x " + long[:300])]
+    for spec_rows, chunk, window in ((phrases_by_brute_force(rows), lambda d, o: phrase_dedup.Words(d, o, 13), 13), (strings_by_brute_force(rows, 50), lambda d, o: suffix_dedup.Bytes(d, o, 50, 25), 50)):
+        data = np.frombuffer("".join(t for _, t in rows).encode(), np.uint8)
+        made = chunk(data, np.append(0, np.cumsum([len(t) for _, t in rows])))
+        windows = [np.arange(lo, hi + 1) for _, _, c in _anchors.contexts(made.units, made.bounds, window, 5) for lo, hi in zip(c["lo"], c["hi"])]
+        every = [np.arange(a, b - window + 1) for a, b in zip(made.bounds, made.bounds[1:])]
+        assert np.array_equal(np.sort(np.concatenate(windows)), np.concatenate(every))  # each window once
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in phrase_dedup.remove_repeated_phrases(docs(spark, [(d, t, "s") for d, t in rows])).collect()}
+    assert list(map(got.get, (1, 2, 3))) == list(phrases_by_brute_force(rows))
+
+
+def test_automata_decide_every_removed_word(spark, monkeypatch):
+    """Nothing is removed where no automaton finds a phrase."""
+    rows = odd_rows()
+    df = docs(spark, [(d, t, "s") for d, t in rows]).coalesce(1)
+
+    class Silent:
+        def __init__(self, *_):
+            self.words = set()
+
+        def add_word(self, word, _):
+            self.words.add(word)
+
+        def make_automaton(self):
+            pass
+
+        def __len__(self):
+            return len(self.words)
+
+        def __contains__(self, word):
+            return word in self.words
+
+        def iter(self, *_):
+            return iter(())
+
+    monkeypatch.setattr(phrase_dedup.ahocorasick, "Automaton", Silent)
+    ids = np.array([d for d, _ in rows if d is not None])
+    data = "".join(t or "" for d, t in rows if d is not None).encode()
+    made = phrase_dedup.Words(np.frombuffer(data, np.uint8), np.append(0, np.cumsum([len((t or "").encode()) for d, t in rows if d is not None])), 13)
+    from cardloom.llm import _anchors
+
+    for s, hashes, c in _anchors.contexts(made.units, made.bounds, 13, 5):
+        c["anchor"], c["ctx"] = made.anchor_ids(c["a"]), made.class_ids(c["lo"], c["hi"] + 13)
+        done, doc, _, _ = made.settle(c, ids, s, hashes)
+        assert not done.any() and not len(doc)
+    none = phrase_dedup._resolver(13)(np.array([1]), np.array([5]), np.array([0]), np.array([0]), np.array([True]), [b" ".join([b"a"] * 13)])
+    assert all(len(x[0]) == 0 for x in none)
