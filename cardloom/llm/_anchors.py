@@ -16,7 +16,7 @@ The work:
 3. of these the text of one context a class is fetched, and the resolver runs the method over the classes of whole
    anchors. The places of a class follow its text in the same sorted rows, as a stream, and get what was found in it;
 4. anchors with more than `most_classes` classes are dealt out anew by single windows, which then are contexts of their
-   own, and go through steps 2 and 3 again;
+   own, with the window's digest for an anchor, and go to the same resolver;
 5. the removed spans are gathered by document and joined to the texts.
 
 Both joins to the texts need them dealt out by document; Spark reuses that exchange, so texts are shuffled once.
@@ -30,6 +30,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -159,7 +160,7 @@ class Repeats:
     #: anchors, docs, left, right, several, snippets of classes -> (class, first, last) windows to remove, for the class's
     #: first document and for its other ones
     resolve: Callable
-    window_ids: Callable  # a snippet, windows in it -> two lists of digests
+    windows: Callable  # a snippet, how many windows it has -> their texts
     finish: Callable  # bytes of a document, spans -> a row of the result
     result: pa.Schema
     later_only: bool  # only windows that begin in a smaller document count (else anywhere else)
@@ -222,8 +223,8 @@ def _spans(doc: np.ndarray, variant: np.ndarray, start: np.ndarray, end: np.ndar
     return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (doc, variant, start, end)], ["doc", "variant", "start", "end"])
 
 
-_SNIPPETS = pa.schema({"anchor": pa.int64(), "ctx": pa.int64(), "doc": pa.int64(), "variant": pa.int64(), "place": pa.int64(), "several": pa.bool_(), "snippet": pa.binary()})
-_SNIPPET_DDL = "anchor long, ctx long, doc long, variant long, place long, several boolean, snippet binary"
+_SNIPPETS = pa.schema({"anchor": pa.int64(), "cls": pa.int32(), "doc": pa.int64(), "variant": pa.int64(), "place": pa.int64(), "several": pa.bool_(), "snippet": pa.binary()})
+_SNIPPET_DDL = "anchor long, cls int, doc long, variant long, place long, several boolean, snippet binary"
 
 
 def _fetch(spec: Repeats) -> Callable:
@@ -243,7 +244,7 @@ def _fetch(spec: Repeats) -> Callable:
                 snippets += spec.cut_text(data[offsets[i] : offsets[i + 1]], cuts[at : at + n])
                 at += n
             which = pa.array(np.repeat(np.arange(len(many)), many))
-            columns = [asked.field("anchor"), asked.field("ctx"), batch.column("doc").take(which), batch.column("variant").take(which), asked.field("place"), asked.field("several"), pa.array(snippets, pa.binary())]
+            columns = [asked.field("anchor"), asked.field("cls"), batch.column("doc").take(which), batch.column("variant").take(which), asked.field("place"), asked.field("several"), pa.array(snippets, pa.binary())]
             out = pa.RecordBatch.from_arrays(columns, schema=_SNIPPETS)
             for k in range(0, len(out), 10_000):
                 yield out.slice(k, 10_000)
@@ -259,13 +260,13 @@ def _resolving(spec: Repeats) -> Callable:
 
     def out(rows: pa.Table) -> pa.RecordBatch:
         texts, places = rows.filter(pc.equal(rows["kind"], 0)), rows.filter(pc.equal(rows["kind"], 1))
-        anchor, ctx, doc, place = (texts[c].to_numpy() for c in ("anchor", "ctx", "doc", "place"))
+        anchor, cls, doc, place = (texts[c].to_numpy() for c in ("anchor", "cls", "doc", "place"))
         left = (place >> 10) & 1023
         several = texts["several"].to_numpy()
         first, others = spec.resolve(anchor, doc, left, place & 1023, several, texts["snippet"].to_pylist())
-        number = {key: i for i, key in enumerate(zip(anchor.tolist(), ctx.tolist()))}
+        number = {key: i for i, key in enumerate(zip(anchor.tolist(), cls.tolist()))}
         m_doc, m_variant, m_place = (places[c].to_numpy() for c in ("doc", "variant", "place"))
-        of = np.fromiter((number[key] for key in zip(places["anchor"].to_pylist(), places["ctx"].to_pylist())), np.int64, len(m_doc))
+        of = np.fromiter((number[key] for key in zip(places["anchor"].to_numpy().tolist(), places["cls"].to_numpy().tolist())), np.int64, len(m_doc))
         is_first = m_doc == doc[of]
         found = [(np.zeros(0, np.int64),) * 4]
         for mask, (cls, low, high) in ((is_first, first), (~is_first, others)):
@@ -306,17 +307,19 @@ def _resolving(spec: Repeats) -> Callable:
 
 
 def _window_rows(spec: Repeats) -> Callable:
-    """The windows of classes of hot anchors: two digests for each, in order."""
-    schema = pa.schema({"anchor": pa.int64(), "ctx": pa.int64(), "ones": pa.list_(pa.int64()), "twos": pa.list_(pa.int64())})
+    """The windows of classes of hot anchors: two digests and the text of each, in order."""
+    names = ["anchor", "cls", "ones", "twos", "snippets"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {"ones": [], "twos": []}
+            out: dict[str, list] = {"ones": [], "twos": [], "snippets": []}
             for place, snippet in zip(batch.column("place").to_pylist(), batch.column("snippet").to_pylist()):
-                one, two = spec.window_ids(snippet, ((place >> 10) & 1023) - (place & 1023) + 1)
-                out["ones"].append(one.view(np.int64))
-                out["twos"].append(two.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("anchor"), batch.column("ctx"), pa.array(out["ones"], schema.field(2).type), pa.array(out["twos"], schema.field(3).type)], schema=schema)
+                texts = spec.windows(snippet, ((place >> 10) & 1023) - (place & 1023) + 1)
+                for name, seed in (("ones", 3), ("twos", 4)):
+                    out[name].append(np.array([xxhash.xxh3_64_intdigest(t, seed) for t in texts], np.uint64).view(np.int64))
+                out["snippets"].append(texts)
+            columns = [batch.column("anchor"), batch.column("cls"), *(pa.array(out[n], pa.list_(pa.int64())) for n in names[2:4]), pa.array(out["snippets"], pa.list_(pa.binary()))]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
@@ -346,13 +349,13 @@ def covered(length: int, spans: np.ndarray) -> np.ndarray:
 def keyed_texts(docs: DataFrame, id_col: str, text_col: str, scan: bool) -> DataFrame:
     """(id, doc, variant, text) of each row: doc and variant together name a text. variant is 0 but for the rows whose id
     is null or stands at several texts, where it is a hash of the text (and doc another one, where there is no id)."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     if not scan:
         texts = stored(texts)
-    hashed = F.xxhash64(F.coalesce("text", F.lit("")))
+    hashed = F.xxhash64("text")
     ids = texts.where("id is not null").groupBy("id").agg(F.min(hashed).alias("low"), F.max(hashed).alias("high"))
     unclear = stored(ids.where("low <> high").select(F.col("id").alias("unclear")))
-    own = F.xxhash64(F.lit(1), F.coalesce("text", F.lit(""))).bitwiseOR(F.lit(1))
+    own = F.xxhash64(F.lit(1), "text").bitwiseOR(F.lit(1))
     if unclear.isEmpty():
         variant = F.when(F.col("id").isNull(), own).otherwise(F.lit(0))
     else:
@@ -361,36 +364,46 @@ def keyed_texts(docs: DataFrame, id_col: str, text_col: str, scan: bool) -> Data
     return texts.select("id", F.coalesce("id", hashed).alias("doc"), variant.cast("long").alias("variant"), "text")
 
 
-def _resolved(rows: DataFrame, known: DataFrame, spec: Repeats) -> DataFrame:
-    """(doc, variant, start, end): the spans to remove, from rows of contexts (steps 2 to 4)."""
-    by_class = W.partitionBy("settled", "anchor", "ctx")
+def _compared(rows: DataFrame, spec: Repeats) -> DataFrame:
+    """`rows` with the number of their class at its anchor, their rank in the class, whether it has several documents (or
+    places), and how many classes the anchor has."""
+    by_anchor, by_class = W.partitionBy("settled", "anchor"), W.partitionBy("settled", "anchor", "ctx")
     seen = rows.repartition("anchor").withColumn("rank", F.row_number().over(by_class.orderBy("doc", "variant", "place")))
     several = F.max("doc").over(by_class) > F.min("doc").over(by_class) if spec.later_only else F.count("*").over(by_class) > 1
-    seen = seen.withColumn("several", several)
-    seen = seen.withColumn("classes", F.sum((F.col("rank") == 1).cast("int")).over(W.partitionBy("settled", "anchor")))
+    seen = seen.withColumn("several", several).withColumn("cls", F.sum((F.col("rank") == 1).cast("int")).over(by_anchor.orderBy("ctx", "doc", "variant", "place")).cast("int"))
+    return seen.withColumn("classes", F.max("cls").over(by_anchor))
+
+
+def _resolved(rows: DataFrame, known: DataFrame, spec: Repeats) -> DataFrame:
+    """(doc, variant, start, end): the spans to remove, from rows of contexts (steps 2 to 4)."""
+    settled = F.col("settled")
     verdicts = stored(
-        seen.where("settled or several or classes > 1").select(
-            "anchor", "ctx", "doc", "variant", "place", "settled", "several", (~F.col("settled") & (F.col("rank") == 1)).alias("asks"),
-            (~F.col("settled") & (F.col("classes") > spec.most_classes)).alias("hot"),
+        _compared(rows, spec).where("settled or several or classes > 1").select(
+            F.when(~settled, F.col("anchor")).alias("anchor"), F.when(~settled, F.col("cls")).alias("cls"), F.when(settled, F.col("ctx")).alias("start"),
+            "doc", "variant", "place", "settled", "several", (~settled & (F.col("rank") == 1)).alias("asks"), (~settled & (F.col("classes") > spec.most_classes)).alias("hot"),
         )
     )
+    columns = ["anchor", "cls", "doc", "variant", "place", "several"]
+
+    def texts_of(which: str) -> DataFrame:  # with the columns that the end needs, so that both use one exchange
+        asked = verdicts.where(f"asks and {which}").groupBy("doc", "variant").agg(F.collect_list(F.struct("anchor", "cls", "place", "several")).alias("asked"))
+        return in_arrow(known.join(asked, ["doc", "variant"]).select("id", "doc", "variant", "text", "asked"), _fetch(spec), _SNIPPET_DDL)
 
-    def texts_of(which: str) -> DataFrame:
-        asked = verdicts.where(f"asks and {which}").groupBy("doc", "variant").agg(F.collect_list(F.struct("anchor", "ctx", "place", "several")).alias("asked"))
-        return in_arrow(known.join(asked, ["doc", "variant"]).select("doc", "variant", "text", "asked"), _fetch(spec), _SNIPPET_DDL)
+    def found(both: DataFrame) -> DataFrame:
+        return in_arrow(both.repartition("anchor").sortWithinPartitions("anchor", "kind"), _resolving(spec), "doc long, variant long, start long, end long")
 
-    columns = ["anchor", "ctx", "doc", "variant", "place", "several"]
+    spans = verdicts.where("settled").select("doc", "variant", "start", F.col("place").alias("end"))
     places = verdicts.where("not settled and not hot").select(F.lit(1).alias("kind"), *columns, F.lit(None).cast("binary").alias("snippet"))
-    both = texts_of("not hot").select(F.lit(0).alias("kind"), *columns, "snippet").unionByName(places)
-    found = in_arrow(both.repartition("anchor").sortWithinPartitions("anchor", "kind"), _resolving(spec), "doc long, variant long, start long, end long")
-    spans = verdicts.where("settled").select("doc", "variant", F.col("ctx").alias("start"), F.col("place").alias("end")).unionByName(found)
+    spans = spans.unionByName(found(texts_of("not hot").select(F.lit(0).alias("kind"), *columns, "snippet").unionByName(places)))
     if verdicts.where("hot").isEmpty():
         return spans
-    windows = in_arrow(texts_of("hot"), _window_rows(spec), "anchor long, ctx long, ones array<long>, twos array<long>")
+    windows = in_arrow(texts_of("hot"), _window_rows(spec), "anchor long, cls int, ones array<long>, twos array<long>, snippets array<binary>")
     first = F.shiftright("place", 20) - F.shiftright("place", 10).bitwiseAND(1023)
-    each = verdicts.where("hot").join(windows, ["anchor", "ctx"]).select("doc", "variant", first.alias("first"), F.posexplode(F.arrays_zip("ones", "twos")).alias("n", "w"))
-    single = each.select(F.col("w.ones").alias("anchor"), F.col("w.twos").alias("ctx"), "doc", "variant", F.shiftleft(F.col("first") + F.col("n"), 20).alias("place"), F.lit(False).alias("settled"))
-    return spans.unionByName(_resolved(single, known, spec))
+    each = verdicts.where("hot").join(windows, ["anchor", "cls"]).select("doc", "variant", first.alias("first"), F.posexplode(F.arrays_zip("ones", "twos", "snippets")).alias("n", "w"))
+    single = each.select(F.col("w.ones").alias("anchor"), F.col("w.twos").alias("ctx"), "doc", "variant", F.shiftleft(F.col("first") + F.col("n"), 20).alias("place"), F.lit(False).alias("settled"), F.col("w.snippets").alias("snippet"))
+    kinds = F.explode(F.when(F.col("rank") == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))).alias("kind")
+    again = _compared(single, spec).where("several").select(kinds, *columns, "snippet")
+    return spans.unionByName(found(again.withColumn("snippet", F.when(F.col("kind") == 0, F.col("snippet")))))
 
 
 def remove_repeats(docs: DataFrame, spec: Repeats, ddl: str, id_col: str, text_col: str, scan: bool) -> DataFrame:

@@ -33,13 +33,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts the lineage and outlives lost executors. It goes when the
-    driver ends."""
+    driver ends; the shuffles behind it can go now, and Spark drops their files when the driver collects its garbage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

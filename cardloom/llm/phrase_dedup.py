@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from ._anchors import Repeats, covered, mix, remove_repeats
+from ._anchors import _TABLES, PrefixHash, PrimeHash, Repeats, covered, mix, ranges, remove_repeats
 from ._spark import table
 from ._text import words
 
@@ -38,7 +38,7 @@ def spelled(codes: np.ndarray) -> tuple[str, int]:
 
 
 class Words:
-    """A chunk of documents: its words joined by one space, a number and a hash for each."""
+    """A chunk of documents: its words joined by one space, and a hash for each."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, window: int):
         starts, ends, self.bounds = words(data, offsets)
@@ -46,14 +46,21 @@ class Words:
         lengths = ends - starts
         self.to = np.concatenate(([0], np.cumsum(lengths + 1)))
         keep = np.repeat(starts - self.to[:-1], lengths + 1) + np.arange(self.to[-1])
-        joined = data[np.minimum(keep, max(0, len(data) - 1))] if len(starts) else np.zeros(0, np.uint8)
-        joined[self.to[1:] - 1] = 32
-        self.view = memoryview(joined)
-        array = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(self.to), pa.py_buffer(joined)])
-        encoded = array.dictionary_encode()
-        self.codes = encoded.indices.to_numpy(zero_copy_only=False)
-        known = encoded.dictionary.to_pylist()
-        self.units = np.fromiter((_digest(w, 1) for w in known), np.uint64, len(known))[self.codes] if known else np.zeros(0, np.uint64)
+        self.joined = data[np.minimum(keep, max(0, len(data) - 1))] if len(starts) else np.zeros(0, np.uint8)
+        self.joined[self.to[1:] - 1] = 32
+        self.view = memoryview(self.joined)
+        two = [kind(table_[data]).of(starts, ends) for kind, table_ in zip((PrefixHash, PrimeHash), _TABLES)]
+        self.units = mix(two[0] ^ mix(two[1] + lengths.astype(np.uint64)))
+
+    def numbers(self, of: np.ndarray) -> np.ndarray:
+        """A number for each distinct word among the marked ones; the others have 0."""
+        at = np.flatnonzero(of)
+        length = self.to[at + 1] - self.to[at]
+        ends = np.concatenate(([0], np.cumsum(length)))
+        array = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(self.joined[ranges(self.to[at], length)])])
+        out = np.zeros(len(of), np.int64)
+        out[at] = array.dictionary_encode().indices.to_numpy(zero_copy_only=False) + 1
+        return out
 
     def anchor_ids(self, at: np.ndarray) -> np.ndarray:
         out = np.zeros(len(at), np.uint64)
@@ -80,7 +87,9 @@ class Words:
         none = np.zeros(0, np.int64)
         if not recurs.any():
             return np.zeros(n, bool), none, none, none
-        text, digits = spelled(self.codes)
+        met = np.zeros(len(self.bounds), np.int64)
+        met[np.unique(c["doc"][order[np.repeat(recurs, size)]])] = 1
+        text, digits = spelled(self.numbers(np.repeat(met[:-1], np.diff(self.bounds)) > 0))
         automaton = ahocorasick.Automaton()
         first = order[begin[recurs]]
         for lo, end, source in zip(c["lo"][first].tolist(), (c["hi"][first] + self.window).tolist(), doc[first].tolist()):
@@ -88,15 +97,15 @@ class Words:
         automaton.make_automaton()
         found: list[tuple[int, int, int]] = []
         for d in np.unique(c["doc"][order[later]]).tolist():
-            own = int(ids[d])
-            for end, (length, source) in automaton.iter(text, int(self.bounds[d]) * digits, int(self.bounds[d + 1]) * digits):
+            own, begin = int(ids[d]), int(self.bounds[d])
+            for end, (length, source) in automaton.iter(text[begin * digits : int(self.bounds[d + 1]) * digits]):
                 if source < own:
-                    end = (end + 1) // digits
+                    end = begin + (end + 1) // digits
                     found.append((d, end - length, end))
         if not found:
             return np.zeros(n, bool), none, none, none
         where, start, end = np.array(found, np.int64).T
-        steps = np.zeros(len(self.codes) + 2, np.int64)
+        steps = np.zeros(len(self.units) + 2, np.int64)
         np.add.at(steps, start, 1)
         np.add.at(steps, end - self.window + 1, -1)
         hit = np.concatenate(([0], np.cumsum(np.cumsum(steps) > 0)))
@@ -119,11 +128,11 @@ def _resolver(window: int):
     def resolve(anchor, doc, left, right, several, snippets: list[bytes]):
         """Windows of each class that recur: for the class's first document those known from a smaller one, for its other
         documents all."""
-        number: dict[bytes, int] = {}
-        split = [s.split(b" ") for s in snippets]
-        codes = np.array([number.setdefault(w, len(number)) for s in split for w in s], np.int64)
-        text, digits = spelled(codes)
-        ends = np.cumsum([len(s) for s in split]).tolist()
+        data = np.frombuffer(b" ".join([*snippets, b""]), np.uint8)
+        to = np.concatenate(([0], np.flatnonzero(data == 32) + 1))
+        array = pa.Array.from_buffers(pa.large_binary(), len(to) - 1, [None, pa.py_buffer(to), pa.py_buffer(data)])
+        text, digits = spelled(array.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64))
+        ends = np.searchsorted(to, np.cumsum([len(s) + 1 for s in snippets])).tolist()
         begins = [0, *ends[:-1]]
         docs, many = doc.tolist(), several.tolist()
         _, group, count = np.unique(anchor, return_inverse=True, return_counts=True)
@@ -151,8 +160,8 @@ def _resolver(window: int):
         if len(automaton):
             automaton.make_automaton()
             for i, (a, b) in enumerate(zip(begins, ends)):
-                for end, (length, source) in automaton.iter(text, a * digits, b * digits):
-                    last = (end + 1) // digits - window - a
+                for end, (length, source) in automaton.iter(text[a * digits : b * digits]):
+                    last = (end + 1) // digits - window
                     low = last + window - length
                     for found, good in ((first, source < docs[i]), (others, source <= docs[i])):
                         if not good:
@@ -166,13 +175,12 @@ def _resolver(window: int):
     return resolve
 
 
-def _window_ids(window: int):
-    def ids(snippet: bytes, count: int) -> tuple[np.ndarray, np.ndarray]:
+def _windows(window: int):
+    def texts(snippet: bytes, count: int) -> list[bytes]:
         w = snippet.split(b" ")
-        phrases = [b" ".join(w[i : i + window]) for i in range(count)]
-        return tuple(np.fromiter((_digest(p, seed) for p in phrases), np.uint64, count) for seed in (3, 4))
+        return [b" ".join(w[i : i + window]) for i in range(count)]
 
-    return ids
+    return texts
 
 
 def _finish(text: np.ndarray, spans: np.ndarray) -> dict:
@@ -195,7 +203,7 @@ def remove_repeated_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: s
     """
     fields = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string()} | ({"kept_text": pa.string()} if with_text else {})
     finish = _finish if with_text else lambda text, spans: {k: v for k, v in _finish(text, spans).items() if k != "kept_text"}
-    spec = Repeats(window, min(GRAM, window), lambda data, offsets: Words(data, offsets, window), _cut, _resolver(window), _window_ids(window), finish, pa.schema(fields), True, most_classes)
+    spec = Repeats(window, min(GRAM, window), lambda data, offsets: Words(data, offsets, window), _cut, _resolver(window), _windows(window), finish, pa.schema(fields), True, most_classes)
     ddl = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
     return remove_repeats(docs, spec, ddl, id_col, text_col, scan)
 

@@ -211,12 +211,8 @@ def _resolver(window: int):
     return resolve
 
 
-def _window_ids(window: int):
-    def ids(snippet: bytes, count: int) -> tuple[np.ndarray, np.ndarray]:
-        view = memoryview(snippet)
-        return tuple(np.fromiter((_digest(view[i : i + window], seed) for i in range(count)), np.uint64, count) for seed in (3, 4))
-
-    return ids
+def _windows(window: int):
+    return lambda snippet, count: [snippet[i : i + window] for i in range(count)]
 
 
 def _finish(text: np.ndarray, spans: np.ndarray) -> dict:
@@ -239,7 +235,7 @@ def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: s
     fields = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()} | ({"kept": pa.binary()} if with_text else {})
     finish = _finish if with_text else lambda text, spans: {k: v for k, v in _finish(text, spans).items() if k != "kept"}
     gram = max(1, window // 2)
-    spec = Repeats(window, gram, lambda data, offsets: Bytes(data, offsets, window, gram), lambda t, cuts: [t[a:b].tobytes() for a, b in cuts], _resolver(window), _window_ids(window), finish, pa.schema(fields), False, most_classes)
+    spec = Repeats(window, gram, lambda data, offsets: Bytes(data, offsets, window, gram), lambda t, cuts: [t[a:b].tobytes() for a, b in cuts], _resolver(window), _windows(window), finish, pa.schema(fields), False, most_classes)
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
     return remove_repeats(docs, spec, ddl, id_col, text_col, scan)
 

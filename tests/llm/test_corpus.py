@@ -527,7 +527,7 @@ def test_automata_decide_every_removed_word(spark, monkeypatch):
         def __contains__(self, word):
             return word in self.words
 
-        def iter(self, *_):
+        def iter(self, _):
             return iter(())
 
     monkeypatch.setattr(phrase_dedup.ahocorasick, "Automaton", Silent)
