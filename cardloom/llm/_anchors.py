@@ -115,6 +115,12 @@ class PrimeHash:
         return (self.sums[ends] - self.sums[starts]) % np.uint64(PRIME) * self.down[starts] % np.uint64(PRIME)
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each word, by both kinds of polynomials over its bytes."""
+    two = [kind(table_[data]).of(starts, ends) for kind, table_ in zip((PrefixHash, PrimeHash), _TABLES)]
+    return mix(two[0] ^ mix(two[1] + (ends - starts).astype(np.uint64)))
+
+
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     n = len(x)
     y = np.full(-(-n // w) * w, np.uint64(2**64 - 1))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._anchors import mix
-from ._spark import table
+from ._spark import in_arrow, table
 from ._text import doc_chunks, string_bytes, words
 
 #: Labelled rows a language is fitted to, about (drawn by a hash of the id), and bytes of text in a task's batch of counts.
@@ -115,7 +115,7 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int =
                 yield pa.RecordBatch.from_pydict({"lang": [lang] * len(at), "kind": [kind] * len(at), "bucket": at, "n": values[at].astype(np.int64)}, schema=pa.schema({"lang": pa.string(), "kind": pa.int32(), "bucket": pa.int64(), "n": pa.int64()}))
 
     kept = labelled.where(F.col("lang").isin(languages) & drawn).select("text", "lang")
-    counts = kept.mapInArrow(count, "lang string, kind int, bucket long, n long").groupBy("lang", "kind", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = in_arrow(kept, count, "lang string, kind int, bucket long, n long").groupBy("lang", "kind", "bucket").agg(F.sum("n").alias("n")).toPandas()
     three, two = np.zeros((len(languages), BUCKETS)), np.zeros((len(languages), 1 << 16))
     at = np.searchsorted(languages, counts["lang"].to_numpy(object)) if len(counts) else np.zeros(0, int)
     for kind, into in enumerate((three, two)):
@@ -225,7 +225,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     ask = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"keep{i}") for i, c in enumerate(keep)])
     ddl = f"doc_id {ask.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, mixture string" + "".join(f", keep{i} {f.dataType.simpleString()}" for i, f in enumerate(extra))
-    out = ask.mapInArrow(run, ddl)
+    out = in_arrow(ask, run, ddl)
     return out.withColumnsRenamed({f"keep{i}": c for i, c in enumerate(keep)})
 
 

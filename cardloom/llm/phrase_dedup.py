@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from ._anchors import _TABLES, PrefixHash, PrimeHash, Repeats, covered, mix, ranges, remove_repeats
+from ._anchors import Repeats, covered, mix, ranges, remove_repeats, word_hashes
 from ._spark import table
 from ._text import words
 
@@ -49,8 +49,7 @@ class Words:
         self.joined = data[np.minimum(keep, max(0, len(data) - 1))] if len(starts) else np.zeros(0, np.uint8)
         self.joined[self.to[1:] - 1] = 32
         self.view = memoryview(self.joined)
-        two = [kind(table_[data]).of(starts, ends) for kind, table_ in zip((PrefixHash, PrimeHash), _TABLES)]
-        self.units = mix(two[0] ^ mix(two[1] + lengths.astype(np.uint64)))
+        self.units = word_hashes(data, starts, ends)
 
     def numbers(self, of: np.ndarray) -> np.ndarray:
         """A number for each distinct word among the marked ones; the others have 0."""

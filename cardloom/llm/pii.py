@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import table
+from ._spark import in_arrow, table
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
@@ -285,7 +285,7 @@ def train(docs: DataFrame, text_col: str = "text", rows: int = FIT_ROWS) -> Fiel
 
     count = some.count()
     drawn = some.select(key.alias("h"), "text").where(F.pmod("h", F.lit(1_000_000)) < int(1_000_000 * min(1.0, rows / max(1, count))) + 1)
-    found = drawn.mapInArrow(label, ddl).orderBy("h", F.col("facts").cast("string"), F.col("tags").cast("string")).limit(10 * rows).collect()
+    found = in_arrow(drawn, label, ddl).orderBy("h", F.col("facts").cast("string"), F.col("tags").cast("string")).limit(10 * rows).collect()
     own = []
     for row in LABELLED:
         text, spans = _marked(row)
@@ -358,7 +358,7 @@ def detect(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str
     ask = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     names = [("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string()), ("text", pa.string())]
     schema = pa.schema(names)
-    return ask.mapInArrow(run, "doc_id long, " + "".join(f"n_{k} long, " for k in KINDS) + "base_sha256 string, spans string, text string")
+    return in_arrow(ask, run, "doc_id long, " + "".join(f"n_{k} long, " for k in KINDS) + "base_sha256 string, spans string, text string")
 
 
 def _redacted(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:
@@ -386,7 +386,7 @@ def redact(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
             new = [_redacted(t, spans) for t, (_, spans) in zip(texts, find_spans(texts, shared.value, known))]
             yield batch.set_column(place, batch.schema.field(place), pa.array(new, batch.schema.field(place).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)
 
 
 def op10_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
