@@ -6,12 +6,18 @@ distances to the vantage points. A fingerprint lives in one shard and also visit
 around its half reaches (the triangle bound), so every pair meets in some shard. Inside a shard a second tree prunes by
 the same bound, and what is left is compared on all 64 bits. The sample only balances the shards; it never decides a
 link. Of dense groups a shard returns a spanning set of links, not all pairs; connected components are the same.
+
+For near copies at a lower similarity, fingerprints are longer: more lanes of 64 bits, each from hashes of its own. Bits
+disagree as often as the angle between the texts' shingle vectors is of a half turn, so a similarity becomes a number of
+bits. Each half of each lane has trees of its own, and two texts meet where any half differs in at most 1 bit.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -20,24 +26,28 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._anchors import mix
 from ._graph import connected_components
-from ._spark import stored, table
+from ._spark import in_arrow, small, stored, table
 from ._text import doc_chunks, string_bytes, words
 
 SEED = 42
 MAX_BITS = 3
 SHINGLE = 3
-#: Distinct fingerprints that the shard trees are fitted to, at most.
-SAMPLE = 16_384
 #: Distinct fingerprints a shard should hold, and a leaf of the tree inside it.
 SHARD, LEAF = 8_192, 64
+#: Distinct fingerprints that the shard trees are fitted to: so many at least, so many a shard, so many at most.
+SAMPLE, SAMPLE_A_SHARD, MOST_SAMPLE = 16_384, 8, 1_048_576
+#: Near copies by similarity: words a shingle, lanes of a fingerprint, least similarity.
+NEAR_SHINGLE, LANES, SIMILARITY = 5, 8, 0.8
 
 
-def simhash_batch(column: pa.Array, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
-    """The 64-bit fingerprints (uint64) of a string column: A-Z lower-cased, words joined by one space, shingles hashed
-    by XXH64, a bit is 1 if over half of the hashes have it. No words: 0. Fewer words than a shingle: one shingle."""
+def simhash_batch(column: pa.Array, shingle: int = SHINGLE, seed: int = SEED, lanes: int = 1) -> np.ndarray:
+    """The fingerprints (uint64, a column for each lane) of a string column: A-Z lower-cased, words joined by one space,
+    shingles hashed by XXH64, a bit is 1 if over half of the hashes have it. Further lanes mix the hashes anew.
+    No words: 0. Fewer words than a shingle: one shingle."""
     data, offsets = string_bytes(pc.ascii_lower(column))
-    out = np.zeros(len(offsets) - 1, np.uint64)
+    out = np.zeros((len(offsets) - 1, lanes), np.uint64)
     digest = xxhash.xxh64_intdigest
     for a, b in doc_chunks(offsets):
         part, cuts = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
@@ -63,15 +73,17 @@ def simhash_batch(column: pa.Array, shingle: int = SHINGLE, seed: int = SEED) ->
             group = some[s : s + 512]
             for g0, g1 in _slices(at, group):
                 h = hashes[at[group[g0]] : at[group[g1 - 1] + 1]]
-                bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
                 begin = at[group[g0:g1]] - at[group[g0]]
-                ones = np.add.reduceat(bits, begin, axis=0, dtype=np.int64)
-                majority = ones * 2 > grams[group[g0:g1], None]
-                out[a + group[g0:g1]] = np.packbits(majority, axis=1).view(">u8").ravel()
+                for k in range(lanes):
+                    own = mix(h + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)) if k else h
+                    bits = np.unpackbits(own.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+                    ones = np.add.reduceat(bits, begin, axis=0, dtype=np.int32)
+                    majority = ones * 2 > grams[group[g0:g1], None]
+                    out[a + group[g0:g1], k] = np.packbits(majority, axis=1).view(">u8").ravel()
     return out
 
 
-def _slices(at: np.ndarray, group: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
+def _slices(at: np.ndarray, group: np.ndarray, most: int = 1 << 15) -> Iterator[tuple[int, int]]:
     """Runs of consecutive documents of the group with up to `most` hashes (a longer document alone)."""
     i = 0
     while i < len(group):
@@ -87,11 +99,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = simhash_batch(batch.column(1)).view(np.int64)
+            fp = simhash_batch(batch.column(1))[:, 0].view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["doc_id", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return in_arrow(rows, run, "doc_id long, fp long")
 
 
 # --- vantage-point trees over 32-bit halves -----------------------------------------------------------------------
@@ -139,33 +151,33 @@ def route(tree: tuple | None, x: np.ndarray, reach: int) -> Iterator[tuple[int,
         stack.append((outer, 2 * shard + 1, at[beyond], home[beyond] & (d[beyond] > radius)))
 
 
-def _links(visitors: np.ndarray, homes: np.ndarray, most_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links of two blocks; of a dense block a spanning set."""
-    near = np.bitwise_count(visitors[:, None] ^ homes[None, :]) <= most_bits
-    total = int(np.count_nonzero(near))
-    if not total:
-        return
-    if total <= 4 * (len(visitors) + len(homes)):
-        i, j = np.nonzero(near)
-        apart = visitors[i] != homes[j]
-        yield visitors[i[apart]], homes[j[apart]]
+def _links(v: np.ndarray, h: np.ndarray, fps: np.ndarray, half: np.ndarray, reach: int, most_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links between two blocks (of places in fps); of a dense block a spanning set."""
+    i, j = np.nonzero(np.bitwise_count(half[v][:, None] ^ half[h][None, :]) <= reach)
+    apart = v[i] != h[j]
+    i, j = i[apart], j[apart]
+    bits = sum(np.bitwise_count(fps[v[i], k] ^ fps[h[j], k]).astype(np.int32) for k in range(fps.shape[1])) if len(i) else np.zeros(0, np.int32)
+    near = bits <= most_bits
+    i, j = v[i[near]], h[j[near]]
+    if len(i) <= 4 * (len(v) + len(h)):
+        yield i, j
         return
-    top = np.uint64(2**64 - 1)
-    label, of_home = visitors.copy(), homes.copy()
-    while True:  # the smallest fingerprint reachable inside the block
-        home = np.minimum(of_home, np.where(near, label[:, None], top).min(axis=0))
-        new = np.minimum(label, np.where(near, home[None, :], top).min(axis=1))
-        if (new == label).all() and (home == of_home).all():
+    label = np.arange(len(fps))
+    while True:  # the first place reachable inside the block
+        low = label.copy()
+        np.minimum.at(low, i, label[j])
+        np.minimum.at(low, j, low[i])
+        if (low == label).all():
             break
-        label, of_home = new, home
-    for x, y in ((visitors, label), (homes, of_home)):
-        yield x[x != y], y[x != y]
+        label = low
+    at = np.flatnonzero(label != np.arange(len(fps)))
+    yield at, label[at]
 
 
 def shard_links(fps: np.ndarray, home: np.ndarray, part: int, reach: int, most_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between the fingerprints that live in a shard and all that visit it (uint64 arrays)."""
+    """Links (as places in fps) between the fingerprints (place, lane) that live in a shard and all that visit it."""
     rng = np.random.default_rng(0)
-    half = ((fps >> np.uint64(32 * part)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    half = halves(fps, part)
     left, right = [], []
     stack = [(np.flatnonzero(home), np.arange(len(fps)))]
     while stack:
@@ -177,7 +189,7 @@ def shard_links(fps: np.ndarray, home: np.ndarray, part: int, reach: int, most_b
             step = max(1, (1 << 20) // min(len(h), 4096))
             for j in range(0, len(h), 4096):
                 for i in range(0, len(v), step):
-                    for a, b in _links(fps[v[i : i + step]], fps[h[j : j + 4096]], most_bits):
+                    for a, b in _links(v[i : i + step], h[j : j + 4096], fps, half, reach, most_bits):
                         left.append(a)
                         right.append(b)
             continue
@@ -185,48 +197,106 @@ def shard_links(fps: np.ndarray, home: np.ndarray, part: int, reach: int, most_b
         dh, dv = _distance(half[h], point), _distance(half[v], point)
         stack.append((h[dh <= radius], v[dv - reach <= radius]))
         stack.append((h[dh > radius], v[dv + reach > radius]))
-    none = np.zeros(0, np.uint64)
+    none = np.zeros(0, np.int64)
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
-def fingerprint_links(distinct: DataFrame, most_bits: int = MAX_BITS) -> DataFrame:
-    """(u, v) links that connect the distinct fingerprints `fp` as all pairs within `most_bits` differing bits do."""
+def halves(fps: np.ndarray, part: int) -> np.ndarray:
+    """The 32 bits of fingerprints (place, lane) that a part's trees see."""
+    return ((fps[:, part // 2] >> np.uint64(32 * (part % 2))) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+
+def _lanes(column: pd.Series, lanes: int) -> np.ndarray:
+    """Fingerprints (place, lane) from longs, or from binary ones of several lanes."""
+    flat = column.to_numpy(np.int64).view(np.uint64) if lanes == 1 else np.frombuffer(b"".join(column), np.uint64)
+    return flat.reshape(-1, lanes)
+
+
+def fingerprint_links(distinct: DataFrame, most_bits: int = MAX_BITS, lanes: int = 1) -> DataFrame:
+    """(u, v) links that connect the `node`s of the distinct fingerprints `fp` (long, or binary if of several lanes) as all pairs do that differ in at
+    most `most_bits` bits, and by at most 1 in some half of a lane. (For one lane and 3 bits the second follows.)"""
     spark = distinct.sparkSession
     total = distinct.count()
-    sample = distinct.orderBy(F.xxhash64(F.lit(7), "fp"), "fp").limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
-    depth = max(0, int(np.ceil(np.log2(max(1, total / SHARD)))))
-    reach = most_bits // 2
+    shards = max(1, total / SHARD)
+    rows = min(MOST_SAMPLE, max(SAMPLE, int(SAMPLE_A_SHARD * shards)))
+    sample = _lanes(distinct.orderBy(F.xxhash64(F.lit(7), "fp"), "fp").limit(rows).select("fp").toPandas()["fp"], lanes)
+    depth = max(0, int(np.ceil(np.log2(shards))))
+    reach = 1
     rng = np.random.default_rng(11)
-    trees = spark.sparkContext.broadcast(  # at most SAMPLE nodes
-        [fit_tree(((sample >> np.uint64(32 * p)) & np.uint64(0xFFFFFFFF)).astype(np.uint32), depth, rng) for p in (0, 1)]
-    )
+    trees = spark.sparkContext.broadcast([fit_tree(halves(sample, p), depth, rng) for p in range(2 * lanes)])  # at most as many nodes as the sample has rows, a part
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            fps = batch["fp"].to_numpy(np.int64).view(np.uint64)
+            if not len(batch):
+                continue
+            fps = _lanes(batch["fp"], lanes)
             for part, tree in enumerate(trees.value):
-                half = ((fps >> np.uint64(32 * part)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                for shard, at, home in route(tree, half, reach):
-                    yield pd.DataFrame({"part": part, "shard": shard, "fp": fps[at].view(np.int64), "home": home})
+                for shard, at, home in route(tree, halves(fps, part), reach):
+                    yield batch.iloc[at].assign(part=part, shard=shard, home=home)[["part", "shard", "node", "fp", "home"]]
 
     def links(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        u, v = shard_links(group["fp"].to_numpy(np.int64).view(np.uint64), group["home"].to_numpy(bool), int(key[0]), reach, most_bits)
-        return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)}).drop_duplicates()
+        u, v = shard_links(_lanes(group["fp"], lanes), group["home"].to_numpy(bool), int(key[0]), reach, most_bits)
+        node = group["node"].to_numpy(np.int64)
+        return pd.DataFrame({"u": node[u], "v": node[v]}).drop_duplicates()
 
-    dealt = distinct.select("fp").mapInPandas(deal, "part int, shard long, fp long, home boolean")
+    dealt = distinct.select("node", "fp").mapInPandas(deal, f"part int, shard long, node long, fp {distinct.schema['fp'].dataType.simpleString()}, home boolean")
     return dealt.groupBy("part", "shard").applyInPandas(links, "u long, v long")
 
 
+def bits_of(similarity: float, bits: int) -> int:
+    """Bits in which fingerprints of so many bits differ at a similarity (Jaccard) of texts of equal length."""
+    return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = NEAR_SHINGLE, lanes: int = LANES) -> DataFrame:
+    """`docs` with one row of each group of near copies: the row with the smallest id (none is the largest), of equal ones the first
+    by a hash of all columns. Rows that are equal in all columns are one row then.
+
+    Texts are linked if their fingerprints over shingles of `shingle` words differ in at most as many bits as texts of that
+    similarity do on average, and groups are what links connect. The bits' spread blurs the threshold by about 0.04, and a pair
+    meets with a chance that falls with the similarity (measured in the README). Null and empty texts have fingerprint
+    zero and are one group. No rows give no rows.
+    """
+    marks = [F.xxhash64(F.lit(k), *[F.col(f"`{c}`") for c in docs.columns]).alias(f"__mark{k}") for k in (1, 2)]
+    both = ["__mark1", "__mark2"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = simhash_batch(batch.column(3), shingle, SEED, lanes)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([x.tobytes() for x in fp], pa.binary())], ["__mark1", "__mark2", "id", "fp"])
+
+    texts = docs.select(*marks, F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    rows = stored(in_arrow(texts, run, "__mark1 long, __mark2 long, id long, fp binary"))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", *both)
+    distinct = stored(rows.groupBy("fp").agg(F.min(order).alias("first"), F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id()))
+    links = stored(fingerprint_links(distinct, bits_of(similarity, 64 * lanes), lanes))
+    groups = connected_components(links)
+    grouped = distinct.join(groups, "node", "left").withColumn("group", F.coalesce("component", "node"))
+    firsts = grouped.groupBy("group").agg(F.min("first").alias("kept"))
+    # The rows to drop are fewer than the others as a rule; where they are few, no text is shuffled.
+    of_row = rows.join(grouped.join(firsts, "group").select("fp", F.col("kept.__mark1").alias("k1"), F.col("kept.__mark2").alias("k2")), "fp")
+    dropped = stored(of_row.where("__mark1 <> k1 or __mark2 <> k2").select(*both).distinct())
+    equal = stored(rows.groupBy(*both).agg(F.count("*").alias("n")).where("n > 1").select(*both))
+    marked = docs.select("*", *marks)
+    kept = marked.join(small(dropped), both, "left_anti")
+    if not equal.isEmpty():
+        equal = small(equal)
+        kept = kept.join(equal, both, "left_anti").unionByName(kept.join(equal, both, "left_semi").dropDuplicates(both))
+    return kept.drop(*both)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, fp, component_id) for each row: documents are linked if their fingerprints differ in at most `most_bits`
-    bits, and component_id is the smallest doc_id reachable through links.
+    bits (3 at most, as one half then differs in 1 at most), and component_id is the smallest doc_id reachable through links.
 
     Null and empty texts have fingerprint 0 and are linked like any other; a null doc_id counts in its group but is
     never its smallest; repeated rows give repeated rows; other columns are left out; an empty table gives no rows.
     """
+    if most_bits > MAX_BITS:
+        raise ValueError(f"at most {MAX_BITS} bits")
     rows = stored(fingerprints(docs, id_col, text_col))
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    links = stored(fingerprint_links(distinct.select("fp"), most_bits))
+    links = stored(fingerprint_links(distinct.select(F.col("fp").alias("node"), "fp"), most_bits))
     groups = connected_components(links)
     group_of = distinct.join(groups, distinct["fp"] == groups["node"], "left").select(
         "fp", "first_id", F.coalesce("component", "fp").alias("group")

@@ -79,7 +79,7 @@ def test_vantage_point_trees_lose_no_pair():
     fps = np.unique(np.concatenate((base, near, dense)))
     links = set()
     for part in (0, 1):
-        half = ((fps >> np.uint64(32 * part)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        half = simhash.halves(fps[:, None], part)
         tree = simhash.fit_tree(half, 4, rng)
         shards = {}
         for shard, at, home in simhash.route(tree, half, 1):
@@ -88,8 +88,8 @@ def test_vantage_point_trees_lose_no_pair():
         for pieces in shards.values():
             at, home = (np.concatenate(x) for x in zip(*pieces))
             homes[at] += home
-            u, v = simhash.shard_links(fps[at], home, part, 1, 3)
-            links |= {(int(a), int(b)) for a, b in zip(u, v)}
+            u, v = simhash.shard_links(fps[at][:, None], home, part, 1, 3)
+            links |= {(int(a), int(b)) for a, b in zip(fps[at[u]], fps[at[v]])}
         assert (homes == 1).all()
     label = {int(f): int(f) for f in fps}
     changed = True
@@ -104,6 +104,37 @@ def test_vantage_point_trees_lose_no_pair():
     assert all((a ^ b).bit_count() <= 3 * 64 for a, b in links)
 
 
+def jaccard(a, b, k=5):
+    a, b = ({" ".join(w[i : i + k]) for i in range(len(w) - k + 1)} for w in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies(spark):
+    """Recall by similarity, no clean text dropped, and rows without an id, with a repeated one and equal rows."""
+    rnd = random.Random(31)
+    word = lambda: f"w{rnd.randrange(5000)}"
+    rows, pairs = [], []
+    for i in range(150):
+        w = [word() for _ in range(rnd.randint(80, 400))]
+        rows.append((2 * i, " ".join(w), "s"))
+        if i < 100:
+            for _ in range(max(1, round(len(w) * (0.004, 0.01, 0.016, 0.021)[i % 4]))):
+                w[rnd.randrange(len(w))] = word()
+            rows.append((2 * i + 1, " ".join(w), "s"))
+            pairs.append((2 * i + 1, jaccard(rows[-2][1], rows[-1][1])))
+    texts = [" ".join(word() for _ in range(60)) for _ in range(6)]
+    odd = [(1000, texts[0], "s"), (1000, texts[1], "s"), (None, texts[2], "s"), (None, texts[2], "s"), (None, texts[0], "s"), (1003, texts[3], "s"), (1003, texts[3], "s"), (1004, texts[3], "t"), (1005, None, "s"), (1006, "", "s")]
+    kept = simhash.drop_near_copies(docs(spark, rows + odd)).collect()
+    assert set(kept[0].asDict()) == set(docs(spark, rows[:1]).columns)
+    ids = {r["doc_id"] for r in kept}
+    assert {2 * i for i in range(150)} <= ids
+    for low, high, least in ((0.94, 1.0, 0.97), (0.88, 0.94, 0.85), (0.8, 0.88, 0.4)):
+        inside = [i not in ids for i, x in pairs if low <= x < high]
+        assert len(inside) > 10 and sum(inside) >= least * len(inside), (low, sum(inside), len(inside))
+    assert sorted(((r["doc_id"], r["text"]) for r in kept if r["doc_id"] is None or r["doc_id"] >= 1000), key=str) == sorted([(1000, texts[0]), (1000, texts[1]), (None, texts[2]), (1003, texts[3]), (1005, None)], key=str)
+    assert simhash.drop_near_copies(docs(spark, rows).limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("most_classes", [2048, 1])
 def test_phrases_equal_brute_force(spark, most_classes):
     rows = corpus(2)
