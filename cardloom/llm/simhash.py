@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._anchors import mix
+from ._anchors import mix, ranges
 from ._graph import connected_components
 from ._spark import in_arrow, small, stored, table
 from ._text import doc_chunks, string_bytes, words
@@ -73,17 +73,28 @@ def simhash_batch(column: pa.Array, shingle: int = SHINGLE, seed: int = SEED, la
             group = some[s : s + 512]
             for g0, g1 in _slices(at, group):
                 h = hashes[at[group[g0]] : at[group[g1 - 1] + 1]]
-                begin = at[group[g0:g1]] - at[group[g0]]
+                begin, count = at[group[g0:g1]] - at[group[g0]], grams[group[g0:g1]]
                 for k in range(lanes):
                     own = mix(h + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)) if k else h
-                    bits = np.unpackbits(own.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-                    ones = np.add.reduceat(bits, begin, axis=0, dtype=np.int32)
-                    majority = ones * 2 > grams[group[g0:g1], None]
-                    out[a + group[g0:g1], k] = np.packbits(majority, axis=1).view(">u8").ravel()
+                    majority = ones(own, begin, count) * 2 > count[:, None]
+                    out[a + group[g0:g1], k] = np.packbits(majority, axis=1, bitorder="little").view("<u8").ravel()
     return out
 
 
-def _slices(at: np.ndarray, group: np.ndarray, most: int = 1 << 15) -> Iterator[tuple[int, int]]:
+def ones(h: np.ndarray, begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """How many hashes of each group have each bit (group, bit). Each byte of a sum counts one bit of at most 255 hashes;
+    larger groups are added up from such parts."""
+    parts = -(-count // 255)
+    first = np.cumsum(parts) - parts
+    starts = ranges(begin * 0, parts) * 255 + np.repeat(begin, parts)
+    out = np.empty((len(begin), 64), np.int64)
+    for k in range(8):
+        sums = np.add.reduceat((h >> np.uint64(k)) & np.uint64(0x0101010101010101), starts)
+        out[:, k::8] = np.add.reduceat(sums.view(np.uint8).reshape(-1, 8), first, axis=0, dtype=np.int64)
+    return out
+
+
+def _slices(at: np.ndarray, group: np.ndarray, most: int = 1 << 17) -> Iterator[tuple[int, int]]:
     """Runs of consecutive documents of the group with up to `most` hashes (a longer document alone)."""
     i = 0
     while i < len(group):
