@@ -37,7 +37,7 @@ def classify(ledger: DataFrame, rules: DataFrame, defaults: DataFrame) -> DataFr
     rows = _rules(rules)
     keys = ["canonical_merchant", "normalized_merchant", "raw_description"]
     found = first_match(ledger, keys, [(r["rule_idx"], _test(r)) for r in rows], "_rule")
-    own = F.broadcast(defaults.select(F.col("canonical").alias("_canonical"), F.col("category").alias("_category"), F.coalesce("subcategory", F.lit("")).alias("_subcategory")))
+    own = defaults.select(F.col("canonical").alias("_canonical"), F.col("category").alias("_category"), F.coalesce("subcategory", F.lit("")).alias("_subcategory"))
     found = found.join(own, found["canonical_merchant"] == own["_canonical"], "left")
     ruled, known = F.col("_rule").isNotNull(), F.col("_category").isNotNull()
     return found.withColumns({

@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Up to so many patterns are tried in order by one expression; more are joined to the descriptors.
-CHAIN = 200
+#: Up to so many patterns are tried on the rows themselves, which reads them once; more are tried once for each distinct
+#: descriptor, which reads the rows twice.
+CHAIN = 50
 
 
 def java_pattern(pattern: str) -> str:
@@ -19,8 +20,11 @@ def java_pattern(pattern: str) -> str:
 def first_match(rows: DataFrame, keys: list[str], tests: list[tuple[int, Column]], name: str) -> DataFrame:
     """rows with `name`, the index of the first test that holds for their keys; null if none does.
 
-    The tests run once for each distinct combination of the keys, which are then joined back (null-safe)."""
-    found = rows.select(*keys).distinct().withColumn(name, F.coalesce(*[F.when(t, F.lit(i)) for i, t in tests]) if tests else F.lit(None).cast("int"))
+    Few tests run on each row. Many run once for each distinct combination of the keys, which are then joined back (null-safe)."""
+    first = F.coalesce(*[F.when(t, F.lit(i)) for i, t in tests]) if tests else F.lit(None).cast("int")
+    if len(tests) <= CHAIN:
+        return rows.withColumn(name, first)
+    found = rows.select(*keys).distinct().withColumn(name, first)
     found = found.where(F.col(name).isNotNull()).select(*[F.col(k).alias(f"_{k}") for k in keys], name)
     same = reduce(lambda a, b: a & b, [rows[k].eqNullSafe(found[f"_{k}"]) for k in keys])
     return rows.join(found, same, "left").drop(*[f"_{k}" for k in keys])

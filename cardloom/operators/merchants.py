@@ -45,7 +45,7 @@ def alias_patterns(clusters: DataFrame) -> DataFrame:
 
 def stamp_canonical(ledger: DataFrame, members: DataFrame, canonical: str) -> DataFrame:
     """Rows whose normalized name is among `members` (normalized_merchant) get the name by hand; proposals are cleared."""
-    hit = ledger.join(F.broadcast(members.select("normalized_merchant").distinct().withColumn("_hit", F.lit(True))), "normalized_merchant", "left")
+    hit = ledger.join(members.select("normalized_merchant").distinct().withColumn("_hit", F.lit(True)), "normalized_merchant", "left")
     on = F.coalesce("_hit", F.lit(False))
     return hit.withColumns({
         "canonical_merchant": F.when(on, canonical).otherwise(F.col("canonical_merchant")),

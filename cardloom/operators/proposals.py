@@ -207,7 +207,7 @@ def apply_proposals(ledger: DataFrame, proposals: DataFrame, decisions: DataFram
     if wrong:
         raise ValueError("; ".join(f"{r['proposal_id']}: {r['problem']}" for r in wrong))
     d = decisions.select("proposal_id", "action", F.col("recommendation_json").alias("_new"), "save_as_rule")
-    taken = proposals.join(F.broadcast(d), "proposal_id").withColumn("_what", F.coalesce("_new", "recommendation_json")).where("action = 'accept'")
+    taken = proposals.join(d, "proposal_id").withColumn("_what", F.coalesce("_new", "recommendation_json")).where("action = 'accept'")
     taken = taken.select("proposal_id", "kind", "members_json", "txn_ids_json", "save_as_rule", *[F.coalesce(F.get_json_object("_what", f"$.{k}"), F.lit("")).alias(f"_{k}") for k in ("canonical", "category", "subcategory")])
     by_name = taken.where("kind = 'merchant'").select(F.explode(F.from_json("members_json", "array<string>")).alias("normalized_merchant"), F.col("_canonical").alias("_m"), F.col("_category").alias("_mc"), F.col("_subcategory").alias("_ms")).dropDuplicates(["normalized_merchant"])
     by_id = taken.where("kind = 'category'").select(F.explode(F.from_json("txn_ids_json", "array<string>")).alias("txn_id"), F.col("_category").alias("_c"), F.col("_subcategory").alias("_s")).dropDuplicates(["txn_id"])
@@ -220,7 +220,7 @@ def apply_proposals(ledger: DataFrame, proposals: DataFrame, decisions: DataFram
         "proposed_category": F.when(~(filed | also), F.col("proposed_category")), "proposed_subcategory": F.when(~(filed | also), F.col("proposed_subcategory")),
     }).select(*ledger.columns)
     status = F.when(F.col("action") == "accept", "accepted").when(F.col("action") == "reject", "rejected").when(F.col("action") == "defer", "deferred")
-    decided = proposals.join(F.broadcast(d), "proposal_id", "left").withColumns({
+    decided = proposals.join(d, "proposal_id", "left").withColumns({
         "status": F.coalesce(status, "status"), "recommendation_json": F.coalesce("_new", "recommendation_json"),
         "batch_id": F.when(F.col("action").isNotNull(), batch_id).otherwise(F.col("batch_id")), "updated_at": F.when(F.col("action").isNotNull(), now).otherwise(F.col("updated_at")),
     }).select(*proposals.columns)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,10 +91,31 @@ def products(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(PRODUCTS, "issuer string, product string")
 
 
+_stored: dict[tuple[str, str], str] = {}
+
+
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reconciled, canonicalized and classified; tags and hand-made classifications follow from the occurrence and id."""
-    rows = classify_ledger(normalize(raw(spark, sf_dir)), aliases(spark), rules(spark))
-    return marked(rows)
+    """Reconciled, canonicalized and classified; tags and hand-made classifications follow from the occurrence and id.
+
+    The ledger is built once for each application and folder and kept as Parquet in the shared folder, as a job would keep it
+    in its store; the queries read it from there."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _stored:
+        path = f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
+        marked(classify_ledger(normalize(raw(spark, sf_dir)), aliases(spark), rules(spark))).write.parquet(path)
+        _stored[key] = path
+    return spark.read.parquet(_stored[key])
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where a local session leaves it unset, a temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
+        folder = spark.sparkContext.getCheckpointDir()
+    return folder
 
 
 def marked(rows: DataFrame) -> DataFrame:

@@ -181,7 +181,7 @@ def parse_word_statements(lines: DataFrame, metadata: DataFrame, issuer: str) ->
     that runs over into the money columns returns to the description and a row with both amounts fails the document. A
     Chase line "Order Number ..." belongs to the row before it; Capital One interest lines are dated at the cycle's end."""
     heads, flow = COLUMNS[issuer], W.partitionBy("document_id").orderBy("line_no").rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = lines.join(F.broadcast(metadata.where(F.col("issuer") == issuer)), "document_id")
+    rows = lines.join(metadata.where(F.col("issuer") == issuer), "document_id")
     clean, low = squeeze("text"), F.lower(squeeze("text"))
     places = [F.coalesce(_position("$"), _position(h)) if (issuer, h) == ("Chase", "amount") else F.coalesce(_position(h), _position("transaction")) if (issuer, h) == ("Chase", "date") else _position(h) for h in heads]
     rows = rows.withColumns({f"_p{i}": p for i, p in enumerate(places)})

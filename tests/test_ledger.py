@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cardloom.functions.text import rule_pattern, title_if_upper
-from cardloom.operators import classify, cluster, coverage, identity, ledgerqa, maintenance, merchants, overview, proposals, recurring, reports
+from cardloom.operators import classify, cluster, coverage, identity, ledgerqa, maintenance, matching, merchants, overview, proposals, recurring, reports
 from cardloom.schema import LEDGER, conform
 
 RAW = "card string, posted_date date, amount decimal(18,2), raw_description string, source_document_id string, source_file string, source_row bigint"
@@ -225,3 +225,24 @@ def test_migration(spark):
 def test_text(spark):
     assert one(spark, "JO ANN O'NEIL-FOX", title_if_upper) == "Jo Ann O'Neil-Fox" and one(spark, "Jo ann", title_if_upper) == "Jo ann"
     assert one(spark, "A–B’s", rule_pattern) == r"(?i)A\-B's"
+
+
+def test_a_second_import_adds_no_undated_row(spark):
+    raw = spark.createDataFrame(
+        [("card-1", None, 4.25, "COFFEE CART", "doc-a", 0), ("card-1", "2026-01-02", 5.0, "COFFEE CART", "doc-a", 1), ("card-1", "2026-01-03", 6.0, "TEA", "doc-a", 2)],
+        "card string, posted_date string, amount double, raw_description string, source_document_id string, source_row int",
+    ).withColumns({"posted_date": F.col("posted_date").cast("date"), "amount": F.col("amount").cast("decimal(18,2)"), "source_file": F.lit("a.csv")})
+    nothing = maintenance.ingest_rows(spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in LEDGER.items())), raw)[0]
+    again, fresh = maintenance.ingest_rows(nothing, raw)
+    assert nothing.count() == 3 and fresh.count() == 0 and again.count() == 3
+    undated = raw.where("posted_date is null")
+    assert maintenance.ingest_rows(nothing, undated)[1].count() == 0
+
+
+def test_first_match_is_the_same_for_few_and_many_patterns(spark, monkeypatch):
+    rows = spark.createDataFrame([("a b", 1), ("b c", 2), (None, 3), ("zzz", 4)], "text string, n int")
+    tests = [(7, F.col("text").contains("b c")), (8, F.col("text").contains("b")), (9, F.col("text").isNull())]
+    few = sorted((r["n"], r["hit"]) for r in matching.first_match(rows, ["text"], tests, "hit").collect())
+    monkeypatch.setattr(matching, "CHAIN", 0)
+    many = sorted((r["n"], r["hit"]) for r in matching.first_match(rows, ["text"], tests, "hit").collect())
+    assert few == many == [(1, 8), (2, 7), (3, 9), (4, None)] or str(few) == str(many)
