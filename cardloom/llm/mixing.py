@@ -23,6 +23,8 @@ SHARE, MOST = 1.5, 2
 BLOCKS = 256
 LEVELS = 4
 SEED = "mix-1"
+#: Documents that fill a source up to its target, one after another.
+FILLS = 4
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -76,8 +78,9 @@ def split_draws(draws: DataFrame, levels: int) -> DataFrame:
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", levels: int = LEVELS, keep: bool = False, **shares) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken, shards) for each row; size is in words, taken the words that
-    the mix takes, repeats counted: 0, 1 or 2 times the size; shards lists where each copy goes. With `keep`, row holds all
+    """(doc_id, source, size, source_size, target, taken, shards, orders) for each row; size is in words, taken the words that
+    the mix takes, repeats counted: 0, 1 or 2 times the size; shards lists where each copy goes, orders by what its shard is
+    shuffled (see write_order). With `keep`, row holds all
     columns of the row.
 
     Null sources are one source, the last; a null text has size 0. Rows without words take nothing and go nowhere.
@@ -112,14 +115,21 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = near.groupBy("key", "block", "sub", "want", "mark").agg(F.sum("size").alias("words"))
     by_doc = _edge(rows, ["key", "block", "sub"], "mark", "mark")
     fitting = by_doc.where("fits").select("key", "mark")
-    # What is missing then is filled by the one document left whose size is nearest to it, if that is nearer than none.
-    missing = by_doc.where("edge").select("key", F.col("want_inside").alias("missing"))
+    # What is missing then is filled by documents left over: the largest that still fits, some times, and in the end the one
+    # whose size is nearest to what is missing, if that is nearer than none.
+    short = stored(by_doc.where("edge").select("key", F.col("want_inside").alias("missing")))
     left = sized.where("size > 0").join(small(by_block.where("not fits").select("key", "block")), ["key", "block"])
     left = left.join(small(by_sub.where("fits").select("key", "block", "sub")), ["key", "block", "sub"], "left_anti")
-    left = left.join(small(stored(fitting)), ["key", "mark"], "left_anti").join(small(stored(missing)), "key")
-    off = F.abs(F.col("size") - F.col("missing"))
-    filling = left.groupBy("key").agg(F.min(F.when(off < F.col("missing"), F.struct(off.alias("off"), "mark", "block"))).alias("f"))
-    filling = stored(filling.where("f is not null").select("key", "f.mark", "f.block"))
+    used = stored(fitting.select("key", "mark"))
+    filling = used.limit(0).withColumn("block", F.lit(0))
+    for n in range(FILLS):
+        near = left.join(small(used), ["key", "mark"], "left_anti").join(small(short), "key").withColumn("off", F.abs(F.col("size") - F.col("missing")))
+        best = F.min(F.struct("off", "mark", "block", "size")).alias("f")
+        pick = near.where("off < missing" if n == FILLS - 1 else "size <= missing").groupBy("key").agg(best).select("key", "f.*")
+        pick = stored(pick.select("key", "mark", "block", "size"))
+        filling, used = filling.unionByName(pick.select("key", "mark", "block")), used.unionByName(pick.select("key", "mark"))
+        short = stored(short.join(pick.select("key", "size"), "key", "left").select("key", (F.col("missing") - F.coalesce("size", F.lit(0))).alias("missing")))
+    filling = filling.select("key", "mark", "block")
     some_docs = fitting.unionByName(filling.select("key", "mark")).distinct().withColumn("by_doc", F.lit(True))
     some_subs = by_sub.where("fits").select("key", "block", "sub", F.lit(True).alias("by_sub"))
 
@@ -140,21 +150,22 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     extra = F.col("cut_shard").isNotNull() & F.coalesce("by_sub", "by_doc", F.lit(False))
     shards = F.concat(F.coalesce("whole", F.array().cast("array<int>")), F.when(extra, F.array("cut_shard")).otherwise(F.array().cast("array<int>")))
     shards = F.when(F.col("size") > 0, shards).otherwise(F.array().cast("array<int>"))
-    out = out.select(*(["row"] if keep else []), "doc_id", "source", "size", "source_size", "target", shards.alias("shards"))
-    return out.withColumn("taken", F.col("size") * F.size("shards"))
+    out = out.select(*(["row"] if keep else []), "doc_id", "source", "size", "source_size", "target", "mark", shards.alias("shards"))
+    order = F.transform("shards", lambda s, i: F.xxhash64(F.lit(SEED), s, i, F.col("mark")))
+    return out.withColumn("taken", F.col("size") * F.size("shards")).withColumn("orders", order).drop("mark")
 
 
-def write_order(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", levels: int = LEVELS) -> DataFrame:
-    """The mixed corpus itself: each copy of a document in its shard's partition, shuffled inside by a hash."""
-    copies = mixed.select(F.col("doc_id").alias(id_col), F.posexplode("shards").alias("copy", "shard")).distinct()
-    rows = docs.join(copies, id_col).withColumn("order", F.xxhash64(F.lit(SEED), "shard", "copy", id_col))
-    # A shard is many partitions at scale: ranges of its own shuffled order.
+def write_order(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The mixed corpus itself: a row for each copy of a document, the copies of a shard together and shuffled among
+    themselves by their `orders`. A shard may be several partitions: ranges of its own shuffled order."""
+    copies = mixed.select(F.col("doc_id").alias(id_col), F.explode(F.arrays_zip("shards", "orders")).alias("c")).distinct()
+    rows = docs.join(copies, id_col).select(*docs.columns, F.col("c.shards").alias("shard"), F.col("c.orders").alias("order"))
     return rows.repartitionByRange("shard", "order").sortWithinPartitions("shard", "order").drop("order")
 
 
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of each document, by weights 5, 2, 1 over the sources."""
-    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", F.concat_ws(",", "shards").alias("shards"))
+    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", F.concat_ws(",", "shards").alias("shards"), F.concat_ws(",", F.transform("orders", lambda x: x.cast("string"))).alias("orders"))
 
 
 QUERIES = {"op9_source_mix": op9_source_mix}

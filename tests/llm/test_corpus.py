@@ -573,3 +573,26 @@ def test_automata_decide_every_removed_word(spark, monkeypatch):
         assert not done.any() and not len(doc)
     none = phrase_dedup._resolver(13)(np.array([1]), np.array([5]), np.array([0]), np.array([0]), np.array([True]), [b" ".join([b"a"] * 13)])
     assert all(len(x[0]) == 0 for x in none)
+
+
+def test_mix_comes_near_every_target_and_writes_its_shards(spark):
+    rnd = random.Random(41)
+    rows = [(i, " ".join("w" for _ in range(rnd.choice([3, 8, 20, 300, 900]))), rnd.choice("abcdef")) for i in range(900)]
+    df = docs(spark, rows)
+    mixed = mixing.mix_sources(df).cache()
+    found = mixed.collect()
+    taken = Counter()
+    for r in found:
+        taken[r["source"]] += r["taken"]
+    assert all(abs(taken[r["source"]] - r["target"]) <= 0.01 * r["target"] for r in found)
+    written = mixing.write_order(df, mixed)
+    parts = written.rdd.glom().collect()
+    assert Counter((r["doc_id"], r["shard"]) for p in parts for r in p) == Counter((r["doc_id"], s) for r in found for s in r["shards"])
+    assert [r["shard"] for p in parts for r in p] == sorted(s for r in found for s in r["shards"])
+    order = {(r["doc_id"], s): o for r in found for s, o in zip(r["shards"], r["orders"])}
+    for p in parts:
+        for a, b in zip(p, p[1:]):
+            once = all(sum(x["doc_id"] == r["doc_id"] and x["shard"] == r["shard"] for x in p) == 1 for r in (a, b))
+            assert a["shard"] < b["shard"] or not once or order[a["doc_id"], a["shard"]] < order[b["doc_id"], b["shard"]]
+    ids = [r["doc_id"] for p in parts for r in p if r["shard"] == 0]
+    assert ids != sorted(ids)
