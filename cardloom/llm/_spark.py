@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 #: Rows handed to a Python worker at once, where the session leaves Spark's own number of 10,000, which is many MB of texts.
 BATCH_ROWS = 1_000
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -33,14 +34,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts the lineage and outlives lost executors. It goes when the
-    driver ends; the shuffles behind it can go now, and Spark drops their files when the driver collects its garbage."""
+    driver ends; the shuffle files behind it, which nothing needs any more, go at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
