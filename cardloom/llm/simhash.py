@@ -36,6 +36,8 @@ MAX_BITS = 3
 SHINGLE = 3
 #: Distinct fingerprints a shard should hold, and a leaf of the tree inside it.
 SHARD, LEAF = 8_192, 64
+#: The same for fingerprints of several lanes, whose rows are wide: fewer shards send fewer of them to several.
+WIDE_SHARD = 65_536
 #: Distinct fingerprints that the shard trees are fitted to: so many at least, so many a shard, so many at most.
 SAMPLE, SAMPLE_A_SHARD, MOST_SAMPLE = 16_384, 8, 1_048_576
 #: Near copies by similarity: words a shingle, lanes of a fingerprint, least similarity.
@@ -228,7 +230,7 @@ def fingerprint_links(distinct: DataFrame, most_bits: int = MAX_BITS, lanes: int
     most `most_bits` bits, and by at most 1 in some half of a lane. (For one lane and 3 bits the second follows.)"""
     spark = distinct.sparkSession
     total = distinct.count()
-    shards = max(1, total / SHARD)
+    shards = max(1, total / (SHARD if lanes == 1 else WIDE_SHARD))
     rows = min(MOST_SAMPLE, max(SAMPLE, int(SAMPLE_A_SHARD * shards)))
     sample = _lanes(distinct.orderBy(F.xxhash64(F.lit(7), "fp"), "fp").limit(rows).select("fp").toPandas()["fp"], lanes)
     depth = max(0, int(np.ceil(np.log2(shards))))
