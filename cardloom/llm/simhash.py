@@ -35,7 +35,7 @@ SEED = 42
 MAX_BITS = 3
 SHINGLE = 3
 #: Distinct fingerprints a shard should hold, and a leaf of the tree inside it.
-SHARD, LEAF = 8_192, 64
+SHARD, LEAF = 8_192, 256
 #: The same for fingerprints of several lanes, whose rows are wide: fewer shards send fewer of them to several.
 WIDE_SHARD = 65_536
 #: Distinct fingerprints that the shard trees are fitted to: so many at least, so many a shard, so many at most.
@@ -46,11 +46,11 @@ NEAR_SHINGLE, LANES, SIMILARITY = 5, 8, 0.8
 
 def simhash_batch(column: pa.Array, shingle: int = SHINGLE, seed: int = SEED, lanes: int = 1) -> np.ndarray:
     """The fingerprints (uint64, a column for each lane) of a string column: A-Z lower-cased, words joined by one space,
-    shingles hashed by XXH64, a bit is 1 if over half of the hashes have it. Further lanes mix the hashes anew.
+    a bit is 1 if over half of the shingles' hashes have it. One lane: the XXH64 of each shingle's bytes. Several: each
+    lane mixes anew a hash of the shingle's words, found for all bytes of a chunk at once.
     No words: 0. Fewer words than a shingle: one shingle."""
     data, offsets = string_bytes(pc.ascii_lower(column))
     out = np.zeros((len(offsets) - 1, lanes), np.uint64)
-    digest = xxhash.xxh64_intdigest
     for a, b in doc_chunks(offsets):
         part, cuts = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         starts, ends, first = words(part, cuts)
@@ -68,8 +68,7 @@ def simhash_batch(column: pa.Array, shingle: int = SHINGLE, seed: int = SEED, la
         at = np.concatenate(([0], np.cumsum(grams)))
         left = first[doc] + np.arange(at[-1]) - at[doc]
         right = np.minimum(left + shingle, first[doc + 1])
-        view, lo, hi = memoryview(joined), to[left].tolist(), (to[right] - 1).tolist()
-        hashes = np.fromiter((digest(view[i:j], seed) for i, j in zip(lo, hi)), np.uint64, len(lo))
+        hashes = _byte_hashes(joined, to[left], to[right] - 1, seed) if lanes == 1 else _word_hashes(joined, to, left, right, shingle, seed)
         some = np.flatnonzero(grams)
         for s in range(0, len(some), 512):
             group = some[s : s + 512]
@@ -77,12 +76,31 @@ def simhash_batch(column: pa.Array, shingle: int = SHINGLE, seed: int = SEED, la
                 h = hashes[at[group[g0]] : at[group[g1 - 1] + 1]]
                 begin, count = at[group[g0:g1]] - at[group[g0]], grams[group[g0:g1]]
                 for k in range(lanes):
-                    own = mix(h + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)) if k else h
+                    own = mix(h ^ mix(np.full(1, k, np.uint64))) if k else h
                     majority = ones(own, begin, count) * 2 > count[:, None]
                     out[a + group[g0:g1], k] = np.packbits(majority, axis=1, bitorder="little").view("<u8").ravel()
     return out
 
 
+def _byte_hashes(joined: np.ndarray, low: np.ndarray, high: np.ndarray, seed: int) -> np.ndarray:
+    """XXH64 of stretches of bytes."""
+    view, digest = memoryview(joined), xxhash.xxh64_intdigest
+    return np.fromiter((digest(view[i:j], seed) for i, j in zip(low.tolist(), high.tolist())), np.uint64, len(low))
+
+
+def _word_hashes(joined: np.ndarray, to: np.ndarray, left: np.ndarray, right: np.ndarray, shingle: int, seed: int) -> np.ndarray:
+    """A hash of each run of words left..right: a word's is the sum of its bytes' mixed with their places, a run's chains its words'."""
+    place = np.arange(to[-1]) - np.repeat(to[:-1], np.diff(to))  # of each byte in its word; the space behind a word tells its length
+    byte = mix(joined.astype(np.uint64) + (place.astype(np.uint64) << np.uint64(8)) + mix(np.full(1, seed, np.uint64)))
+    word = mix(np.add.reduceat(byte, to[:-1]))
+    out = np.zeros(len(left), np.uint64)
+    for k in range(shingle):
+        place = left + k
+        inside = place < right
+        out = np.where(inside, mix(out) ^ word[np.minimum(place, len(word) - 1)], out)
+    return mix(out)
+
+
 def ones(h: np.ndarray, begin: np.ndarray, count: np.ndarray) -> np.ndarray:
     """How many hashes of each group have each bit (group, bit). Each byte of a sum counts one bit of at most 255 hashes;
     larger groups are added up from such parts."""
@@ -131,19 +149,19 @@ def fit_tree(x: np.ndarray, depth: int, rng: np.random.Generator) -> tuple | Non
     if depth <= 0 or len(x) < 2:
         return None
     best = None
-    for point in rng.choice(x, min(8, len(x)), replace=False):  # the widest spread of distances prunes best
-        d = _distance(x, point)
-        radius = int(np.median(d))
-        if radius >= d.max():
-            radius = int(d.max()) - 1
-        if radius < d.min():
+    for point in x[rng.integers(0, len(x), 8)]:  # the widest spread of distances prunes best
+        many = np.bincount(_distance(x, point), minlength=34)
+        up_to, seen = np.cumsum(many), np.flatnonzero(many)
+        radius = min(int(np.searchsorted(up_to, (len(x) + 1) // 2)), int(seen[-1]) - 1)  # the median, or just below the largest
+        if radius < seen[0]:
             continue
-        lost = np.count_nonzero((d == radius) | (d == radius + 1)) + abs(2 * np.count_nonzero(d <= radius) - len(d)) / 2
+        lost = many[radius] + many[radius + 1] + abs(2 * up_to[radius] - len(x)) / 2
         if best is None or lost < best[0]:
-            best = (lost, int(point), radius, d <= radius)
+            best = (lost, int(point), radius)
     if best is None:
         return None
-    _, point, radius, inner = best
+    _, point, radius = best
+    inner = _distance(x, point) <= radius
     return point, radius, fit_tree(x[inner], depth - 1, rng), fit_tree(x[~inner], depth - 1, rng)
 
 
