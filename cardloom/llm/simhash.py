@@ -193,20 +193,30 @@ def _links(v: np.ndarray, h: np.ndarray, fps: np.ndarray, half: np.ndarray, reac
     if len(i) <= 4 * (len(v) + len(h)):
         yield i, j
         return
-    label = np.arange(len(fps))
-    while True:  # the first place reachable inside the block
-        low = label.copy()
-        np.minimum.at(low, i, label[j])
-        np.minimum.at(low, j, low[i])
-        if (low == label).all():
-            break
-        label = low
-    at = np.flatnonzero(label != np.arange(len(fps)))
-    yield at, label[at]
+    yield spanning(i, j, len(fps))
+
+
+def spanning(u: np.ndarray, v: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fewer links that connect the same of n places: each place with the first one it reaches, unless it is that itself."""
+    label = np.arange(n)
+    while len(u):
+        np.minimum.at(label, u, v)
+        np.minimum.at(label, v, u)
+        while True:  # each place's root
+            up = label[label]
+            if (up == label).all():
+                break
+            label = up
+        u, v = label[u], label[v]
+        apart = u != v
+        u, v = u[apart], v[apart]
+    at = np.flatnonzero(label != np.arange(n))
+    return at, label[at]
 
 
 def shard_links(fps: np.ndarray, home: np.ndarray, part: int, reach: int, most_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (as places in fps) between the fingerprints (place, lane) that live in a shard and all that visit it."""
+    """Links (as places in fps) that connect the fingerprints (place, lane) that live in a shard and all that visit it as
+    all their pairs do."""
     rng = np.random.default_rng(0)
     half = halves(fps, part)
     left, right = [], []
@@ -229,7 +239,7 @@ def shard_links(fps: np.ndarray, home: np.ndarray, part: int, reach: int, most_b
         stack.append((h[dh <= radius], v[dv - reach <= radius]))
         stack.append((h[dh > radius], v[dv + reach > radius]))
     none = np.zeros(0, np.int64)
-    return np.concatenate([none, *left]), np.concatenate([none, *right])
+    return spanning(np.concatenate([none, *left]), np.concatenate([none, *right]), len(fps))
 
 
 def halves(fps: np.ndarray, part: int) -> np.ndarray:
@@ -266,12 +276,13 @@ def fingerprint_links(distinct: DataFrame, most_bits: int = MAX_BITS, lanes: int
                     yield batch.iloc[at].assign(part=part, shard=shard, home=home)[["part", "shard", "node", "fp", "home"]]
 
     def links(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("node")  # so that a group of copies has the same first node in each part, and the same links
         u, v = shard_links(_lanes(group["fp"], lanes), group["home"].to_numpy(bool), int(key[0]), reach, most_bits)
         node = group["node"].to_numpy(np.int64)
-        return pd.DataFrame({"u": node[u], "v": node[v]}).drop_duplicates()
+        return pd.DataFrame({"u": node[u], "v": node[v]})
 
     dealt = distinct.select("node", "fp").mapInPandas(deal, f"part int, shard long, node long, fp {distinct.schema['fp'].dataType.simpleString()}, home boolean")
-    return dealt.groupBy("part", "shard").applyInPandas(links, "u long, v long")
+    return dealt.groupBy("part", "shard").applyInPandas(links, "u long, v long").distinct()
 
 
 def bits_of(similarity: float, bits: int) -> int:
