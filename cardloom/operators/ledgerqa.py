@@ -137,7 +137,7 @@ def _numbers(text: Column, pattern: str, group: int = 1) -> Column:
 def grounded_replies(replies: DataFrame, reply: str = "reply", facts: str = "facts_json") -> DataFrame:
     """replies with `grounded`: whether each number of the reply (amounts in dollars, numbers of two digits or with a
     fraction; whole ones from 0 to 31 don't count, years do) is within 0.015 of a number in its facts."""
-    known = _numbers(F.regexp_replace(F.coalesce(col(facts), F.lit("")), r"(?<=\d),(?=\d{3})", ""), r"(-?\d+(?:\.\d+)?)")
+    known = _numbers(F.regexp_replace(F.coalesce(col(facts), F.lit("")), r"(?<=\d),(?=\d{3})", ""), r"(-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)")
     dollars = _numbers(col(reply), r"\$\s?(-?\d[\d,]*(?:\.\d+)?)")
     bare = _numbers(col(reply), r"(?<![\w$.,])(\d{2,}(?:,\d{3})*(?:\.\d+)?|\d+\.\d+)(?![\w])")
     bare = F.filter(bare, lambda n: ~((n == F.floor(n)) & n.between(0, 31)))

@@ -82,7 +82,7 @@ def score_profiles(profiles: DataFrame, fn: Callable[[list[dict]], list[dict]],
                     missing = "No model answer."
                 except Exception as problem:  # noqa: BLE001  other batches go on
                     answers, missing = {}, f"batch failed: {problem}"
-                rows = [{"confidence": "low", "ambiguous": True, "reason": missing, **answers.get(k, {}), "key": k} for k in part["key"]]
+                rows = [{"confidence": "low", **answers.get(k, {"ambiguous": True, "reason": missing}), "key": k} for k in part["key"]]
                 yield pd.DataFrame([{n: r.get(n, "" if n != "ambiguous" else False) for n in names} for r in rows], columns=names)
 
     asked = profiles.select("key", "members", "sample_raw", "txn_count", F.col("total_amount").cast("double").alias("total_amount"), "history_category", "history_ratio")

@@ -141,9 +141,9 @@ def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.review_queue(t.ledger(spark, sf_dir)).select("txn_id", F.col("amount").cast("double").alias("amount"), "queue_total")
 
 
-@query(f"SELECT txn_id, 'Shopping' AS category, 'Retail' AS subcategory FROM ledger WHERE {_REVIEW} AND (regexp_matches(normalized_merchant, '(?i)steel') OR regexp_matches(raw_description, '(?i)steel'))")
+@query(f"SELECT txn_id, 'Shopping' AS category, 'Retail' AS subcategory FROM ledger WHERE {_REVIEW} AND (regexp_matches(normalized_merchant, '(?i)loc 1') OR regexp_matches(raw_description, '(?i)loc 1'))")
 def apply_rule_to_open(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rule = {"kind": "regex", "pattern": "(?i)steel", "category": "Shopping", "subcategory": "Retail"}
+    rule = {"kind": "regex", "pattern": "(?i)loc 1", "category": "Shopping", "subcategory": "Retail"}
     return classify.apply_rule_to_open(t.ledger(spark, sf_dir), rule).where("changed").select("txn_id", "category", "subcategory")
 
 
@@ -440,14 +440,16 @@ def month_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overview.month_facts(ledgerqa.project_ledger_view(t.ledger(spark, sf_dir)), t.bills(spark), MONTH)["categories"]
 
 
-@query("SELECT coalesce(category, 'Uncategorized') AS category, hash(1) IS NOT NULL AS grounded, false AS wrong FROM ledger GROUP BY ALL")
+@query(""", totals AS (SELECT month, coalesce(category, 'Uncategorized') AS category, abs(round(CAST(sum(amount) AS DOUBLE), 2)) AS total, count(*) AS n FROM ledger GROUP BY ALL)
+SELECT month, category, cents, cents < 1.5 AND (n <= 31 OR abs(n - total) < 0.015) AS grounded FROM totals, (VALUES (0), (1), (2), (100)) AS d(cents)""")
 def grounded_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Replies made from each category's total, once right and once off by a dollar."""
-    totals = t.ledger(spark, sf_dir).groupBy(F.coalesce("category", F.lit("Uncategorized")).alias("category")).agg(F.sum("amount").alias("total"))
-    facts = totals.withColumns({"facts_json": F.to_json(F.struct(F.col("total").cast("double").alias("net"))), "reply": F.concat(F.lit("You spent $"), F.format_number("total", 2), F.lit(" in all."))})
-    right = ledgerqa.grounded_replies(facts)
-    wrong = ledgerqa.grounded_replies(facts.withColumn("reply", F.concat(F.lit("You spent $"), F.format_number(F.col("total") + 1, 2)))).select("category", F.col("grounded").alias("wrong"))
-    return right.join(wrong, "category").select("category", "grounded", "wrong")
+    """Replies of a month's total in a category and its number of charges, which the facts leave out; right, and off by 1, 2 and 100 cents."""
+    keys = [F.date_format("posted_date", "yyyy-MM").alias("month"), F.coalesce("category", F.lit("Uncategorized")).alias("category")]
+    totals = t.ledger(spark, sf_dir).groupBy(*keys).agg(F.abs(F.sum("amount")).alias("total"), F.count("*").alias("n"))
+    each = totals.withColumn("cents", F.explode(F.array(*map(F.lit, (0, 1, 2, 100)))))
+    said = F.format_number(F.col("total") + (F.col("cents") / 100).cast("decimal(5,2)"), 2)
+    facts = each.withColumns({"facts_json": F.to_json(F.struct(F.col("total").cast("double").alias("net"))), "reply": F.concat(F.lit("You spent $"), said, F.lit(" in "), "n", F.lit(" charges."))})
+    return ledgerqa.grounded_replies(facts).select("month", "category", "cents", "grounded")
 
 
 # --- clusters and proposals -------------------------------------------------------------------------------------------
@@ -469,13 +471,33 @@ def rule_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.withColumn("pattern", text.rule_pattern("normalized_merchant"))
 
 
+#: The ledger after a reader has filed three quarters of the open rows by hand, one in twelve of them under another category.
+_FILED = "((coalesce(classified_by, '') NOT IN ('manual', 'rule', 'merchant') OR coalesce(category, '') IN ('', 'Uncategorized')) AND txn_id[2] < 'c')"
+_REVIEWED = f""", reviewed AS (SELECT * REPLACE (CASE WHEN {_FILED} THEN CASE WHEN txn_id[2] = '0' THEN 'Food' ELSE 'Other' END ELSE category END AS category,
+  CASE WHEN {_FILED} THEN 'manual' ELSE classified_by END AS classified_by) FROM ledger)"""
+
+
+def _reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digit = F.substring("txn_id", 2, 1)
+    filed = classify.is_open() & (digit < "c")
+    return t.ledger(spark, sf_dir).withColumns({
+        "category": F.when(filed, F.when(digit == "0", "Food").otherwise("Other")).otherwise(F.col("category")),
+        "classified_by": F.when(filed, "manual").otherwise(F.col("classified_by")),
+    })
+
+
 _PROFILES = """, k AS (SELECT *, lower(coalesce(canonical_merchant, normalized_merchant)) AS key FROM ledger),
 h AS (SELECT key, sum(n) AS hn, max(n) AS top, arg_min(category, (-n, category)) AS cat FROM (SELECT key, category, count(*) AS n FROM k WHERE category IS NOT NULL AND classified_by IN ('manual', 'rule', 'merchant') GROUP BY ALL) GROUP BY 1),
-o AS (SELECT key, count(*) AS n, sum(amount) AS total FROM k WHERE coalesce(classified_by, '') NOT IN ('manual', 'rule', 'merchant') OR coalesce(category, '') IN ('', 'Uncategorized') GROUP BY 1),
-prof AS (SELECT key, CAST(n AS BIGINT) AS txn_count, round(CAST(total AS DOUBLE), 2) AS total_amount, CASE WHEN hn >= 3 THEN cat END AS history_category, CASE WHEN hn >= 3 THEN round(top / hn, 3) ELSE 0.0 END AS history_ratio, CAST(coalesce(hn, 0) AS BIGINT) AS history_count FROM o LEFT JOIN h USING (key)) """
+o AS (SELECT key, count(*) AS n, sum(amount) AS total, list_sort(list(txn_id)) AS txn_ids FROM k WHERE coalesce(classified_by, '') NOT IN ('manual', 'rule', 'merchant') OR coalesce(category, '') IN ('', 'Uncategorized') GROUP BY 1),
+prof AS (SELECT key, CAST(n AS BIGINT) AS txn_count, round(CAST(total AS DOUBLE), 2) AS total_amount, CASE WHEN hn >= 3 THEN cat END AS history_category, CASE WHEN hn >= 3 THEN round(top / hn, 3) ELSE 0.0 END AS history_ratio, CAST(coalesce(hn, 0) AS BIGINT) AS history_count, txn_ids FROM o LEFT JOIN h USING (key)) """
+_HISTORY = _REVIEWED + _PROFILES.replace("FROM ledger", "FROM reviewed")
+#: The queue of answers that history gives, as its rows are stored.
+_HISTORY_QUEUE = _HISTORY + """, printed AS (SELECT *, substring(sha256('1|category|' || CAST(to_json({'history_category': history_category, 'history_ratio': history_ratio, 'key': key, 'txn_ids': txn_ids}) AS VARCHAR)), 1, 24) AS input_fingerprint
+  FROM prof WHERE history_ratio >= 0.9 AND history_count >= 3),
+queue AS (SELECT *, substring(sha256(input_fingerprint || '|2026-01-01T00:00:00'), 1, 16) AS proposal_id FROM printed) """
 
 
-@query(_PROFILES + "SELECT * FROM prof")
+@query(_PROFILES + "SELECT * EXCLUDE (txn_ids) FROM prof")
 def category_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = proposals.category_profiles(t.ledger(spark, sf_dir))
     return _with(found.select("key", "txn_count", "total_amount", "history_category", "history_ratio", "history_count"), "total_amount")
@@ -507,9 +529,9 @@ def score_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _queue(spark, sf_dir).select("input_fingerprint", "confidence", "recommendation_json")
 
 
-@query(_PROFILES + "SELECT key, history_category AS category, 'high' AS confidence FROM prof WHERE history_ratio >= 0.9 AND history_count >= 3")
+@query(_HISTORY + "SELECT key, history_category AS category, 'high' AS confidence FROM prof WHERE history_ratio >= 0.9 AND history_count >= 3")
 def history_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return proposals.history_answers(proposals.category_profiles(t.ledger(spark, sf_dir))).select("key", "category", "confidence")
+    return proposals.history_answers(proposals.category_profiles(_reviewed(spark, sf_dir))).select("key", "category", "confidence")
 
 
 @query()
@@ -537,6 +559,78 @@ def rollback_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proposals.rollback_proposals(queue, "batch-1", "2026-01-03T00:00:00").groupBy("status").agg(F.count("*").alias("n"))
 
 
+def _history_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return proposals.make_proposals(proposals.history_answers(proposals.category_profiles(_reviewed(spark, sf_dir))), "history", "2026-01-01T00:00:00")
+
+
+def _decided(spark: SparkSession, sf_dir: str, queue: DataFrame) -> dict[str, DataFrame]:
+    """The queue after decisions by the first digit of the ids; the last quarter of them stays."""
+    action = F.when(F.col("proposal_id") < "8", "accept").when(F.col("proposal_id") < "a", "reject").when(F.col("proposal_id") < "c", "defer")
+    decisions = queue.select("proposal_id", action.alias("action"), F.lit(None).cast("string").alias("recommendation_json"), F.lit(True).alias("save_as_rule")).where("action is not null")
+    return proposals.apply_proposals(_reviewed(spark, sf_dir), queue, decisions, t.CATEGORIES, "batch-1", "2026-01-02T00:00:00")
+
+
+_HISTORY_STATUS = "CASE WHEN proposal_id < '8' THEN 'accepted' WHEN proposal_id < 'a' THEN 'rejected' WHEN proposal_id < 'c' THEN 'deferred' ELSE 'pending' END"
+
+
+@query(_HISTORY_QUEUE + "SELECT proposal_id, input_fingerprint, 'category' AS kind, 'pending' AS status, history_category AS category, 'true' AS reusable, CAST(len(txn_ids) AS INTEGER) AS txns FROM queue")
+def history_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proposals from history as stored rows: ids, fingerprints and recommendations."""
+    said = F.col("recommendation_json")
+    return _history_queue(spark, sf_dir).select(
+        "proposal_id", "input_fingerprint", "kind", "status", F.get_json_object(said, "$.category").alias("category"), F.get_json_object(said, "$.reusable").alias("reusable"),
+        F.size(F.from_json("txn_ids_json", "array<string>")).alias("txns"),
+    )
+
+
+@query(_HISTORY_QUEUE + "SELECT proposal_id, abs(total_amount) AS impact FROM queue ORDER BY abs(total_amount) DESC, proposal_id LIMIT 50 OFFSET 10")
+def list_history_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return proposals.list_proposals(_history_queue(spark, sf_dir), kind="category", limit=50, offset=10).select("proposal_id", "impact")
+
+
+@query(_HISTORY_QUEUE + f""", existing AS (SELECT input_fingerprint, {_HISTORY_STATUS} AS status FROM queue WHERE proposal_id < 'e'),
+merged AS (SELECT 'full' AS mode, status FROM existing WHERE status NOT IN ('pending', 'deferred') UNION ALL SELECT 'full', 'pending' FROM queue
+  UNION ALL SELECT 'incremental', status FROM existing UNION ALL SELECT 'incremental', 'pending' FROM queue WHERE input_fingerprint NOT IN (SELECT input_fingerprint FROM existing WHERE status IN ('pending', 'deferred')))
+SELECT mode, status, CAST(count(*) AS BIGINT) AS n FROM merged GROUP BY ALL""")
+def merge_history_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A queue partly decided, and one that lacks some rows, after the same profiles are proposed again in both modes."""
+    created = _history_queue(spark, sf_dir)
+    status = F.when(F.col("proposal_id") < "8", "accepted").when(F.col("proposal_id") < "a", "rejected").when(F.col("proposal_id") < "c", "deferred").otherwise("pending")
+    existing = created.where("proposal_id < 'e'").withColumn("status", status)
+    both = [proposals.merge_proposals(existing, created, mode).select(F.lit(mode).alias("mode"), "status") for mode in ("full", "incremental")]
+    return both[0].unionByName(both[1]).groupBy("mode", "status").agg(F.count("*").alias("n"))
+
+
+@query(_HISTORY_QUEUE + """, hit AS (SELECT unnest(txn_ids) AS txn_id, history_category FROM queue WHERE proposal_id < '8')
+SELECT r.txn_id, coalesce(h.history_category, r.category) AS category, CASE WHEN h.txn_id IS NOT NULL THEN 'manual' ELSE r.classified_by END AS classified_by FROM reviewed r LEFT JOIN hit h USING (txn_id)""")
+def apply_history_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of the ledger after accepted proposals took effect."""
+    return _decided(spark, sf_dir, _history_queue(spark, sf_dir))["ledger"].select("txn_id", "category", "classified_by")
+
+
+@query(_HISTORY_QUEUE + """SELECT CASE WHEN max(canonical_merchant) IS NOT NULL THEN 'canonical' ELSE 'exact' END AS kind, coalesce(max(canonical_merchant), arg_min(normalized_merchant, k.txn_id)) AS pattern, max(history_category) AS category
+FROM queue JOIN k USING (key) WHERE proposal_id < '8' AND list_contains(txn_ids, k.txn_id) GROUP BY key""")
+def rules_of_history_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules that accepted proposals leave behind."""
+    return _decided(spark, sf_dir, _history_queue(spark, sf_dir))["rules"].select("kind", "pattern", "category")
+
+
+@query(_HISTORY_QUEUE + f"SELECT proposal_id, {_HISTORY_STATUS} AS decided, 'pending' AS rolled_back FROM queue")
+def rollback_history_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each proposal's status after a batch of decisions, and after its rollback."""
+    decided = _decided(spark, sf_dir, _history_queue(spark, sf_dir))["proposals"]
+    back = proposals.rollback_proposals(decided, "batch-1", "2026-01-03T00:00:00").select("proposal_id", F.col("status").alias("rolled_back"))
+    return decided.select("proposal_id", F.col("status").alias("decided")).join(back, "proposal_id")
+
+
+@query(_PROFILES + """, asked AS (SELECT key, list_sum([ord(c) for c in string_split(key, '')]) % 3 AS kind FROM prof)
+SELECT key, CASE kind WHEN 0 THEN 'Acme' ELSE 'Best Shop' END AS brand, CASE kind WHEN 2 THEN '' ELSE 'Food' END AS category, CASE kind WHEN 0 THEN 'high' ELSE 'low' END AS confidence, kind <> 0 AS ambiguous FROM asked""")
+def sanitize_category_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers on open merchants: a brand; a category as brand, which becomes the category; an unknown category, which goes."""
+    answered = proposals.score_profiles(proposals.category_profiles(t.ledger(spark, sf_dir)), _stub)
+    return proposals.sanitize_answers(answered, t.CATEGORIES).select("key", F.col("answer_canonical").alias("brand"), "category", "confidence", "ambiguous")
+
+
 # --- statement text ---------------------------------------------------------------------------------------------------
 
 

@@ -203,6 +203,7 @@ def test_proposals(spark):
         return [{"key": p["key"], "canonical": "Acme Inc", "category": "Food", "confidence": "high", "reason": ""} for p in items]
 
     queue = proposals.make_proposals(proposals.sanitize_answers(proposals.score_profiles(proposals.merchant_profiles(rows), answer), ["Food"]), "m", "2026-01-01")
+    assert queue.first()["confidence"] == "high"  # an answer that doesn't mention doubt has none
     assert proposals.merge_proposals(queue, queue, "incremental").count() == proposals.merge_proposals(queue, queue).count() == 1
     decision = queue.select("proposal_id", F.lit("accept").alias("action"), F.lit(None).cast("string").alias("recommendation_json"), F.lit(True).alias("save_as_rule"))
     out = proposals.apply_proposals(rows, queue, decision, ["Food"], "b1", "2026-01-02")
@@ -213,6 +214,12 @@ def test_proposals(spark):
     assert proposals.rollback_proposals(out["proposals"], "b1", "2026-01-04").first()["status"] == "pending"
 
 
+def test_large_numbers_in_facts(spark):
+    """Facts as JSON write numbers from ten million on with an exponent."""
+    rows = spark.createDataFrame([("$12,345,678.90", '{"net":1.23456789E7}'), ("$12,345,679.90", '{"net":1.23456789E7}')], "reply string, facts_json string")
+    assert [r["grounded"] for r in ledgerqa.grounded_replies(rows).collect()] == [True, False]
+
+
 def test_migration(spark):
     rows = identity.normalize(raw(spark, ("c", "2026-01-02", "4.25", "A", "a", "a.csv", 1), ("c", "2026-01-02", "4.25", "A", "a", "a.csv", 2)))
     assert not maintenance.needs_migration(rows).first()[0]
