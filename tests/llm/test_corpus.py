@@ -340,6 +340,31 @@ def test_pii_field(spark):
     assert pii.detect(df.limit(0), pii.train(df.limit(0))).count() == 0
 
 
+#: Marked as in pii.LABELLED; no row, threshold or weight of the field was chosen by these.
+PII_HELD_OUT = (
+    "the plumber is at p<(775) 555-0136> on weekdays", "p<312-555-0174> rings twice", "sms p<602.555.0119>", "order line p<1-844-555-0161>, open late", "garage p<(405)555-0128>.", "Oslo p<0047 22 55 01 43> switchboard",
+    "surgery p<0113 496 0228> closed", "Nantes p<02 40 55 01 37> le soir", "try p<509-555-0181> or p<(509) 555-0182>", "p<1 (907) 555-0104> in the north", "leave word at p<1 505 555 0148>;", "abroad p<+49 30 901820 44> only",
+    "forward to e<k.ito@lab.example.jp>", "bcc e<sales_eu@example.com>.", "denied for i<198.51.100.24>", "route via i<10.44.0.1>, then out", "settled c<4111 1111 1111 1111> today", "debit c<5105-1051-0510-5100> again",
+    "typed c<4532.7781.2093.6640> wrongly", "stored c<5234/9981/4410/2207> once", "gold c<3782 822463 10005> holder", "born in 1984, moved in 2006", "opens 07:45 until 2023-10-01", "patch 11.0.9 applied", "pages 301-318 of 544",
+    "ISBN 978-0-14-044913-6", "exports of 8,750,000 tons", "lines 640-655", "about 2.25 miles or 3.6 km", "order 730218 is late", "invoice 2017-009310", "lost 71-84", "clause 9.4.2", "of 63 some 9", "a 2560x1440 screen", "screw 41-3077-2",
+    "the 22nd of 26", "40.71, -74.00", "take 3 4 5 6", "odds 7:4", "rose 1.75% in 2009", "case 555-23", "from 3456789 to 4567890", "was $3,150.00 (20% off)", "steps 2 to 8", "flat 7C, level 14", "between -4.5 and 18",
+)
+
+
+def test_pii_on_held_out_rows(spark):
+    """Against marked rows: at least 0.9 precision and 0.8 recall with the field, under 0.45 recall without."""
+    plain = [(i, f"text {i} of 2020, see page {i * 7} or mail a{i}@example.org", "s") for i in range(30)]
+    field = pii.train(docs(spark, plain))
+    found, base, right = Counter(), 0, 0
+    for row in PII_HELD_OUT:
+        text, want = pii._marked(row)
+        first, spans = pii.find_spans([text], field, {})[0]
+        found.update(s in want for s in spans)
+        base += len(set(first) & set(want))
+        right += len(want)
+    assert found[True] / found.total() >= 0.9 and found[True] / right >= 0.8 and base / right < 0.45, (found, base, right)
+
+
 def test_viterbi_equals_enumeration():
     import itertools
 
