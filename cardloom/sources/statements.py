@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -246,6 +246,49 @@ def parse_word_statements(lines: DataFrame, metadata: DataFrame, issuer: str) ->
     return good.select("document_id", "posted_date", "amount", squeeze(F.concat_ws(" ", "_d", "_tail")).alias("raw_description"), F.col("issuer").alias("card_issuer"), F.col("product").alias("card_product"), F.col("_holder").alias("cardholder"), "section", F.col("line_no").alias("source_row")), errors.where("error is not null")
 
 
+#: Parsers of statements whose words stand in columns; words of other documents are read as plain lines.
+WORD_ISSUERS = {"chase": "Chase", "capital_one": "Capital One", "wells_fargo": "Wells Fargo"}
+
+
+def parse_page_statements(docs: DataFrame, words: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """parse_csv_statements for PDF documents, from their words (document_id, page, text, x0, top), however extracted.
+
+    A document without words fails, and so does one of an issuer's whose identity, period or product isn't found, that has no
+    rows, or (Capital One) whose rows and balances don't add up to what it prints; the others go on. `keep` writes a table and
+    reads it back: lines, their metadata and each issuer's rows are used several times."""
+    todo = docs.where("status is null and suffix = 'pdf'").select("document_id", "parser", "card", "source_file", F.col("card_issuer").alias("_issuer"), F.col("card_product").alias("_product"))
+    lines = keep(words_to_lines(words.join(todo.select("document_id"), "document_id", "left_semi")))
+    routed = todo.select("document_id", "parser")
+    found = keep(statement_metadata(lines).join(routed, "document_id"))
+    plain = keep(parse_text_lines(lines.join(routed.where(~F.col("parser").isin(*WORD_ISSUERS)), "document_id", "left_semi")))
+    rows = plain.withColumns({c: F.lit(None).cast("string") for c in ("card_issuer", "card_product", "cardholder")})
+    bad = plain.where("posted_date is null").select("document_id", F.lit("bad date").alias("error"))
+    for parser, issuer in WORD_ISSUERS.items():
+        own = found.where(F.col("parser") == parser)
+        if own.isEmpty():
+            continue
+        part, wrong = map(keep, parse_word_statements(lines, own, issuer))
+        bad = bad.unionByName(wrong).unionByName(own.where(~F.coalesce(F.col("issuer") == issuer, F.lit(False))).select("document_id", F.lit("no statement identity").alias("error")))
+        if issuer == "Capital One":
+            printed = lines.join(own.select("document_id"), "document_id", "left_semi")
+            for check, message in ((validate_totals(part, declared_totals(printed)), "rows don't add up to a printed total"), (validate_account_summary(printed), "balances don't add up")):
+                bad = bad.unionByName(check.select("document_id", F.lit(message).alias("error")))
+        rows = rows.unionByName(part.drop("section"))
+    counts = rows.groupBy("document_id").agg(F.count("*").alias("n"))
+    seen = lines.select("document_id").distinct().withColumn("_text", F.lit(True))
+    ends = todo.join(bad.groupBy("document_id").agg(F.min("error").alias("_bad")), "document_id", "left").join(counts, "document_id", "left").join(seen, "document_id", "left")
+    empty = F.col("parser").isin(*WORD_ISSUERS) & F.col("n").isNull()
+    error = F.when(F.col("_text").isNull(), "no extractable text").otherwise(F.coalesce("_bad", F.when(empty, "no activity rows")))
+    status = ends.withColumn("error", error).select(
+        "document_id", F.when(F.col("error").isNull(), "parsed").otherwise("failed").alias("status"), F.when(F.col("error").isNull(), F.coalesce("n", F.lit(0))).otherwise(0).cast("bigint").alias("row_count"), "error"
+    )
+    good = rows.join(status.where("status = 'parsed'").select("document_id"), "document_id", "left_semi").join(todo, "document_id")
+    return good.select(
+        "posted_date", "amount", "raw_description", "card", F.coalesce("_issuer", "card_issuer").alias("card_issuer"), F.coalesce("_product", "card_product").alias("card_product"), "cardholder", "source_file",
+        F.col("document_id").alias("source_document_id"), F.col("source_row").cast("bigint").alias("source_row"),
+    ), status
+
+
 def validate_totals(rows: DataFrame, declared: DataFrame) -> DataFrame:
     """(document_id, section, extracted, declared) where a section's rows and its printed total differ by over 0.01."""
     sums = rows.groupBy("document_id", "section").agg(F.sum("amount").alias("extracted"))

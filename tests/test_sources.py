@@ -124,6 +124,32 @@ def test_capital_one_words(spark):
     assert statements.validate_totals(rows.where("section <> 'transactions'"), declared).count() == 1
 
 
+def test_ingest_of_extracted_words(spark, tmp_path):
+    """PDF documents come in by their words; one whose rows miss its printed total, one without words and one that isn't its
+    folder's issuer fail, and leave the others alone."""
+    head = [[(10, "Capital One Savor Credit Card | Mastercard ending in 1")], [(10, "Jun 5, 2026 - Jul 4, 2026 | 30 days in Billing Cycle")], [(10, "Sam Example: Transactions")], [(10, "Trans Date"), (90, "Post Date"), (170, "Description"), (400, "Amount")], [(10, "Jun 12"), (90, "Jun 13"), (170, "SHOP"), (395, "$23.09")]]
+    pages = {
+        "cap/a.pdf": [*head, [(10, "Total Transactions for This Period $23.09")]], "cap/b.pdf": [*head, [(10, "Total Transactions for This Period $24.09")]],
+        "other/c.pdf": [[(10, "07/01/2026 LUNCH $10.00")], [(10, "Thank you")]], "cap/d.pdf": [[(10, "Chase Sapphire")], [(10, "07/01/2026 LUNCH $10.00")]], "cap/e.pdf": None,
+    }
+    inbox, out = tmp_path / "inbox", str(tmp_path / "out")
+    write(inbox, {name.replace("cap/", "capitalone/"): name for name in pages})
+    docs = documents.read_documents(spark, str(inbox))
+    ids = {r["source_file"].split("/")[1]: r["document_id"] for r in docs.collect()}
+    words = None
+    for name, lines in pages.items():
+        if lines:
+            own = positioned(spark, lines, ids[name.split("/")[1]])
+            words = own if words is None else words.unionByName(own)
+    assert ingest(docs, out, words=words) == {"added": 2, "parsed": 2, "failed": 3}
+    rows = {r["raw_description"]: (r["posted_date"], float(r["amount"]), r["card_issuer"], r["cardholder"]) for r in store.read_ledger(spark, f"{out}/ledger").collect()}
+    assert rows == {"SHOP": (date(2026, 6, 13), 23.09, "Capital One", "Sam Example"), "LUNCH": (date(2026, 7, 1), 10.0, None, None)}
+    errors = {r["source_file"].split("/")[1]: r["error"] for r in spark.read.parquet(f"{out}/manifest").where("status = 'failed'").collect()}
+    assert errors == {"b.pdf": "rows don't add up to a printed total", "d.pdf": "no statement identity", "e.pdf": "no extractable text"}
+    assert not [p for p in (tmp_path / "out").iterdir() if p.name.startswith("_parsed")]
+    assert ingest(docs, out, words=words)["failed"] == 3 and store.read_ledger(spark, f"{out}/ledger").count() == 2
+
+
 def test_wells_fargo_words(spark):
     head = [[(10, "WELLS FARGO AUTOGRAPH VISA CARD")], [(10, "ALEX Q EXAMPLE")], [(10, "Statement Period 06/05/2026 to 07/04/2026")], [(10, "Trans"), (60, "Post"), (110, "Reference"), (200, "Description"), (400, "Credits"), (470, "Charges")]]
     body = [[(10, "Payments")], [(10, "06/10"), (60, "06/11"), (110, "REF1"), (200, "PAYMENT"), (400, "316.72")], [(10, "Purchases, Balance Transfers & Other Charges")], [(10, "06/12"), (60, "06/12"), (110, "REF2"), (200, "A LONG MERCHANT NAME THAT RUNS OVER"), (470, "13.99")]]
