@@ -47,3 +47,21 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     closing = ~space[:n] & (space[1:] | first[1:])
     ends = np.flatnonzero(closing) + 1
     return starts, ends, np.searchsorted(starts, offsets, "left")
+
+
+def stretches(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of marked bytes; a run ends with its document."""
+    n = len(inside)
+    first = np.zeros(n + 1, bool)
+    first[offsets] = True
+    before = np.zeros(n + 1, bool)
+    before[1:] = inside
+    starts = np.flatnonzero(inside & (~before[:-1] | first[:-1]))
+    ends = np.flatnonzero(inside & (~np.append(inside[1:], False) | first[1:])) + 1 if n else starts
+    return starts, ends
+
+
+def as_strings(data: np.ndarray, kept: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """The kept bytes, cut into strings of these lengths."""
+    places = np.concatenate(([0], np.cumsum(lengths))).astype(np.int64)
+    return pa.LargeStringArray.from_buffers(len(lengths), pa.py_buffer(places), pa.py_buffer(np.ascontiguousarray(data[kept])))

@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._spark import in_arrow, small, stored, table
-from ._text import doc_chunks, string_bytes
+from ._text import as_strings, doc_chunks, stretches, string_bytes
 
 MIN_DOCS, PRIOR, SCALE, MOST_TERMS = 30, 5, 1_000_000_000, 50
 #: Terms of a block and sources of a tile: a task has at most two tiles' rows of one block.
@@ -31,20 +31,8 @@ def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     """The maximal runs of ASCII letters and bytes beyond ASCII of each document, A-Z lower-cased, and the document of each."""
     lower = data | ((data - np.uint8(65) < 26).astype(np.uint8) << 5)
     inside = (lower - np.uint8(97) < 26) | (lower >= 128)
-    edge = np.empty(len(data) + 1, bool)
-    edge[0] = True
-    edge[1:-1] = ~inside[:-1] if len(data) else False
-    edge[offsets] = True  # a run ends with its document
-    starts = np.flatnonzero(inside & edge[:-1]) if len(data) else np.zeros(0, np.int64)
-    closed = np.empty(len(data), bool)
-    if len(data):
-        closed[:-1] = ~inside[1:]
-        closed[-1] = True
-        closed[offsets[(offsets > 0)] - 1] = True
-    ends = np.flatnonzero(inside & closed) + 1
-    places = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int64)
-    found = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(places), pa.py_buffer(np.ascontiguousarray(lower[inside])))
-    return found, np.searchsorted(offsets, starts, "right") - 1
+    starts, ends = stretches(inside, offsets)
+    return as_strings(lower, inside, ends - starts), np.searchsorted(offsets, starts, "right") - 1
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
