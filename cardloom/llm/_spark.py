@@ -79,3 +79,14 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of df has, in any case, made from these."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out

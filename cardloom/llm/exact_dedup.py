@@ -17,11 +17,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import in_arrow, small, stored, table
+from ._spark import in_arrow, small, stored, table, unused
 from .url_rules import LOWER, UPPER
 
 #: Different hashes that a bucket may hold before it splits.
 CAPACITY = 65_536
+#: Doublings of the directory beyond what the number of hashes asks for. Hashes of texts spread evenly and need one or two;
+#: a bucket that is overfull even then stays one.
+DOUBLINGS = 8
 #: Bytes of different texts that a task remembers before it forgets them; a text met again is then sent again.
 MEMORY = 32 << 20
 #: A hot hash's texts meet in so many places first, and these meet in its owner.
@@ -35,14 +38,14 @@ def prefix(h: Column | str, depth: int) -> Column:
 
 
 def directory(hashes: DataFrame, capacity: int = CAPACITY, bits: int = 64) -> tuple[DataFrame, int]:
-    """((entry, bucket), depth) of a table of different hashes `h`, of which `bits` leading bits vary: 2^depth entries, each
-    with the first entry of its bucket. A bucket of more than `capacity` hashes is split as long as bits are left. No
-    hashes give one entry. Only the number of hashes and of overfull buckets come to the driver, once a doubling."""
+    """((entry, bucket), depth) of a table of different hashes `h`, of which `bits` leading bits vary: of 2^depth entries those
+    that hold some hash, each with the first entry of its bucket. A bucket of more than `capacity` hashes is split, DOUBLINGS times at most. No
+    hashes give no entry. Only the number of hashes and of overfull buckets come to the driver, once a doubling."""
     depth = min(bits, max(0, (hashes.count() // capacity).bit_length()))
     count = lambda rows, d: rows.groupBy(prefix("h", d).alias("at")).agg(F.count("*").alias("n"))
     now = stored(count(hashes, depth).withColumn("depth", F.lit(depth)))
     done = now.limit(0)
-    while depth < bits:
+    for _ in range(min(DOUBLINGS, bits - depth)):
         full = now.where(F.col("n") > capacity)
         if full.isEmpty():
             break
@@ -151,14 +154,12 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normal: str = "none") -> DataFrame:
     """`docs` without the rows that exact_duplicates doesn't keep. Rows are told apart by id and text; rows equal in both are one then."""
-    gone = exact_duplicates(docs, id_col, text_col, normal).where("not kept and not (doc_id <=> keep_id)").select(F.col("doc_id").alias("__gone_id"), F.col("text_sha256").alias("__gone_text")).distinct()
-    digest = F.sha2(NORMAL[normal](F.coalesce(F.col(f"`{text_col}`"), F.lit(""))), 256)
-    marked = docs.withColumn("__digest", digest)
-    kept = marked.join(small(gone), F.col(f"`{id_col}`").eqNullSafe(F.col("__gone_id")) & (F.col("__digest") == F.col("__gone_text")), "left_anti")
-    twice = kept.groupBy(F.col(f"`{id_col}`").alias("__id"), F.col("__digest").alias("__d")).agg(F.count("*").alias("__n")).where("__n > 1")
-    if twice.isEmpty():
-        return kept.drop("__digest")
-    return kept.dropDuplicates([id_col, "__digest"]).drop("__digest")
+    mark, gone_id, gone_text = unused(docs, "_digest", "_gone_id", "_gone_text")
+    gone = exact_duplicates(docs, id_col, text_col, normal).where("not kept and not (doc_id <=> keep_id)").select(F.col("doc_id").alias(gone_id), F.col("text_sha256").alias(gone_text)).distinct()
+    marked = docs.withColumn(mark, F.sha2(NORMAL[normal](F.coalesce(F.col(f"`{text_col}`"), F.lit(""))), 256))
+    kept = marked.join(small(gone), F.col(f"`{id_col}`").eqNullSafe(F.col(gone_id)) & (F.col(mark) == F.col(gone_text)), "left_anti")
+    twice = kept.groupBy(id_col, mark).count().where("count > 1")
+    return (kept if twice.isEmpty() else kept.dropDuplicates([id_col, mark])).drop(mark)
 
 
 def op12_extendible_hash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,7 +96,7 @@ def _keyed(rows: DataFrame, level: int) -> DataFrame:
     """Rows (word, longer, window) with `key`: the word without the window, which is one of 2^level parts of the shorter word's
     length; of a word that takes the longer one's part the window is one place wider."""
     size = F.length("word") - F.col("longer")
-    bound = lambda i: F.shiftright(i * size, level)
+    bound = lambda i: F.shiftright(i.cast("long") * size, level)
     low, high = bound(F.col("window")), bound(F.col("window") + 1)
     rest = F.concat(F.expr("substring(word, 1, _low)"), F.expr("substring(word, _high + longer + 1)"))
     open_ = rows.withColumns({"_low": low.cast("int"), "_high": high.cast("int"), "_size": size})
