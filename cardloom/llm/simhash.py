@@ -7,9 +7,12 @@ around its half reaches (the triangle bound), so every pair meets in some shard.
 the same bound, and what is left is compared on all 64 bits. The sample only balances the shards; it never decides a
 link. Of dense groups a shard returns a spanning set of links, not all pairs; connected components are the same.
 
-For near copies at a lower similarity, fingerprints are longer: more lanes of 64 bits, each from hashes of its own. Bits
-disagree as often as the angle between the texts' shingle vectors is of a half turn, so a similarity becomes a number of
-bits. Each half of each lane has trees of its own, and two texts meet where any half differs in at most 1 bit.
+For near copies at a lower similarity, fingerprints are longer: more lanes of 64 bits, each from hashes of its own, over
+the distinct shingles. Bits disagree as often as the angle between the texts' shingle vectors is of a half turn, so a
+similarity becomes a number of bits. Each lane gives three blocks of 21 bits with trees of their own, and two texts meet
+where any block differs in at most 1 bit. Those that meet are linked by a minimum spanning forest of their distances, cut
+well above the mean distance of the similarity asked for, and a link counts once the texts' shingles themselves are as
+alike as asked.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ._anchors import mix, ranges
 from ._graph import connected_components
-from ._spark import in_arrow, small, stored, table
+from ._spark import in_arrow, small, stored, table, tidy, unused
 from ._text import doc_chunks, string_bytes, words
 
 SEED = 42
@@ -37,20 +40,25 @@ SHINGLE = 3
 #: Distinct fingerprints a shard should hold, and a leaf of the tree inside it.
 SHARD, LEAF = 8_192, 256
 #: The same for fingerprints of several lanes, whose rows are wide: fewer shards send fewer of them to several.
-WIDE_SHARD = 65_536
+WIDE_SHARD = 1 << 19
+#: Bits of a block that has trees of its own: half a lane, or a third of one where there are several lanes.
+HALF, THIRD = 32, 21
 #: Distinct fingerprints that the shard trees are fitted to: so many at least, so many a shard, so many at most.
 SAMPLE, SAMPLE_A_SHARD, MOST_SAMPLE = 16_384, 8, 1_048_576
 #: Near copies by similarity: words a shingle, lanes of a fingerprint, least similarity.
-NEAR_SHINGLE, LANES, SIMILARITY = 5, 8, 0.8
-
-
-def simhash_batch(column: pa.Array, shingle: int = SHINGLE, seed: int = SEED, lanes: int = 1) -> np.ndarray:
-    """The fingerprints (uint64, a column for each lane) of a string column: A-Z lower-cased, words joined by one space,
-    a bit is 1 if over half of the shingles' hashes have it. One lane: the XXH64 of each shingle's bytes. Several: each
-    lane mixes anew a hash of the shingle's words, found for all bytes of a chunk at once.
-    No words: 0. Fewer words than a shingle: one shingle."""
+NEAR_SHINGLE, LANES, SIMILARITY = 5, 7, 0.8
+#: Standard deviations of the distance above its mean up to which texts are compared, and below it from which they count as
+#: near copies without a comparison.
+WIDER, SURE = 2.5, 4.0
+#: Links that a shard holds before it reduces them to a forest.
+MOST_LINKS = 1 << 22
+
+
+def _shingles(column: pa.Array, shingle: int, seed: int, distinct: bool) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first document, end, hashes, where each document's hashes begin) for stretches of a string column: A-Z lower-cased, words
+    joined by one space; fewer words than a shingle are one shingle. The hashes are XXH64 of the shingles' bytes, repeats
+    included; or, if distinct, sorted ones of the shingle's words, found for all bytes of a stretch at once."""
     data, offsets = string_bytes(pc.ascii_lower(column))
-    out = np.zeros((len(offsets) - 1, lanes), np.uint64)
     for a, b in doc_chunks(offsets):
         part, cuts = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         starts, ends, first = words(part, cuts)
@@ -68,7 +76,22 @@ def simhash_batch(column: pa.Array, shingle: int = SHINGLE, seed: int = SEED, la
         at = np.concatenate(([0], np.cumsum(grams)))
         left = first[doc] + np.arange(at[-1]) - at[doc]
         right = np.minimum(left + shingle, first[doc + 1])
-        hashes = _byte_hashes(joined, to[left], to[right] - 1, seed) if lanes == 1 else _word_hashes(joined, to, left, right, shingle, seed)
+        if not distinct:
+            yield a, b, _byte_hashes(joined, to[left], to[right] - 1, seed), at
+            continue
+        hashes = _word_hashes(joined, to, left, right, shingle, seed)
+        order = np.lexsort((hashes, doc))
+        hashes, doc = hashes[order], doc[order]
+        new = np.append(True, (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1]))
+        yield a, b, hashes[new], np.searchsorted(doc[new], np.arange(b - a + 1))
+
+
+def simhash_batch(column: pa.Array, shingle: int = SHINGLE, seed: int = SEED, lanes: int = 1) -> np.ndarray:
+    """The fingerprints (uint64, a column for each lane) of a string column: a bit is 1 if over half of the shingles' hashes
+    have it. One lane: of all shingles. Several: of the distinct ones, each lane mixing their hashes anew. No words: 0."""
+    out = np.zeros((len(column), lanes), np.uint64)
+    for a, _, hashes, at in _shingles(column, shingle, seed, lanes > 1):
+        grams = np.diff(at)
         some = np.flatnonzero(grams)
         for s in range(0, len(some), 512):
             group = some[s : s + 512]
@@ -82,6 +105,15 @@ def simhash_batch(column: pa.Array, shingle: int = SHINGLE, seed: int = SEED, la
     return out
 
 
+def shingle_sets(column: pa.Array, shingle: int, seed: int = SEED) -> list[bytes]:
+    """The sorted distinct hashes of each text's shingles."""
+    out = [b""] * len(column)
+    for a, b, hashes, at in _shingles(column, shingle, seed, True):
+        for i in range(b - a):
+            out[a + i] = hashes[at[i] : at[i + 1]].tobytes()
+    return out
+
+
 def _byte_hashes(joined: np.ndarray, low: np.ndarray, high: np.ndarray, seed: int) -> np.ndarray:
     """XXH64 of stretches of bytes."""
     view, digest = memoryview(joined), xxhash.xxh64_intdigest
@@ -182,23 +214,20 @@ def route(tree: tuple | None, x: np.ndarray, reach: int) -> Iterator[tuple[int,
         stack.append((outer, 2 * shard + 1, at[beyond], home[beyond] & (d[beyond] > radius)))
 
 
-def _links(v: np.ndarray, h: np.ndarray, fps: np.ndarray, half: np.ndarray, reach: int, most_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links between two blocks (of places in fps); of a dense block a spanning set."""
+def _links(v: np.ndarray, h: np.ndarray, fps: np.ndarray, half: np.ndarray, reach: int, most_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links between two blocks (of places in fps), the smaller place first, and their bits; of a dense block a forest."""
     i, j = np.nonzero(np.bitwise_count(half[v][:, None] ^ half[h][None, :]) <= reach)
-    apart = v[i] != h[j]
-    i, j = i[apart], j[apart]
-    bits = sum(np.bitwise_count(fps[v[i], k] ^ fps[h[j], k]).astype(np.int32) for k in range(fps.shape[1])) if len(i) else np.zeros(0, np.int32)
+    i, j = v[i], h[j]
+    apart = i != j
+    i, j = np.minimum(i[apart], j[apart]), np.maximum(i[apart], j[apart])
+    bits = sum((np.bitwise_count(fps[i, k] ^ fps[j, k]).astype(np.int32) for k in range(fps.shape[1])), np.zeros(len(i), np.int32))
     near = bits <= most_bits
-    i, j = v[i[near]], h[j[near]]
-    if len(i) <= 4 * (len(v) + len(h)):
-        yield i, j
-        return
-    yield spanning(i, j, len(fps))
+    found = i[near], j[near], bits[near]
+    return found if len(found[0]) <= 4 * (len(v) + len(h)) else forest(*found)
 
 
-def spanning(u: np.ndarray, v: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Fewer links that connect the same of n places: each place with the first one it reaches, unless it is that itself."""
-    label = np.arange(n)
+def joined(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The labels (the first place of each group) after links between places."""
     while len(u):
         np.minimum.at(label, u, v)
         np.minimum.at(label, v, u)
@@ -210,17 +239,46 @@ def spanning(u: np.ndarray, v: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarr
         u, v = label[u], label[v]
         apart = u != v
         u, v = u[apart], v[apart]
+    return label
+
+
+def spanning(u: np.ndarray, v: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fewer links that connect the same of n places: each place with the first one it reaches, unless it is that itself."""
+    label = joined(np.arange(n), u, v)
     at = np.flatnonzero(label != np.arange(n))
     return at, label[at]
 
 
-def shard_links(fps: np.ndarray, home: np.ndarray, part: int, reach: int, most_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (as places in fps) that connect the fingerprints (place, lane) that live in a shard and all that visit it as
-    all their pairs do."""
+def forest(u: np.ndarray, v: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The links of the minimum spanning forest of the places they link: whatever the number of bits at which links are cut, it connects
+    the same places as all links do. Of equal bits the smaller places count as nearer."""
+    order = np.lexsort((v, u, bits))
+    u, v, bits = u[order], v[order], bits[order]
+    places, ends = np.unique(np.concatenate((u, v)), return_inverse=True)
+    x, y, n = ends[: len(u)], ends[len(u) :], len(places)
+    label, open_, chosen = np.arange(n), np.arange(len(u)), np.zeros(len(u), bool)
+    while len(open_):
+        a, b = label[x[open_]], label[y[open_]]
+        apart = a != b
+        open_, a, b = open_[apart], a[apart], b[apart]
+        best = np.full(n, len(u))  # each group's nearest link to another
+        np.minimum.at(best, a, open_)
+        np.minimum.at(best, b, open_)
+        pick = np.unique(best[best < len(u)])
+        chosen[pick] = True
+        label = joined(label, label[x[pick]], label[y[pick]])
+    return u[chosen], v[chosen], bits[chosen]
+
+
+def shard_forest(fps: np.ndarray, home: np.ndarray, part: int, reach: int, most_bits: int, width: int = HALF) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The forest (places in fps, bits) of all links between the fingerprints (place, lane) that live in a shard and those and
+    all that visit it."""
     rng = np.random.default_rng(0)
-    half = halves(fps, part)
-    left, right = [], []
+    half = block_of(fps, part, width)
+    none = np.zeros(0, np.int64)
+    found, held = [(none, none, none)], 0
     stack = [(np.flatnonzero(home), np.arange(len(fps)))]
+    reduce = lambda: forest(*(np.concatenate(x) for x in zip(*found)))
     while stack:
         h, v = stack.pop()
         if not len(h) or not len(v):
@@ -230,21 +288,34 @@ def shard_links(fps: np.ndarray, home: np.ndarray, part: int, reach: int, most_b
             step = max(1, (1 << 20) // min(len(h), 4096))
             for j in range(0, len(h), 4096):
                 for i in range(0, len(v), step):
-                    for a, b in _links(v[i : i + step], h[j : j + 4096], fps, half, reach, most_bits):
-                        left.append(a)
-                        right.append(b)
+                    found.append(_links(v[i : i + step], h[j : j + 4096], fps, half, reach, most_bits))
+                    held += len(found[-1][0])
+                    if held > MOST_LINKS:
+                        found = [reduce()]
+                        held = len(found[0][0])
             continue
         point, radius, _, _ = node
         dh, dv = _distance(half[h], point), _distance(half[v], point)
         stack.append((h[dh <= radius], v[dv - reach <= radius]))
         stack.append((h[dh > radius], v[dv + reach > radius]))
-    none = np.zeros(0, np.int64)
-    return spanning(np.concatenate([none, *left]), np.concatenate([none, *right]), len(fps))
+    return reduce()
+
+
+def shard_links(fps: np.ndarray, home: np.ndarray, part: int, reach: int, most_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (as places in fps) that connect the fingerprints (place, lane) that live in a shard and all that visit it as
+    all their pairs do."""
+    u, v, _ = shard_forest(fps, home, part, reach, most_bits)
+    return spanning(u, v, len(fps))
+
+
+def block_of(fps: np.ndarray, part: int, width: int) -> np.ndarray:
+    """The bits of fingerprints (place, lane) that a part's trees see; a lane has as many parts as fit into it."""
+    lane, place = divmod(part, 64 // width)
+    return ((fps[:, lane] >> np.uint64(width * place)) & np.uint64((1 << width) - 1)).astype(np.uint32)
 
 
 def halves(fps: np.ndarray, part: int) -> np.ndarray:
-    """The 32 bits of fingerprints (place, lane) that a part's trees see."""
-    return ((fps[:, part // 2] >> np.uint64(32 * (part % 2))) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    return block_of(fps, part, HALF)
 
 
 def _lanes(column: pd.Series, lanes: int) -> np.ndarray:
@@ -254,17 +325,19 @@ def _lanes(column: pd.Series, lanes: int) -> np.ndarray:
 
 
 def fingerprint_links(distinct: DataFrame, most_bits: int = MAX_BITS, lanes: int = 1) -> DataFrame:
-    """(u, v) links that connect the `node`s of the distinct fingerprints `fp` (long, or binary if of several lanes) as all pairs do that differ in at
-    most `most_bits` bits, and by at most 1 in some half of a lane. (For one lane and 3 bits the second follows.)"""
+    """(u, v, bits) links between the `node`s of the distinct fingerprints `fp` (long, or binary if of several lanes): of each
+    shard a spanning set (one lane), or a minimum spanning forest, of all pairs that differ in at most `most_bits` bits, and by at
+    most 1 in some block. (For one lane and 3 bits the second follows.)"""
     spark = distinct.sparkSession
-    total = distinct.count()
+    total, width = distinct.count(), HALF if lanes == 1 else THIRD
+    parts = lanes * (64 // width)
     shards = max(1, total / (SHARD if lanes == 1 else WIDE_SHARD))
     rows = min(MOST_SAMPLE, max(SAMPLE, int(SAMPLE_A_SHARD * shards)))
     sample = _lanes(distinct.orderBy(F.xxhash64(F.lit(7), "fp"), "fp").limit(rows).select("fp").toPandas()["fp"], lanes)
     depth = max(0, int(np.ceil(np.log2(shards))))
     reach = 1
     rng = np.random.default_rng(11)
-    trees = spark.sparkContext.broadcast([fit_tree(halves(sample, p), depth, rng) for p in range(2 * lanes)])  # at most as many nodes as the sample has rows, a part
+    trees = spark.sparkContext.broadcast([fit_tree(block_of(sample, p, width), depth, rng) for p in range(parts)])  # at most as many nodes as the sample has rows, a part
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -272,59 +345,102 @@ def fingerprint_links(distinct: DataFrame, most_bits: int = MAX_BITS, lanes: int
                 continue
             fps = _lanes(batch["fp"], lanes)
             for part, tree in enumerate(trees.value):
-                for shard, at, home in route(tree, halves(fps, part), reach):
+                for shard, at, home in route(tree, block_of(fps, part, width), reach):
                     yield batch.iloc[at].assign(part=part, shard=shard, home=home)[["part", "shard", "node", "fp", "home"]]
 
     def links(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("node")  # so that a group of copies has the same first node in each part, and the same links
-        u, v = shard_links(_lanes(group["fp"], lanes), group["home"].to_numpy(bool), int(key[0]), reach, most_bits)
+        fps, home = _lanes(group["fp"], lanes), group["home"].to_numpy(bool)
+        u, v, bits = shard_forest(fps, home, int(key[0]), reach, most_bits, width)
+        if lanes == 1:
+            u, v = spanning(u, v, len(fps))
+            bits = np.zeros(len(u), np.int64)
         node = group["node"].to_numpy(np.int64)
-        return pd.DataFrame({"u": node[u], "v": node[v]})
+        tidy()
+        return pd.DataFrame({"u": node[u], "v": node[v], "bits": bits})
 
     dealt = distinct.select("node", "fp").mapInPandas(deal, f"part int, shard long, node long, fp {distinct.schema['fp'].dataType.simpleString()}, home boolean")
-    return dealt.groupBy("part", "shard").applyInPandas(links, "u long, v long").distinct()
+    return dealt.groupBy("part", "shard").applyInPandas(links, "u long, v long, bits int").distinct()
+
 
+def bits_of(similarity: float, bits: int) -> tuple[float, float]:
+    """In how many of so many bits the fingerprints of texts of a similarity (Jaccard) and equal length differ: mean and standard deviation."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return bits * share, math.sqrt(bits * share * (1 - share))
 
-def bits_of(similarity: float, bits: int) -> int:
-    """Bits in which fingerprints of so many bits differ at a similarity (Jaccard) of texts of equal length."""
-    return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+def _alike(known: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The `pairs` (u, v) of nodes that share at least that part of their distinct shingles; known is (node, shingles)."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                a, b = (np.frombuffer(s.as_py(), np.uint64) for s in (x, y))
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                near.append(both >= similarity * (len(a) + len(b) - both))
+            yield batch.select(["u", "v"]).filter(pa.array(near, pa.bool_()))
+
+    left = pairs.select("u", "v").join(known.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
+    both = left.join(known.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
+    return stored(in_arrow(both.select("u", "v", "a", "b"), compare, "u long, v long"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = NEAR_SHINGLE, lanes: int = LANES) -> DataFrame:
     """`docs` with one row of each group of near copies: the row with the smallest id (none is the largest), of equal ones the first
     by a hash of all columns. Rows that are equal in all columns are one row then.
 
-    Texts are linked if their fingerprints over shingles of `shingle` words differ in at most as many bits as texts of that
-    similarity do on average, and groups are what links connect. The bits' spread blurs the threshold by about 0.04, and a pair
-    meets with a chance that falls with the similarity (measured in the README). Null and empty texts have fingerprint
-    zero and are one group. No rows give no rows.
+    Two texts are near copies if at least `similarity` of all their distinct shingles of `shingle` words are in both; groups are what such
+    pairs connect. Pairs are found through fingerprints, most but not all of them (measured in the README); those found are compared
+    by their shingles, but for fingerprints so near that the similarity can't be less. Null and empty texts are one group. Very long
+    texts are texts like others, and columns may have any names. No rows give no rows.
     """
-    marks = [F.xxhash64(F.lit(k), *[F.col(f"`{c}`") for c in docs.columns]).alias(f"__mark{k}") for k in (1, 2)]
-    both = ["__mark1", "__mark2"]
+    one, two, copies, key1, key2, node_ = unused(docs, "_mark1", "_mark2", "_copies", "_key1", "_key2", "_node")
+    both = [one, two]
+    marks = [F.xxhash64(F.lit(k), *[F.col(f"`{c}`") for c in docs.columns]).alias(m) for k, m in enumerate(both)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = simhash_batch(batch.column(3), shingle, SEED, lanes)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([x.tobytes() for x in fp], pa.binary())], ["__mark1", "__mark2", "id", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([x.tobytes() for x in fp], pa.binary())], ["m1", "m2", "id", "fp"])
 
-    texts = docs.select(*marks, F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    rows = stored(in_arrow(texts, run, "__mark1 long, __mark2 long, id long, fp binary"))
-    order = F.struct(F.col("id").isNull().alias("none"), "id", *both)
-    distinct = stored(rows.groupBy("fp").agg(F.min(order).alias("first"), F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id()))
-    links = stored(fingerprint_links(distinct, bits_of(similarity, 64 * lanes), lanes))
-    groups = connected_components(links)
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shingle_sets(batch.column(1), shingle), pa.binary())], ["node", "shingles"])
+
+    marked = docs.select("*", *marks)
+    texts = marked.select(F.col(one).alias("m1"), F.col(two).alias("m2"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    rows = stored(in_arrow(texts, run, "m1 long, m2 long, id long, fp binary"))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "m1", "m2")
+    distinct = stored(rows.groupBy("fp").agg(F.min(order).alias("first")).withColumn("node", F.monotonically_increasing_id()))
+    mean, spread = bits_of(similarity, 64 * lanes)
+    links = stored(fingerprint_links(distinct, round(mean + WIDER * spread), lanes))
+    sure, rest = links.where(F.col("bits") <= mean - SURE * spread).select("u", "v"), links.where(F.col("bits") > mean - SURE * spread)
+    # Each text's nearest first: what they connect needs no other link. Then those between what is still apart.
+    ends = rest.select(F.explode(F.array("u", "v")).alias("node"), F.struct("bits", "u", "v").alias("link"))
+    nearest = stored(ends.groupBy("node").agg(F.min("link").alias("link")).select("link.u", "link.v").distinct())
+    asked = rest.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    first_rows = distinct.join(asked, "node").select(F.col("first.m1").alias(key1), F.col("first.m2").alias(key2), F.col("node").alias(node_))
+    found = marked.join(small(stored(first_rows)), (F.col(one) == F.col(key1)) & (F.col(two) == F.col(key2))).select(F.col(node_).alias("node"), F.col(f"`{text_col}`").alias("text"))
+    known = stored(in_arrow(found, sets, "node long, shingles binary").dropDuplicates(["node"]))
+    good = sure.unionByName(_alike(known, nearest, similarity))
+    groups = small(stored(connected_components(good)))
+    of = lambda end: groups.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+    open_ = rest.select("u", "v").join(nearest, ["u", "v"], "left_anti").join(of("u"), "u", "left").join(of("v"), "v", "left")
+    open_ = stored(open_.where(F.coalesce("of_u", "u") != F.coalesce("of_v", "v")).select("u", "v"))
+    if not open_.isEmpty():
+        groups = stored(connected_components(good.unionByName(_alike(known, open_, similarity))))
     grouped = distinct.join(groups, "node", "left").withColumn("group", F.coalesce("component", "node"))
     firsts = grouped.groupBy("group").agg(F.min("first").alias("kept"))
     # The rows to drop are fewer than the others as a rule; where they are few, no text is shuffled.
-    of_row = rows.join(grouped.join(firsts, "group").select("fp", F.col("kept.__mark1").alias("k1"), F.col("kept.__mark2").alias("k2")), "fp")
-    dropped = stored(of_row.where("__mark1 <> k1 or __mark2 <> k2").select(*both).distinct())
-    equal = stored(rows.groupBy(*both).agg(F.count("*").alias("n")).where("n > 1").select(*both))
-    marked = docs.select("*", *marks)
+    of_row = rows.join(grouped.join(firsts, "group").select("fp", F.col("kept.m1").alias("k1"), F.col("kept.m2").alias("k2")), "fp")
+    dropped = stored(of_row.where("m1 <> k1 or m2 <> k2").select(F.col("m1").alias(one), F.col("m2").alias(two)).distinct())
+    equal = stored(rows.groupBy(F.col("m1").alias(one), F.col("m2").alias(two)).agg(F.count("*").alias(copies)).where(F.col(copies) > 1).select(*both))
     kept = marked.join(small(dropped), both, "left_anti")
     if not equal.isEmpty():
         equal = small(equal)
         kept = kept.join(equal, both, "left_anti").unionByName(kept.join(equal, both, "left_semi").dropDuplicates(both))
-    return kept.drop(*both)
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_bits: int = MAX_BITS) -> DataFrame:
