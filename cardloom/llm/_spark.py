@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 #: A table with more rows than this is never broadcast by hand; such joins shuffle instead.
 BROADCAST_ROWS = 200_000
-#: Rows handed to a Python worker at once, where the session leaves Spark's own number of 10,000, which is many MB of texts.
-BATCH_ROWS = 1_000
+#: Bytes handed to a Python worker at once, where the session leaves Spark's own bound, which is 64 MB; a longer text comes alone.
+BATCH_BYTES = "4m"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -58,10 +58,10 @@ def tidy() -> None:
 
 
 def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], ddl) -> DataFrame:
-    """df.mapInArrow(run, ddl) in batches of BATCH_ROWS, whose memory goes back when a task ends."""
+    """df.mapInArrow(run, ddl) in batches of BATCH_BYTES, or of what the session has set, whose memory goes back when a task ends."""
     spark = df.sparkSession
-    if spark.conf.get(_BATCH) == "10000":
-        spark.conf.set(_BATCH, BATCH_ROWS)
+    if _BATCH not in spark.conf.getAll:
+        spark.conf.set(_BATCH, BATCH_BYTES)
 
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:

@@ -105,7 +105,9 @@ def tables_for(size: int, edits: int, recall: float = RECALL) -> int:
         agree = embed(segment, MOST_TABLES) == embed(window, MOST_TABLES)
         found = np.sort(np.where(agree.any(axis=1), agree.argmax(axis=1), MOST_TABLES))
         need = max(need, int(found[math.ceil(recall * PAIRS) - 1]) + 1)
-    return min(need, MOST_TABLES)
+    if need > MOST_TABLES:
+        raise ValueError(f"{MOST_TABLES} tables don't find {recall:.1%} of segments of {size} words with {edits} edits; ask for a higher similarity")
+    return need
 
 
 class Segments:

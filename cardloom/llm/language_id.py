@@ -85,10 +85,13 @@ class Model:
 
 
 def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int = FIT_ROWS) -> Model:
-    """Fit to about `rows` labelled rows of each language. Counts are added up on the executors, a row a language."""
+    """Fit to about `rows` labelled rows of each language, of which there may be MOST_LANGUAGES; more are an error. Counts are added
+    up on the executors, a row a language."""
     spark = docs.sparkSession
     labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    sizes = labelled.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages: the model would outgrow a broadcast")
     languages = sorted(r["lang"] for r in sizes)
     if not languages:
         return Model([], np.zeros((0, BUCKETS)), np.zeros((0, 1 << 16)))
