@@ -14,11 +14,11 @@ from cardloom.llm._spark import stored, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a letter of any language; `lang` becomes the predicted language."""
+    """Drop documents without a letter of any language; `lang` becomes the predicted language. Other columns stay, whatever their names."""
     model = language_id.fit(docs.where(~language_id.held_out()), "doc_id", "text", "lang")
-    rest = tuple(c for c in docs.columns if c != "doc_id")
-    found = language_id.predict(docs.select("doc_id", *rest), model, keep=rest)
-    return found.where("lang_pred <> 'und'").withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    plain = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # no name of these can be one of the prediction's
+    found = language_id.predict(docs.toDF(*plain.values()), model, plain["doc_id"], plain["text"], keep=tuple(plain.values()))
+    return found.where("lang_pred <> 'und'").select(*[F.col("lang_pred" if c == "lang" else name).alias(c) for c, name in plain.items()])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,9 +38,10 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with how many words it takes of each (repeats counted) and the shards they go to."""
+    """The documents that the mix takes, with how many words it takes of each (repeats counted) and the shards they go to; columns of
+    these two names that the documents have are left out."""
     found = mixing.mix_sources(docs, keep=True).where("taken > 0")
-    return found.select(*[F.col("row").getField(c).alias(c) for c in docs.columns], "taken", F.concat_ws(",", "shards").alias("shards"))
+    return found.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in ("taken", "shards")], "taken", F.concat_ws(",", "shards").alias("shards"))
 
 
 STAGES = [
