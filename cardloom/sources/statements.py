@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.parse import parse_amount, parse_date, parse_month_day, resolve_cycle_date
 from ..functions.text import col, squeeze, strip, title_if_upper
 
+#: Headings that CSV exports give their columns.
 ALIASES = {
     "date": ["posted date", "post date", "transaction date", "date", "trans date"],
     "description": ["description", "memo", "payee", "merchant", "name", "details"],
@@ -100,25 +101,12 @@ def parse_text_lines(lines: DataFrame) -> DataFrame:
 
 def collapse_doubled_glyphs(c: Column | str) -> Column:
     """Letters printed twice are halved, where at least 35 % of neighbouring letters are equal (of 4 letters or more)."""
-
-    @F.pandas_udf("string")
-    def halve(texts: pd.Series) -> pd.Series:
-        def one(text: str | None) -> str | None:
-            letters = [x.lower() for x in text or "" if x.isalpha()]
-            if len(letters) < 4 or sum(a == b for a, b in zip(letters, letters[1:])) < 0.35 * (len(letters) - 1):
-                return text
-            out, i = "", 0
-            while i < len(text):
-                j = i + 1
-                while j < len(text) and text[i].isalpha() and text[j].lower() == text[i].lower():
-                    j += 1
-                out += text[i : i + max(1, (j - i) // 2)] if text[i].isalpha() else text[i:j]
-                i = j
-            return out
-
-        return texts.map(one)
-
-    return halve(col(c))
+    text = col(c)
+    letters = F.lower(F.regexp_replace(text, r"[^\p{L}]", ""))
+    equal = F.length(letters) - F.length(F.regexp_replace(letters, r"(.)\1+", "$1"))
+    doubled = (F.length(letters) >= 4) & (equal >= 0.35 * (F.length(letters) - 1))
+    # Of a run of an odd length the last letter goes with the pair before it.
+    return F.when(doubled, F.regexp_replace(text, r"(?iu)(\p{L})\1(?:\1(?!\1))?", "$1")).otherwise(text)
 
 
 def words_to_lines(words: DataFrame, tolerance: float = 2.5) -> DataFrame:
@@ -141,30 +129,56 @@ def words_to_lines(words: DataFrame, tolerance: float = 2.5) -> DataFrame:
     return ordered.select("document_id", "page", number.alias("line_no"), "words", text.alias("text"))
 
 
-#: Table headings of each issuer, in order; the cells between them; section headings; headings that end activity.
+#: The headings of each issuer's table of activity, in the order of its columns.
 COLUMNS = {"Chase": ["date", "merchant", "amount"], "Capital One": ["trans", "post", "description", "amount"], "Wells Fargo": ["trans", "post", "reference", "description", "credits", "charges"]}
+#: Headings of sections and what their rows are; `none` ends activity.
 SECTIONS = {
-    "Chase": {"payments and other credits": "payments", "purchase": "purchases", "purchases": "purchases", "fees charged": "fees", "interest charged": "interest", "cash advances": "cash_advances", "account summary": "none", "interest charges": "none"},
+    "Chase": {
+        "payments and other credits": "payments", "purchase": "purchases", "purchases": "purchases", "fees charged": "fees", "interest charged": "interest", "cash advances": "cash_advances",
+        "purchases and redemptions": "none", "interest charges": "none", "rewards activity": "none", "account activity": "none", "account activity continued": "none", "account summary": "none",
+    },
     "Capital One": {"payments, credits and adjustments": "payments", "transactions": "transactions", "fees": "fees", "interest charged": "interest", "cash advances": "cash_advances"},
     "Wells Fargo": {"payments": "payments", "other credits": "credits", "purchases, balance transfers & other charges": "purchases", "fees charged": "fees", "interest charged": "interest"},
 }
-NOT_NAMES = "ACCOUNT|AMOUNT|AUTOGRAPH|BALANCE|CARD|CHARGED|CHARGES|CREDIT|CREDITS|FARGO|FEES|INTEREST|PAYMENT|PAYMENTS|PURCHASE|PURCHASES|SIGNATURE|STATEMENT|SUMMARY|TRANSACTIONS|VISA|WELLS|CHASE|AMAZON|PRIME|SAPPHIRE|TOTAL|DATE|NEW"
+#: Words in capitals of each issuer's statements that are no part of a name.
+NOT_NAMES = {
+    "Chase": [
+        "ACCOUNT", "ACTIVITY", "ADVANCES", "AMAZON", "BALANCE", "CASH", "CHASE", "CARDMEMBER", "CREDITS", "FEES", "IMPORTANT", "INTEREST", "MESSAGES", "NEWS", "ORDER",
+        "PAYMENTS", "POINTS", "PRIME", "PURCHASE", "PURCHASES", "REWARDS", "SERVICE", "SHOP", "SUMMARY", "TRANSFERS", "VISA", "YOUR",
+    ],
+    "Wells Fargo": [
+        "ACCOUNT", "AMOUNT", "AUTOGRAPH", "BALANCE", "CARD", "CHARGED", "CHARGES", "CREDITS", "FARGO", "FEES", "INTEREST", "PAYMENTS", "PURCHASES", "SIGNATURE",
+        "TRANSACTIONS", "VISA", "WELLS",
+    ],
+}
+
+
+def _holder(text: Column, issuer: str) -> Column:
+    """A line of two to four words in capitals as a name, if none of them is a word of the issuer's statements or the line is one of
+    its headings; null otherwise. Wells Fargo prints middle initials, which go."""
+    words, least = F.split(text, " "), "*" if issuer == "Wells Fargo" else "+"
+    named = text.rlike(rf"^[A-Z][A-Z'\-]{least}( [A-Z][A-Z'\-]{least}){{1,3}}$") & ~F.arrays_overlap(words, F.array(*map(F.lit, NOT_NAMES[issuer]))) & ~F.lower(text).isin(list(SECTIONS[issuer]))
+    name = title_if_upper(text)
+    return F.when(named, F.regexp_replace(name, r"^(\S+) \S (\S+)$", "$1 $2") if issuer == "Wells Fargo" else name)
 
 
 def statement_metadata(lines: DataFrame) -> DataFrame:
     """(document_id, issuer, product, cycle_start, cycle_end, cardholder, holders) from the lines (document_id, line_no, text)
-    of statements. Holders are lines of two or three capital words, none a statement's word."""
+    of statements. Holders are found by the issuer's own rules; Capital One names them with its sections instead."""
     text = squeeze("text")
     low = F.lower(text)
     issuer = F.coalesce(*[F.when(F.contains(low, F.lit(n.lower())), F.lit(n)) for n in ("Capital One", "Wells Fargo", "Chase")])
     capital, wells = F.regexp_extract(text, r"([A-Za-z0-9 ]+?)\s+Credit Card\s*\|", 1), F.regexp_extract(text, r"(?i)WELLS FARGO\s+(.+?)\s+CARD", 1)
-    chase = F.when(F.contains(low, F.lit("prime visa")), "Amazon Prime Visa").when(F.contains(low, F.lit("sapphire reserve")), "Sapphire Reserve").when(F.contains(low, F.lit("sapphire preferred")), "Sapphire Preferred").when(F.contains(low, F.lit("sapphire")), "Sapphire")
+    prime = F.contains(low, F.lit("prime visa")) | (F.contains(low, F.lit("amazon")) & F.contains(low, F.lit("chase")))
+    chase = F.when(prime, "Amazon Prime Visa").when(F.contains(low, F.lit("sapphire reserve")), "Sapphire Reserve").when(F.contains(low, F.lit("sapphire preferred")), "Sapphire Preferred").when(F.contains(low, F.lit("sapphire")), "Sapphire")
     product = F.coalesce(F.when(capital != "", title_if_upper(F.regexp_replace(squeeze(capital), "(?i)^capital one ", ""))), F.when(wells != "", F.initcap(F.regexp_replace(wells, "®", ""))), chase)
     dates = r"(\d{1,2}/\d{1,2}/\d{2,4}|[A-Z][a-z]{2}\s+\d{1,2},\s+\d{4})\s*(?:-|–|to)\s*(\d{1,2}/\d{1,2}/\d{2,4}|[A-Z][a-z]{2}\s+\d{1,2},\s+\d{4})"
     start, end = (parse_date(squeeze(F.regexp_extract(text, dates, i))) for i in (1, 2))
-    name = F.when(text.rlike(r"^[A-Z][A-Z'.\-]+( [A-Z]\.?)? [A-Z][A-Z'\-]+$") & ~text.rlike(rf"\b({NOT_NAMES})\b"), F.initcap(F.regexp_replace(text, r" [A-Z]\.? ", " ")))
     first = lambda c, k: F.min_by(F.when(c.isNotNull(), c), F.when(c.isNotNull(), F.col("line_no"))).alias(k)
-    out = lines.groupBy("document_id").agg(first(issuer, "issuer"), first(product, "product"), first(start, "cycle_start"), first(end, "cycle_end"), F.array_sort(F.collect_set(name)).alias("holders"))
+    names = {n: F.array_sort(F.collect_set(_holder(text, n))).alias(f"_{n}") for n in NOT_NAMES}
+    out = lines.groupBy("document_id").agg(first(issuer, "issuer"), first(product, "product"), first(start, "cycle_start"), first(end, "cycle_end"), *names.values())
+    holders = F.coalesce(*[F.when(F.col("issuer") == n, F.col(f"_{n}")) for n in NOT_NAMES], F.array().cast("array<string>"))
+    out = out.withColumn("holders", holders).drop(*[f"_{n}" for n in NOT_NAMES])
     return out.withColumn("cardholder", F.when(F.size("holders") == 1, F.col("holders")[0]))
 
 
@@ -257,7 +271,10 @@ def parse_page_statements(docs: DataFrame, words: DataFrame, keep: Callable[[Dat
     rows, or (Capital One) whose rows and balances don't add up to what it prints; the others go on. `keep` writes a table and
     reads it back: lines, their metadata and each issuer's rows are used several times."""
     todo = docs.where("status is null and suffix = 'pdf'").select("document_id", "parser", "card", "source_file", F.col("card_issuer").alias("_issuer"), F.col("card_product").alias("_product"))
-    lines = keep(words_to_lines(words.join(todo.select("document_id"), "document_id", "left_semi")))
+    own = words.join(todo.select("document_id", "parser"), "document_id")
+    # Some of Chase's files give each letter twice.
+    text = F.when(F.col("parser") == "chase", collapse_doubled_glyphs("text")).otherwise(F.col("text"))
+    lines = keep(words_to_lines(own.withColumn("text", text)))
     routed = todo.select("document_id", "parser")
     found = keep(statement_metadata(lines).join(routed, "document_id"))
     plain = keep(parse_text_lines(lines.join(routed.where(~F.col("parser").isin(*WORD_ISSUERS)), "document_id", "left_semi")))

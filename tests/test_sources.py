@@ -112,6 +112,24 @@ def test_chase_words(spark):
     assert errors.count() == 0
 
 
+def test_chase_headings_are_no_holders(spark):
+    """Headings in capitals, also with each letter printed twice, words that run into the money column and dates off the cycle."""
+    head = [[(10, "amazon | CHASE"), (250, "YOUR PRIME VISA POINTS")], [(10, "Opening/Closing Date"), (250, "12/08/25 - 01/08/26")], [(10, "AACCCCOOUUUNNTT SSUUMMMMAARRYY")], [(10, "ALEX EXAMPLE")]]
+    body = [[(10, h)] for h in ("CASH ADVANCES", "BALANCE TRANSFERS", "IMPORTANT NEWS", "PURCHASE")] + [[(10, "Date"), (100, "Merchant Name"), (400, "$ Amount")]]
+    body += [[(10, d), (100, n), (395, a)] for d, n, a in (("12/13", "DUMPLING SHOP", "36.86"), ("12/07", "EDGE CAFE", "6.50"), ("10/24", "FAR OFF", "1.00"), ("01/05", "BAKERY", "1,004.25"))]
+    body[5].append((460, "WC2H"))
+    words = positioned(spark, head + body).withColumn("text", statements.collapse_doubled_glyphs("text"))
+    lines = statements.words_to_lines(words)
+    meta = statements.statement_metadata(lines)
+    assert meta.select("product", "holders").first() == ("Amazon Prime Visa", ["Alex Example"])
+    rows, errors = statements.parse_word_statements(lines, meta, "Chase")
+    assert sorted((r["raw_description"], float(r["amount"]), r["posted_date"], r["cardholder"]) for r in rows.collect()) == [
+        ("BAKERY", 1004.25, date(2026, 1, 5), "Alex Example"), ("DUMPLING SHOP", 36.86, date(2025, 12, 13), "Alex Example"), ("EDGE CAFE", 6.5, date(2025, 12, 7), "Alex Example"),
+    ] and errors.count() == 0
+    two = statements.words_to_lines(positioned(spark, [*head[:2], [(10, "ALEX EXAMPLE")], [(10, "SAM EXAMPLE")], *body]))
+    assert [r["error"] for r in statements.parse_word_statements(two, statements.statement_metadata(two), "Chase")[1].collect()] == ["more than one cardholder"]
+
+
 def test_capital_one_words(spark):
     words = positioned(spark, [[(10, "Capital One Savor Credit Card | Mastercard ending in 1")], [(10, "Jun 5, 2026 - Jul 4, 2026 | 30 days in Billing Cycle")], [(10, "Alex Example: Payments, Credits and Adjustments")], [(10, "Trans Date"), (90, "Post Date"), (170, "Description"), (400, "Amount")], [(10, "Jun 10"), (90, "Jun 11"), (170, "PAYMENT"), (395, "$20.00")], [(10, "Sam Example: Transactions")], [(10, "Jun 12"), (90, "Jun 13"), (170, "SHOP"), (395, "$23.09")], [(10, "Total Transactions for This Period $23.09")], [(10, "Interest Charged")], [(10, "Interest Charge on Purchases $3.56")], [(10, "Interest Charge on Cash Advances $0.00")]])
     lines = statements.words_to_lines(words)
