@@ -705,3 +705,6 @@ def products_outside_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = t.products(spark).withColumn("issuer", F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("issuer")), "issuer"))
     found = documents.resolve_product(rows.withColumn("issuer", F.try_element_at(F.create_map(*pairs), F.col("card_issuer"))), vocabulary, "issuer", "card_product")
     return found.select("card_issuer", "card_product", F.col("needs_selection").alias("outside"))
+
+
+from . import statement_queries  # noqa: E402, F401  registers its queries
