@@ -6,19 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import col, slugify, strip
-from .matching import first_match, java_pattern, valid_patterns
+from .matching import Test, first_match, holds, valid_patterns, with_values
 
 FINAL = ("manual", "rule", "merchant")
 
 
-def _test(rule) -> Column:
-    """Does the rule (kind canonical | exact | regex, pattern) hold for a row? The kinds exclude one another."""
-    canonical, name, raw = (F.coalesce(c, F.lit("")) for c in ("canonical_merchant", "normalized_merchant", "raw_description"))
-    if rule["kind"] == "canonical":
-        return (canonical != "") & (F.lower(canonical) == rule["pattern"].lower())
-    if rule["kind"] == "exact":
-        return F.upper(name) == rule["pattern"].upper()
-    return canonical.rlike(p := java_pattern(rule["pattern"])) & (canonical != "") | name.rlike(p) & (name != "") | raw.rlike(p) & (raw != "")
+def _texts() -> dict[str, Column]:
+    """What rules are tested on; empty texts match nothing."""
+    return {c: F.when(F.col(c) != "", F.col(c)) for c in ("canonical_merchant", "normalized_merchant", "raw_description")}
+
+
+def _test(rule) -> Test:
+    """A rule (kind canonical | exact | regex, pattern) as a test of these texts. The kinds exclude one another."""
+    kinds = {"canonical": [(0, "equal")], "exact": [(1, "equal")]}
+    return rule["rule_idx"], [(k, how, rule["pattern"]) for k, how in kinds.get(rule["kind"], [(0, "regex"), (1, "regex"), (2, "regex")])]
 
 
 def _rules(rules: DataFrame) -> list:
@@ -26,23 +27,18 @@ def _rules(rules: DataFrame) -> list:
     return sorted(fixed + valid_patterns(rules.where("kind = 'regex' and pattern is not null"), "pattern"), key=lambda r: r["rule_idx"])
 
 
-def _lookup(rows: list, field: str, index: Column) -> Column:
-    pairs = [F.lit(x) for r in rows for x in (r["rule_idx"], r[field] or "")]
-    return F.try_element_at(F.create_map(*pairs), index) if pairs else F.lit(None).cast("string")
-
-
 def classify(ledger: DataFrame, rules: DataFrame, defaults: DataFrame) -> DataFrame:
     """The first rule (rule_idx, kind, pattern, category, subcategory) that holds sets category, subcategory and
     classified_by `rule`; else the merchant's default (`merchant`); else all three are null. Earlier values go."""
     rows = _rules(rules)
-    keys = ["canonical_merchant", "normalized_merchant", "raw_description"]
-    found = first_match(ledger, keys, [(r["rule_idx"], _test(r)) for r in rows], "_rule")
+    found = first_match(ledger, _texts(), [_test(r) for r in rows], "_rule")
     own = defaults.select(F.col("canonical").alias("_canonical"), F.col("category").alias("_category"), F.coalesce("subcategory", F.lit("")).alias("_subcategory"))
+    found = with_values(found, "_rule", {r["rule_idx"]: (r["category"] or "", r["subcategory"] or "") for r in rows}, ("_c", "_s"))
     found = found.join(own, found["canonical_merchant"] == own["_canonical"], "left")
     ruled, known = F.col("_rule").isNotNull(), F.col("_category").isNotNull()
     return found.withColumns({
-        "category": F.when(ruled, _lookup(rows, "category", F.col("_rule"))).when(known, F.col("_category")),
-        "subcategory": F.when(ruled, _lookup(rows, "subcategory", F.col("_rule"))).when(known, F.col("_subcategory")),
+        "category": F.when(ruled, F.col("_c")).when(known, F.col("_category")),
+        "subcategory": F.when(ruled, F.col("_s")).when(known, F.col("_subcategory")),
         "classified_by": F.when(ruled, "rule").when(known, "merchant"),
     }).select(*ledger.columns)
 
@@ -94,7 +90,7 @@ def review_queue(ledger: DataFrame, limit: int = 100) -> DataFrame:
 
 def apply_rule_to_open(ledger: DataFrame, rule: dict) -> DataFrame:
     """One new rule (kind, pattern, category, subcategory) on the rows to review; `changed` marks what it set."""
-    hit = needs_review() & _test(rule)
+    hit = needs_review() & holds(_test({"rule_idx": 0} | dict(rule)), _texts())
     return ledger.withColumn("changed", hit).withColumns({
         "category": F.when(F.col("changed"), rule["category"]).otherwise(F.col("category")),
         "subcategory": F.when(F.col("changed"), rule.get("subcategory") or "").otherwise(F.col("subcategory")),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .matching import first_match, java_pattern, valid_patterns
+from .matching import first_match, valid_patterns, with_values
 
 
 def canonicalize(ledger: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -15,18 +15,16 @@ def canonicalize(ledger: DataFrame, aliases: DataFrame) -> DataFrame:
     the normalized or raw text, names the row (`alias`); without one the name is null (`none`). An alias whose pattern
     doesn't compile contributes nothing."""
     entries = sorted(valid_patterns(aliases.where("kind = 'regex'").select("entry_idx", "canonical", "kind", "pattern"), "pattern") + aliases.where("kind = 'exact'").select("entry_idx", "canonical", "kind", "pattern").collect(), key=lambda r: r["entry_idx"])
-    name, raw = F.coalesce("normalized_merchant", F.lit("")), F.coalesce("raw_description", F.lit(""))
-    tests = [(r["entry_idx"], F.upper(name) == r["pattern"].upper() if r["kind"] == "exact" else name.rlike(java_pattern(r["pattern"])) | raw.rlike(java_pattern(r["pattern"]))) for r in entries]
-    names = {r["entry_idx"]: r["canonical"] for r in entries}
-    found = first_match(ledger, ["normalized_merchant", "raw_description"], tests, "_entry")
-    pairs = [F.lit(x) for p in names.items() for x in p]
-    canonical = F.try_element_at(F.create_map(*pairs), F.col("_entry")) if pairs else F.lit(None).cast("string")
+    texts = {c: F.coalesce(F.col(c), F.lit("")) for c in ("normalized_merchant", "raw_description")}
+    tests = [(r["entry_idx"], [(0, "equal", r["pattern"])] if r["kind"] == "exact" else [(0, "regex", r["pattern"]), (1, "regex", r["pattern"])]) for r in entries]
+    found = first_match(ledger, texts, tests, "_entry")
+    found = with_values(found, "_entry", {r["entry_idx"]: (r["canonical"],) for r in entries}, ("_name",))
     manual = (F.col("merchant_source") == "manual") & F.col("canonical_merchant").isNotNull() & (F.col("canonical_merchant") != "")
     manual = F.coalesce(manual, F.lit(False))
     return found.withColumns({
-        "canonical_merchant": F.when(manual, F.col("canonical_merchant")).otherwise(canonical),
+        "canonical_merchant": F.when(manual, F.col("canonical_merchant")).otherwise(F.col("_name")),
         "merchant_source": F.when(manual, "manual").when(F.col("_entry").isNotNull(), "alias").otherwise("none"),
-    }).drop("_entry")
+    }).drop("_entry", "_name")
 
 
 def merchant_defaults(aliases: DataFrame) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .matching import first_match, java_pattern, valid_patterns
+from .matching import java_pattern, valid_patterns
 from .reports import charges
 
 
@@ -49,28 +49,32 @@ def recurring_only(df: DataFrame) -> DataFrame:
     return df.where("is_recurring")
 
 
-def bill_charges(ledger: DataFrame, bills: DataFrame) -> DataFrame:
-    """Charges with bill_idx: a row for each bill whose pattern is found in the normalized or raw text."""
-    spend = charges(ledger)
+def _patterns(bills: DataFrame) -> Column:
+    """The bills' patterns as one array; bills are a list curated by hand."""
     rows = [r for r in valid_patterns(bills, "merchant_regex") if r["merchant_regex"]]
+    each = [F.struct(F.lit(r["bill_idx"]).alias("bill_idx"), F.lit(java_pattern(r["merchant_regex"])).alias("p")) for r in rows]
+    return F.array(*each or [F.struct(F.lit(-1).alias("bill_idx"), F.lit("(?!)").alias("p"))])
+
+
+def _billed(rows: DataFrame, bills: DataFrame) -> DataFrame:
+    """rows with bill_idx, once for each bill whose pattern is found in the normalized or raw text; one pass for all bills."""
     name, raw = F.coalesce("normalized_merchant", F.lit("")), F.coalesce("raw_description", F.lit(""))
-    out = None
-    for r in rows:
-        p = java_pattern(r["merchant_regex"])
-        hit = first_match(spend, ["normalized_merchant", "raw_description"], [(r["bill_idx"], name.rlike(p) | raw.rlike(p))], "bill_idx").where("bill_idx is not null")
-        out = hit if out is None else out.unionByName(hit)
-    return out if out is not None else spend.withColumn("bill_idx", F.lit(None).cast("int")).limit(0)
+    hit = F.explode(F.filter(_patterns(bills), lambda b: F.rlike(name, b["p"]) | F.rlike(raw, b["p"])))
+    return rows.withColumn("_hit", hit).withColumn("bill_idx", F.col("_hit.bill_idx")).drop("_hit")
+
+
+def bill_charges(ledger: DataFrame, bills: DataFrame) -> DataFrame:
+    """Charges with bill_idx: a row for each bill whose pattern is found in the normalized or raw text."""
+    return _billed(charges(ledger), bills)
 
 
 def reconcile_bills(ledger: DataFrame, bills: DataFrame) -> DataFrame:
     """(bill, status, expected_amount, matched_merchant, matched_avg, last_seen) of each bill (bill_idx, name,
     merchant_regex, expected_amount): missing, matched, or amount_mismatch if the mean is off by over 5 and over a tenth.
     An empty ledger gives no rows."""
-    patterns = F.array(*[F.struct(F.lit(r["bill_idx"]).alias("bill_idx"), F.lit(java_pattern(r["merchant_regex"])).alias("p")) for r in valid_patterns(bills, "merchant_regex") if r["merchant_regex"]] or [F.struct(F.lit(-1).alias("bill_idx"), F.lit("(?!)").alias("p"))])
-    name, raw = F.coalesce("normalized_merchant", F.lit("")), F.coalesce("raw_description", F.lit(""))
     # Totals by descriptor and day first: patterns run once for each, and days are summed before they meet.
     spend = charges(ledger).groupBy("normalized_merchant", "raw_description").agg(F.sum("amount").alias("sum"), F.count("*").alias("n"), F.max("posted_date").alias("last"))
-    hits = spend.withColumn("hit", F.explode(F.filter(patterns, lambda b: F.rlike(name, b["p"]) | F.rlike(raw, b["p"])))).withColumn("bill_idx", F.col("hit.bill_idx"))
+    hits = _billed(spend, bills)
     names = hits.groupBy("bill_idx", "normalized_merchant").agg(F.sum("n").alias("n"), F.sum("sum").alias("sum"), F.max("last").alias("last"))
     seen = names.groupBy("bill_idx").agg(
         (F.sum("sum").cast("double") / F.sum("n")).alias("avg"), F.max("last").alias("last"), F.min(F.struct((-F.col("n")).alias("back"), "normalized_merchant")).alias("m")
