@@ -100,18 +100,21 @@ def first_match(rows: DataFrame, texts: dict[str, Column], tests: Sequence[Test]
     indexed, open_ = _index(tests)
     keys = {c: f"_{i}" for i, c in enumerate(texts)}
     each = rows.select(*texts).distinct().select(*[F.col(f"`{c}`").alias(k) for c, k in keys.items()], *[t.alias(f"_t{i}") for i, t in enumerate(values)])
-    tokens = F.concat(*[F.array_distinct(F.transform(F.concat(F.array(F.concat(F.lit("="), F.upper(f"_t{i}"))), _grams(_folded(F.col(f"_t{i}")))), lambda g, i=i: F.concat(F.lit(f"{i}"), g))) for i in range(len(values))])
+    def tokens_of(i: int) -> Column:
+        text = F.coalesce(f"_t{i}", F.lit(""))
+        own = F.array_distinct(F.concat(F.array(F.concat(F.lit("="), F.upper(text))), _grams(_folded(text))))
+        return F.transform(own, lambda g: F.concat(F.lit(f"{i}"), g))
+
+    tokens = F.concat(*[tokens_of(i) for i in range(len(values))])
     table = spark.createDataFrame(indexed, "token string, index int, slot int, how string, value string")
     asked = each.withColumn("token", F.explode(tokens)).join(F.broadcast(table), "token")  # a list curated by hand, as the tests are
     text = F.element_at(F.array(*[F.col(f"_t{i}") for i in range(len(values))]), F.col("slot") + 1)
     hit = F.when(F.col("how") == "equal", F.upper(text) == F.upper("value")).otherwise(F.rlike(text, F.concat(F.lit("(?U)"), "value")))
-    best = asked.where(hit).groupBy(*keys.values()).agg(F.min("index").alias("_a"))
-    found = best
+    hits = asked.where(hit).select(*keys.values(), "index")
     if open_:
         always = F.coalesce(*[F.when(reduce(lambda a, b: a | b, [_holds(F.col(f"_t{k}"), "regex", v) for k, v in conditions]), F.lit(i)) for i, conditions in open_])
-        same = reduce(lambda a, b: a & b, [each[k].eqNullSafe(best[k]) for k in keys.values()])
-        found = each.withColumn("_b", always).join(best, same, "left").select(*[each[k] for k in keys.values()], F.least("_a", "_b").alias("_a")).where("_a is not null")
-    found = found.withColumnRenamed("_a", name)
+        hits = hits.unionByName(each.withColumn("index", always).where("index is not null").select(*keys.values(), "index"))
+    found = hits.groupBy(*keys.values()).agg(F.min("index").alias(name))
     same = reduce(lambda a, b: a & b, [rows[c].eqNullSafe(found[k]) for c, k in keys.items()])
     return rows.join(found, same, "left").drop(*keys.values())
 
