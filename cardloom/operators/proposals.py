@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import squeeze, strip
@@ -20,8 +21,11 @@ PROFILE = "kind string, key string, members array<string>, txn_ids array<string>
 ANSWER = "key string, canonical string, category string, subcategory string, confidence string, reason string, ambiguous boolean"
 
 
-def _samples() -> Column:
-    return F.slice(F.array_sort(F.collect_set("raw_description")), 1, 3)
+def _samples(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, sample_raw): the first three different descriptors of each group; of each task's rows only three a group travel."""
+    first = F.row_number().over(W.partitionBy(*keys).orderBy("raw_description"))
+    three = rows.select(*keys, "raw_description").where("raw_description is not null").distinct().withColumn("_n", first).where("_n <= 3")
+    return three.groupBy(*keys).agg(F.array_sort(F.collect_list("raw_description")).alias("sample_raw"))
 
 
 def merchant_profiles(ledger: DataFrame, threshold: float = 88) -> DataFrame:
@@ -29,8 +33,10 @@ def merchant_profiles(ledger: DataFrame, threshold: float = 88) -> DataFrame:
     clusters = cluster_unknowns(ledger, threshold).select("cluster_id", "representative", "members", "txn_count", "total_amount")
     each = clusters.select("cluster_id", "representative", F.explode("members").alias("normalized_merchant"))
     rows = ledger.where("coalesce(canonical_merchant, '') = ''").select("normalized_merchant", "txn_id", "raw_description")
-    held = each.join(rows, "normalized_merchant").groupBy("cluster_id", "representative").agg(F.array_sort(F.collect_list("txn_id")).alias("txn_ids"), _samples().alias("sample_raw"))
-    out = clusters.join(held, ["cluster_id", "representative"]).withColumn("members", F.array_sort("members"))
+    names = ["cluster_id", "representative"]
+    of_cluster = each.join(rows, "normalized_merchant")
+    held = of_cluster.groupBy(*names).agg(F.array_sort(F.collect_list("txn_id")).alias("txn_ids"))
+    out = clusters.join(held, names).join(_samples(of_cluster, *names), names, "left").withColumns({"members": F.array_sort("members"), "sample_raw": F.coalesce("sample_raw", F.array().cast("array<string>"))})
     return out.select(
         F.lit("merchant").alias("kind"), F.element_at("members", 1).alias("key"), "members", "txn_ids", "sample_raw", "txn_count", "total_amount",
         F.lit(None).cast("string").alias("history_category"), F.lit(0.0).alias("history_ratio"), F.lit(0).cast("bigint").alias("history_count"), F.lit(None).cast("string").alias("canonical"),
@@ -46,9 +52,10 @@ def category_profiles(ledger: DataFrame) -> DataFrame:
     history = counts.groupBy("key").agg(F.sum("n").alias("history_count"), F.min(F.struct((-F.col("n")).alias("back"), "category")).alias("top"))
     open_ = rows.where(is_open()).groupBy("key").agg(
         F.min(F.struct("txn_id", F.coalesce(F.when(canonical != "", canonical), F.col("normalized_merchant")).alias("merchant"), F.when(canonical != "", canonical).alias("canonical"))).alias("one"),
-        F.array_sort(F.collect_list("txn_id")).alias("txn_ids"), _samples().alias("sample_raw"), F.count("*").alias("txn_count"), F.sum("amount").cast("decimal(28,2)").alias("total_amount"),
+        F.array_sort(F.collect_list("txn_id")).alias("txn_ids"), F.count("*").alias("txn_count"), F.sum("amount").cast("decimal(28,2)").alias("total_amount"),
     )
     enough = F.coalesce(F.col("history_count") >= 3, F.lit(False))
+    open_ = open_.join(_samples(rows.where(is_open()), "key"), "key", "left").withColumn("sample_raw", F.coalesce("sample_raw", F.array().cast("array<string>")))
     return open_.join(history, "key", "left").select(
         F.lit("category").alias("kind"), "key", F.array("one.merchant").alias("members"), "txn_ids", "sample_raw", "txn_count", "total_amount",
         F.when(enough, F.col("top.category")).alias("history_category"), F.when(enough, F.round(-F.col("top.back") / F.col("history_count"), 3)).otherwise(0.0).alias("history_ratio"),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import maintenance, merchants, recurring, reports
 from ..operators.identity import normalize
 from ..sources import documents, statements, store
+from ..tables import kept, shared_folder
 from . import testledger as t
 from .registry import _with, query
 
@@ -88,19 +89,12 @@ def _off() -> tuple[Column, Column]:
 
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keep = lambda df: _kept(spark, df)
-    lines = keep(statements.words_to_lines(laid_out(spark, sf_dir)))
-    found = keep(statements.statement_metadata(lines))
+    lines = kept(statements.words_to_lines(laid_out(spark, sf_dir)))
+    found = kept(statements.statement_metadata(lines))
     parts = [statements.parse_word_statements(lines, found, n)[0] for n in ISSUERS]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def _kept(spark: SparkSession, df: DataFrame) -> DataFrame:
-    path = f"{t.shared_folder(spark)}/kept-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 @query(_DOCS + "SELECT document_id, posted_date, CAST(amount AS DOUBLE) AS amount, raw_description, issuer AS card_issuer, holder AS cardholder, CASE WHEN amount < 0 THEN 'payments' WHEN issuer = 'Capital One' THEN 'transactions' ELSE 'purchases' END AS section FROM docs")
 def parse_word_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of every laid-out statement, read back from its words."""
@@ -124,8 +118,7 @@ def words_to_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_DOCS + "SELECT document_id, 'transactions' AS section, CAST(coalesce(sum(amount) FILTER (amount >= 0), 0) AS DOUBLE) AS extracted, CAST(coalesce(sum(amount) FILTER (amount >= 0), 0) + 1 AS DOUBLE) AS declared FROM docs WHERE issuer = 'Capital One' AND k % 5 = 1 GROUP BY 1")
 def validate_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statements whose rows don't add up to their printed total: those with a planted error."""
-    keep = lambda df: _kept(spark, df)
-    lines = keep(statements.words_to_lines(laid_out(spark, sf_dir, totals=True)))
+    lines = kept(statements.words_to_lines(laid_out(spark, sf_dir, totals=True)))
     found = statements.statement_metadata(lines)
     rows, _ = statements.parse_word_statements(lines, found, "Capital One")
     declared = statements.declared_totals(lines.join(found.where("issuer = 'Capital One'").select("document_id"), "document_id", "left_semi"))
@@ -229,8 +222,8 @@ def detect_statement_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT txn_id, posted_date, CAST(amount AS DOUBLE) AS amount, canonical_merchant, CASE WHEN posted_date < DATE '1996-01-01' THEN 1 WHEN posted_date < DATE '1998-01-01' THEN 2 ELSE 3 END AS part FROM ledger")
 def stored_appends(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A ledger stored in three appends that overlap, and taken back and appended once more; with the part that holds each row."""
-    root = f"{t.shared_folder(spark)}/store-{uuid.uuid4().hex}"
-    rows = _kept(spark, normalize(t.raw(spark, sf_dir)))
+    root = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    rows = kept(normalize(t.raw(spark, sf_dir)))
 
     def append(until: str) -> str:
         incoming = rows.where(F.col("posted_date") < until)
@@ -260,7 +253,7 @@ def appended_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _written(spark: SparkSession, sf_dir: str, mode: str, names: bool) -> str:
     """The folder of a written bundle, which held the other mode's bundle before."""
     rows = t.ledger(spark, sf_dir)
-    folder = f"{t.shared_folder(spark)}/exports-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/exports-{uuid.uuid4().hex}"
     found = recurring.recurring(rows)
     bundle = lambda m, n: reports.exports(rows, found, recurring.reconcile_bills(rows, t.bills(spark)), m, n)
     if mode != "full":

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.classify import classify_ledger
 from ..operators.identity import normalize
+from ..tables import shared_folder
 
 RAW_SQL = """
 WITH base AS (
@@ -107,17 +107,6 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(_stored[key])
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where a local session leaves it unset, a temporary folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder
-
-
 def marked(rows: DataFrame) -> DataFrame:
     tag = F.when(F.col("txn_id") < "2", F.array(F.lit("gift"))).when(F.col("txn_id") < "4", F.array(F.lit("beach"), F.lit("work"))).otherwise(F.array().cast("array<string>"))
     ai = F.col("category").isNull() & (F.substring("txn_id", 1, 1) == "f")

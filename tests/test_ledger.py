@@ -88,6 +88,24 @@ def test_clusters_equal_the_global_greedy_run(spark):
     assert got == {frozenset(g) for g in groups}
 
 
+@pytest.mark.parametrize("chunk", [3, 7, 2_048])
+def test_a_hot_block_runs_in_rounds(spark, monkeypatch, chunk):
+    """Many keys of one first word, and few of others, whatever the number of keys a task may compare."""
+    import random
+
+    random.seed(6)
+    words = ["NORTH", "NORTHE", "EAST", "EASTS", "BAR", "CAFE", "CAFES", "SHOP", "OLD", "1"]
+    keys = sorted({" ".join(["ACME" if random.random() < 0.8 else random.choice(["ZED", "YAM"]), *random.sample(words, random.randint(0, 3))]) for _ in range(90)})
+    rows = [(k, float(-random.randint(1, 9)), k, k.split()[0]) for k in keys]
+    got = dict(cluster._led(spark.createDataFrame(rows, "key string, back double, name string, block string"), 88, chunk).collect())
+    want, leaders = {}, []
+    for key, _, _, block in sorted(rows, key=lambda r: (r[1], r[2])):
+        want[key] = next((x for x in leaders if x.split()[0] == block and cluster.token_set_ratio(x, key) >= 88), key)
+        if want[key] == key:
+            leaders.append(key)
+    assert got == want and 8 < len(leaders) < len(keys)
+
+
 def test_token_set_ratio():
     assert cluster.token_set_ratio("LOCAL COFFEE ROASTERS DOWNTOWN", "LOCAL COFFEE ROASTERS") == 100
     assert round(cluster.token_set_ratio("new york mets", "new york meats"), 1) == 96.3
