@@ -21,8 +21,11 @@ from ._spark import stored, table
 
 K = 20
 SCALE = 64
-#: Vectors that the shards are fitted to, at most; vectors a shard and a leaf should hold; queries in a block; most shards.
-SAMPLE, SHARD, LEAF, BLOCK, MOST_SHARDS = 8_192, 8_192, 128, 8_192, 4_096
+#: Vectors that the shards are fitted to: so many at least, so many a shard, so many bytes of them at most.
+SAMPLE, SAMPLE_A_SHARD, SAMPLE_BYTES = 8_192, 8, 64 << 20
+#: Vectors a shard and a leaf should hold; queries in a block; most shards, as their boxes are broadcast. A shard that holds more
+#: than twice what it should is searched in pieces, so no task grows with the input.
+SHARD, LEAF, BLOCK, MOST_SHARDS = 8_192, 128, 8_192, 4_096
 _NONE = np.iinfo(np.int64).min
 
 
@@ -142,13 +145,14 @@ def top_k(vectors: DataFrame, every: int, k: int = K, id_col: str = "vec_id", ve
     candidates = clean.withColumn("place", F.dense_rank().over(equal)).where(F.col("place") <= k + 1).drop("place")
 
     def matrix(column: pd.Series) -> np.ndarray:
-        out = np.zeros((len(column), wide))
-        for i, v in enumerate(column):
-            out[i, : len(v)] = v
+        out, rows = np.zeros((len(column), wide)), column.tolist()
+        lengths = np.fromiter(map(len, rows), np.int64, len(rows))
+        out[np.arange(wide) < lengths[:, None]] = np.concatenate([np.zeros(0), *rows])
         return out
 
-    sample = matrix(clean.orderBy(F.xxhash64(F.lit(5), "id"), "id").limit(SAMPLE).select("v").toPandas()["v"])
     shards = min(MOST_SHARDS, max(1, total / SHARD))
+    rows = min(max(SAMPLE, int(SAMPLE_A_SHARD * shards)), max(1, SAMPLE_BYTES // (8 * wide)))
+    sample = matrix(clean.orderBy(F.xxhash64(F.lit(5), "id"), "id").limit(rows).select("v").toPandas()["v"])
     tree = spark.sparkContext.broadcast(split(sample, int(np.ceil(np.log2(shards)))))
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -157,6 +161,7 @@ def top_k(vectors: DataFrame, every: int, k: int = K, id_col: str = "vec_id", ve
                 yield b.assign(shard=leaf_of(tree.value, matrix(b["v"])))
 
     dealt = stored(candidates.mapInPandas(deal, "id long, v array<double>, shard long"))
+    pieces = F.broadcast(stored(dealt.groupBy("shard").agg(F.ceil(F.count("*") / (2 * SHARD)).cast("int").alias("pieces"))))  # a row a shard
     # Tight boxes of the shards, a row for each of at most MOST_SHARDS * 2.
     flat = dealt.select("shard", F.posexplode("v").alias("d", "x")).groupBy("shard", "d").agg(F.min("x").alias("low"), F.max("x").alias("high")).toPandas()
     names = np.sort(flat["shard"].unique())
@@ -197,24 +202,26 @@ def top_k(vectors: DataFrame, every: int, k: int = K, id_col: str = "vec_id", ve
     def in_shards(asked: DataFrame) -> DataFrame:
         # A shard's vectors are sent once for each block of queries that reach it, and not at all where none does.
         blocks = asked.groupBy("shard").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-        blocks = F.broadcast(stored(blocks))  # a row a shard
-        x = dealt.join(blocks, "shard").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-        q = asked.join(blocks, "shard").withColumn("block", F.pmod(F.xxhash64(F.lit(3), "id"), F.col("blocks")).cast("int")).drop("blocks")
-        both = x.groupBy("shard", "block").cogroup(q.groupBy("shard", "block"))
+        blocks = F.broadcast(stored(blocks.join(pieces, "shard")))  # a row a shard
+        own = lambda by, n: F.pmod(F.xxhash64(F.lit(by), "id"), F.col(n)).cast("int")
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        x = dealt.join(blocks, "shard").withColumn("piece", own(9, "pieces")).withColumn("block", each("blocks")).drop("blocks", "pieces")
+        q = asked.join(blocks, "shard").withColumn("block", own(3, "blocks")).withColumn("piece", each("pieces")).drop("blocks", "pieces")
+        both = x.groupBy("shard", "piece", "block").cogroup(q.groupBy("shard", "piece", "block"))
         return both.applyInPandas(lambda key, x, q: search(key, x, q) if len(x) and len(q) else search_none(), "query_id long, vec_id long, score long")
 
     def search_none() -> pd.DataFrame:
         return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})
 
     asked_ddl = "id long, q array<double>, kth long, kth_id long, shard long"
-    first = stored(in_shards(queries.mapInPandas(choose(True), asked_ddl)))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    first = stored(in_shards(queries.mapInPandas(choose(True), asked_ddl)).withColumn("rank", rank).where(F.col("rank") <= k).drop("rank"))
     worst = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min(F.struct("score", (-F.col("vec_id")).alias("back"))).alias("w"))
     full = F.col("n") >= k
     told = queries.join(worst, queries["id"] == worst["query_id"], "left").select(
         "id", "q", F.when(full, F.col("w.score")).otherwise(F.lit(_NONE)).alias("kth"), F.when(full, -F.col("w.back")).otherwise(F.lit(2**63 - 1)).alias("kth_id")
     )
     rest = in_shards(told.mapInPandas(choose(False), asked_ddl))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return first.unionByName(rest).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

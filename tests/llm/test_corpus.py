@@ -195,10 +195,11 @@ def test_suffix_order_sorts():
     assert list(order) == sorted(range(200), key=lambda i: (group[i], snippets[i][2:], i))
 
 
-@pytest.mark.parametrize("shard, block", [(8192, 8192), (32, 3)])
-def test_top_k_equals_brute_force(spark, monkeypatch, shard, block):
+@pytest.mark.parametrize("shard, block, most", [(8192, 8192, 4096), (32, 3, 4096), (16, 5, 2)])
+def test_top_k_equals_brute_force(spark, monkeypatch, shard, block, most):
     monkeypatch.setattr(topk, "SHARD", shard)
     monkeypatch.setattr(topk, "BLOCK", block)
+    monkeypatch.setattr(topk, "MOST_SHARDS", most)  # fewer shards than the rows ask for: large ones are searched in pieces
     rng = np.random.default_rng(5)
     rows = [(int(i), [float(x) for x in rng.normal(0, 0.3, 8)]) for i in range(300)]
     rows += [(300 + i, rows[7][1]) for i in range(60)]  # ties
@@ -420,6 +421,34 @@ def test_pipeline(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == out.count()
 
 
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_with_clashing_columns(spark, tmp_path, stage):
+    """Columns named like the operators' own come through each stage as they are, and so do a long text and rows without id or text."""
+    import corpus_pipeline
+
+    names = ["score", "lang_pred", "mixture", "taken", "shards", "orders", "__mark1", "_mark1", "mark", "row", "key", "block", "fp", "node", "c0", "id", "size"]
+    rows = [(i, t, "en", s, 0) for i, t, s in corpus(10) if t] + [(800, "lang text hier " * 150_000, "en", "s0", 0), (None, "no id at all here", None, None, None), (801, None, "de", None, 0)]
+    full = [(*r, *[f"{k}-{i}" for k in range(len(names))]) for i, r in enumerate(rows)]
+    table = spark.createDataFrame(full, "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"{n} string" for n in names))
+    spark.createDataFrame([(0, "words that no text has at all in this small corpus")], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    name, run = corpus_pipeline.STAGES[stage]
+    out = corpus_pipeline.stored(run(spark, table, str(tmp_path)))
+    extra = [n for n in names if n in out.columns and (name != "source_mix" or n not in ("taken", "shards"))]
+    assert out.columns[: 5 + len(extra)] == [c for c in table.columns if c in ("doc_id", "text", "lang", "source", "n_chars", *extra)]
+    got = [tuple(r[n] for n in extra) for r in out.collect()]
+    assert len(got) > 20 and len(set(got)) == len(got) and all(len({v.split("-")[1] for v in r}) == 1 for r in got)
+    assert 800 in {r["doc_id"] for r in out.select("doc_id").collect()} or name == "source_mix"
+
+
+def test_stages_of_no_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    out = docs(spark, []).select("doc_id", "text", "lang", "source", "n_chars")
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, out, str(tmp_path)).count() == 0
+
+
 def start_edits(item, text, s):
     """Edits from the item to the nearest beginning of text[s:]."""
     old = list(range(len(text) - s + 1))
