@@ -367,6 +367,22 @@ def cards_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("issuer", "product", "holder", "statement_count", "status", "stale_days", F.coalesce(F.size("gaps"), F.lit(0)).alias("gap_count"))
 
 
+@query(_STATEMENTS + "SELECT issuer, product, holder, s AS coverage_start, document AS id, document || '.csv' AS file_name, CAST(n AS BIGINT) AS txn_count, round(spend, 2) AS spend_total, round(paid, 2) AS payments_and_refunds, e AS coverage_end, CAST(row_number() OVER (PARTITION BY issuer, product, holder ORDER BY s, document) AS INTEGER) AS place FROM st")
+def coverage_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statements that each product and holder lists, in their order."""
+    found = coverage.cards_coverage(t.ledger(spark, sf_dir), t.products(spark), TODAY)
+    each = found.select("issuer", "product", "holder", F.posexplode("statements").alias("place", "s"))
+    return _with(each.select("issuer", "product", "holder", "s.*", (F.col("place") + 1).alias("place")), "spend_total", "payments_and_refunds")
+
+
+@query(_STATEMENTS + "SELECT issuer, product, holder, after, before, CAST(days AS INTEGER) AS days, CAST(row_number() OVER (PARTITION BY issuer, product, holder ORDER BY after, before) AS INTEGER) AS place FROM gap")
+def coverage_gap_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gaps that each product and holder lists, in their order."""
+    found = coverage.cards_coverage(t.ledger(spark, sf_dir), t.products(spark), TODAY)
+    each = found.select("issuer", "product", "holder", F.posexplode("gaps").alias("place", "g"))
+    return each.select("issuer", "product", "holder", "g.*", (F.col("place") + 1).alias("place"))
+
+
 @query(_COVERAGE + "SELECT issuer, product, holder, status FROM cov WHERE issuer = 'BUILDING' AND product = 'Product 0' ORDER BY issuer, product, holder LIMIT 1")
 def select_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = coverage.cards_coverage(t.ledger(spark, sf_dir), t.products(spark), TODAY)
@@ -440,6 +456,28 @@ def month_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overview.month_facts(ledgerqa.project_ledger_view(t.ledger(spark, sf_dir)), t.bills(spark), MONTH)["categories"]
 
 
+@query(_DELTAS + _MONTHS + _BILLS + f""", facts AS (
+SELECT 'category' AS part, category AS name, round(now, 2) AS value, round(now - prior, 2) AS more FROM c
+UNION ALL (SELECT 'mover', category, round(now, 2), round(now - prior, 2) FROM c WHERE now <> prior ORDER BY abs(now - prior) DESC, category LIMIT 6)
+UNION ALL SELECT 'holder', coalesce(cardholder, 'Unassigned'), round(CAST(sum(amount) AS DOUBLE), 2), NULL FROM ledger WHERE amount > 0 AND month = '{MONTH}' GROUP BY 2
+UNION ALL (SELECT 'charge', coalesce(canonical_merchant, normalized_merchant), CAST(amount AS DOUBLE), NULL FROM ledger WHERE amount >= 200 AND month = '{MONTH}' ORDER BY ledger.amount DESC, txn_id LIMIT 10)
+UNION ALL SELECT 'bill', b.name, CASE WHEN b.bill_idx IN (SELECT bill_idx FROM hits WHERE month = '{MONTH}') THEN 1.0 ELSE 0.0 END, NULL FROM bills b
+UNION ALL SELECT 'summary', month, round(spend, 2), CASE WHEN has THEN round(spend - prior, 2) END FROM ms WHERE month = '{MONTH}' AND scope = 'household') SELECT * FROM facts""")
+def month_fact_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tables of a month's facts: categories, movers, holders, large charges, bills and the summary."""
+    found = overview.month_facts(t.ledger(spark, sf_dir), t.bills(spark), MONTH)
+    none = F.lit(None).cast("double")
+    of = lambda k, part, name, value, more=none: found[k].select(F.lit(part).alias("part"), F.col(name).alias("name"), F.round(value.cast("double"), 2).alias("value"), more.cast("double").alias("more"))
+    parts = [
+        of("categories", "category", "category", F.col("total"), F.col("delta")), of("movers", "mover", "category", F.col("total"), F.col("delta")), of("holders", "holder", "name", F.col("total")),
+        of("large_charges", "charge", "merchant", F.col("amount")), of("bills", "bill", "bill", F.when(F.col("status") == "seen", 1.0).otherwise(0.0)), of("summary", "summary", "month", F.col("spend_total"), F.col("spend_delta")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 @query(""", totals AS (SELECT month, coalesce(category, 'Uncategorized') AS category, abs(round(CAST(sum(amount) AS DOUBLE), 2)) AS total, count(*) AS n FROM ledger GROUP BY ALL)
 SELECT month, category, cents, cents < 1.5 AND (n <= 31 OR abs(n - total) < 0.015) AS grounded FROM totals, (VALUES (0), (1), (2), (100)) AS d(cents)""")
 def grounded_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
