@@ -4,6 +4,7 @@ identity, the store and what leaves it."""
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from ..operators import maintenance, merchants, recurring, reports
 from ..operators.identity import normalize
 from ..sources import documents, statements, store
+from ..streaming.ingest import ingest, stream_ingest
 from ..tables import kept, shared_folder
 from . import testledger as t
 from .registry import _with, query
@@ -27,6 +29,19 @@ _DOCS = """, docs AS (SELECT source_document_id AS document_id, posted_date, amo
   FROM raw WHERE source_document_id LIKE 'doc-%') """
 
 
+def _once(build: Callable) -> Callable:
+    """What is built for a folder stays in the shared folder for later queries of the application, as jobs share a stored table."""
+    known: dict = {}
+
+    def get(spark: SparkSession, *args):
+        key = (spark.sparkContext.applicationId, *args)
+        if key not in known:
+            known[key] = build(spark, *args)
+        return known[key]
+
+    return get
+
+
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.substring("card", 6, 9).cast("int")
     pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), k % n + 1)
@@ -88,8 +103,14 @@ def _off() -> tuple[Column, Column]:
     return F.when(F.substring("card", 6, 9).cast("int") % 5 == 1, 1).otherwise(0), F.when(F.month("start") % 7 == 1, 1).otherwise(0)
 
 
+@_once
+def _lines(spark: SparkSession, sf_dir: str, totals: bool = False) -> DataFrame:
+    """The lines of the laid-out words."""
+    return kept(statements.words_to_lines(laid_out(spark, sf_dir, totals)))
+
+
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = kept(statements.words_to_lines(laid_out(spark, sf_dir)))
+    lines = _lines(spark, sf_dir)
     found = kept(statements.statement_metadata(lines))
     parts = [statements.parse_word_statements(lines, found, n)[0] for n in ISSUERS]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
@@ -104,21 +125,21 @@ def parse_word_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_DOCS + "SELECT document_id, issuer, CASE issuer WHEN 'Chase' THEN 'Amazon Prime Visa' WHEN 'Capital One' THEN 'Savor' ELSE 'Autograph Visa' END AS product, date_trunc('month', min(posted_date))::DATE AS cycle_start, last_day(min(posted_date)) AS cycle_end, CASE WHEN issuer <> 'Capital One' THEN max(holder) END AS cardholder FROM docs GROUP BY document_id, issuer")
 def statement_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Issuer, product, period and holder of each laid-out statement, between headings in capitals that are no names."""
-    lines = statements.words_to_lines(laid_out(spark, sf_dir))
+    lines = _lines(spark, sf_dir)
     return statements.statement_metadata(lines).select("document_id", "issuer", "product", "cycle_start", "cycle_end", "cardholder")
 
 
 @query(_DOCS + ", n AS (SELECT document_id, issuer, count(*) FILTER (amount < 0) AS a, count(*) FILTER (amount >= 0) AS b FROM docs GROUP BY 1, 2) SELECT document_id, CAST(a + b + CASE issuer WHEN 'Chase' THEN 7 WHEN 'Capital One' THEN 5 ELSE 6 END AS BIGINT) AS lines, CAST(ceil((a + b + CASE issuer WHEN 'Chase' THEN 7 WHEN 'Capital One' THEN 5 ELSE 6 END) / 60) AS BIGINT) AS pages FROM n")
 def words_to_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words to lines: as many lines and pages as were laid out."""
-    lines = statements.words_to_lines(laid_out(spark, sf_dir))
+    lines = _lines(spark, sf_dir)
     return lines.groupBy("document_id").agg(F.count("*").alias("lines"), F.count_distinct("page").alias("pages"))
 
 
 @query(_DOCS + "SELECT document_id, 'transactions' AS section, CAST(coalesce(sum(amount) FILTER (amount >= 0), 0) AS DOUBLE) AS extracted, CAST(coalesce(sum(amount) FILTER (amount >= 0), 0) + 1 AS DOUBLE) AS declared FROM docs WHERE issuer = 'Capital One' AND k % 5 = 1 GROUP BY 1")
 def validate_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statements whose rows don't add up to their printed total: those with a planted error."""
-    lines = kept(statements.words_to_lines(laid_out(spark, sf_dir, totals=True)))
+    lines = _lines(spark, sf_dir, True)
     found = statements.statement_metadata(lines)
     rows, _ = statements.parse_word_statements(lines, found, "Capital One")
     declared = statements.declared_totals(lines.join(found.where("issuer = 'Capital One'").select("document_id"), "document_id", "left_semi"))
@@ -128,7 +149,7 @@ def validate_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_DOCS + "SELECT document_id, CAST(100 + sum(amount) AS DOUBLE) AS calculated, CAST(101 + sum(amount) AS DOUBLE) AS new_balance FROM docs WHERE issuer = 'Capital One' AND month(posted_date) % 7 = 1 GROUP BY 1")
 def validate_account_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statements whose balances don't add up: those with a planted error."""
-    found = statements.validate_account_summary(statements.words_to_lines(laid_out(spark, sf_dir, totals=True)))
+    found = statements.validate_account_summary(_lines(spark, sf_dir, True))
     return found.select("document_id", F.col("calculated").cast("double").alias("calculated"), F.col("new_balance").cast("double").alias("new_balance"))
 
 
@@ -279,3 +300,63 @@ def full_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.option("header", True).option("escape", '"').csv(f"{folder}/ledger.csv")
     leaks = F.lit(any(c in rows.columns for c in ("source_file", "source_document_id")))
     return rows.select("txn_id", F.col("posted_date").cast("date").alias("posted_date"), F.col("amount").cast("double").alias("amount"), "raw_description", "category", "classified_by", leaks.alias("leaks"))
+
+
+# --- the landing folder -----------------------------------------------------------------------------------------------
+
+_INGESTED = """, own AS (SELECT *, CAST(row_number() OVER (PARTITION BY card, posted_date, amount, raw_description ORDER BY source_row) - 1 AS VARCHAR) AS occ FROM raw WHERE source_document_id LIKE 'doc-%'),
+landed AS (SELECT '{prefix}' || card AS card, posted_date, amount, raw_description, occ, source_document_id FROM own),
+rows AS (SELECT *, substring(sha256(card || '|' || CAST(posted_date AS VARCHAR) || '|' || CAST(amount AS VARCHAR) || '|' || raw_description || '|' || occ), 1, 16) AS txn_id FROM landed)
+"""
+
+
+def _cells(rows: DataFrame) -> DataFrame:
+    money = F.abs("amount").cast("string")
+    debit, credit = F.when(F.col("amount") >= 0, money), F.when(F.col("amount") < 0, money)
+    return rows.select("document_id", "card", "source_row", F.date_format("posted_date", "MM/dd/yyyy").alias("Date"), F.col("raw_description").alias("Description"), debit.alias("Debit"), credit.alias("Credit"))
+
+
+@_once
+def _ingested(spark: SparkSession, sf_dir: str) -> str:
+    """A store after the monthly documents came in twice; built once for each application and folder."""
+    folder = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
+    line = F.concat_ws(",", "Date", F.concat(F.lit('"'), "Description", F.lit('"')), F.coalesce("Debit", F.lit("")), F.coalesce("Credit", F.lit("")))
+    lines = _cells(_rows(spark, sf_dir)).groupBy("document_id", "card").agg(F.array_sort(F.collect_list(F.struct("source_row", line.alias("line")))).alias("lines"))
+    content = F.encode(F.concat(F.lit("Date,Description,Debit,Credit\n"), F.array_join(F.transform("lines", lambda r: r["line"]), "\n")), "UTF-8")
+    docs = kept(lines.select("document_id", "card", F.lit(False).alias("at_root"), F.concat("card", F.lit("/"), "document_id", F.lit(".csv")).alias("source_file"), F.lit("csv").alias("suffix"), content.alias("content")))
+    ingest(docs, folder, t.aliases(spark))
+    ingest(docs, folder, t.aliases(spark))
+    return folder
+
+
+@query(_INGESTED.format(prefix="") + "SELECT txn_id, card, posted_date, CAST(amount AS DOUBLE) AS amount, raw_description FROM rows")
+def ingested_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger after the monthly documents came in twice: every row once."""
+    rows = store.read_ledger(spark, f"{_ingested(spark, sf_dir)}/ledger")
+    return rows.select("txn_id", "card", "posted_date", F.col("amount").cast("double").alias("amount"), "raw_description")
+
+
+@query("SELECT DISTINCT source_document_id AS document_id, n, CASE n WHEN 1 THEN 'parsed' ELSE 'duplicate_document' END AS status, CAST(CASE n WHEN 1 THEN count(*) OVER (PARTITION BY source_document_id, n) ELSE 0 END AS BIGINT) AS row_count, 'generic' AS parser FROM raw, (VALUES (1), (2)) AS c(n) WHERE source_document_id LIKE 'doc-%'")
+def ingested_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the manifest says of each document, of both times it came in."""
+    found = store.read_table(spark, _ingested(spark, sf_dir), "manifest")
+    return found.select("document_id", F.when(F.col("status") == "parsed", 1).otherwise(2).alias("n"), "status", "row_count", "parser")
+
+
+@query(_INGESTED.format(prefix="") + "SELECT txn_id, source_document_id, CAST(occ AS BIGINT) AS source_occurrence FROM rows")
+def ingested_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links of all transactions to their documents, each once."""
+    return store.read_table(spark, _ingested(spark, sf_dir), "sources").select("txn_id", "source_document_id", "source_occurrence")
+
+
+@query(_INGESTED.format(prefix="card=") + "SELECT txn_id, card, posted_date, CAST(amount AS DOUBLE) AS amount, raw_description FROM rows")
+def streamed_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger after a stream took a folder of exports, half of which came before its second run."""
+    root = f"{shared_folder(spark)}/landing-{uuid.uuid4().hex}"
+    rows = _cells(_rows(spark, sf_dir))
+    for half in (0, 1):
+        part = rows.where(F.crc32("card") % 2 == half).repartition("card").sortWithinPartitions("card", "source_row").drop("document_id", "source_row")
+        part.write.mode("append").partitionBy("card").option("header", True).csv(f"{root}/inbox")
+        stream_ingest(spark, f"{root}/inbox", f"{root}/out", f"{root}/checkpoint", t.aliases(spark)).awaitTermination()
+    found = store.read_ledger(spark, f"{root}/out/ledger")
+    return found.select("txn_id", "card", "posted_date", F.col("amount").cast("double").alias("amount"), "raw_description")
