@@ -22,8 +22,8 @@ from ._text import doc_chunks, string_bytes, words
 
 #: Labelled rows a language is fitted to, about (drawn by a hash of the id), and bytes of text in a task's batch of counts.
 FIT_ROWS = 2_000
-#: Buckets of trigrams, most languages, smoothing, rounds of expectation-maximisation, words known by heart in a task.
-BUCKETS, MOST_LANGUAGES, SMOOTH, ROUNDS, MEMORY = 1 << 16, 256, 0.05, 25, 200_000
+#: Buckets of trigrams, most languages, smoothing, rounds of expectation-maximisation.
+BUCKETS, MOST_LANGUAGES, SMOOTH, ROUNDS = 1 << 16, 256, 0.05, 25
 #: The log-likelihood that one more language has to add, as a share of log(words): BIC has 0.5 for one parameter.
 PENALTY = 0.5
 _MARKS = " \t.,;:!?|\"'()[]{}<>*-_/\\"
