@@ -12,6 +12,7 @@ from .recurring import bill_charges
 from .reports import charges, month_of
 
 UNASSIGNED = "Unassigned"
+#: The least large charge, how many of them and of the largest changes are shown.
 LARGE_MIN, LARGE_MOST, MOVERS = 200, 10, 6
 
 
