@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import col, slugify, strip
-from .matching import Test, first_match, holds, valid_patterns, with_values
+from .matching import Test, first_text_match, holds, valid_patterns, with_values
 
 FINAL = ("manual", "rule", "merchant")
 
@@ -31,7 +31,7 @@ def classify(ledger: DataFrame, rules: DataFrame, defaults: DataFrame) -> DataFr
     """The first rule (rule_idx, kind, pattern, category, subcategory) that holds sets category, subcategory and
     classified_by `rule`; else the merchant's default (`merchant`); else all three are null. Earlier values go."""
     rows = _rules(rules)
-    found = first_match(ledger, _texts(), [_test(r) for r in rows], "_rule")
+    found = first_text_match(ledger, _texts(), [_test(r) for r in rows], "_rule")
     own = defaults.select(F.col("canonical").alias("_canonical"), F.col("category").alias("_category"), F.coalesce("subcategory", F.lit("")).alias("_subcategory"))
     found = with_values(found, "_rule", {r["rule_idx"]: (r["category"] or "", r["subcategory"] or "") for r in rows}, ("_c", "_s"))
     found = found.join(own, found["canonical_merchant"] == own["_canonical"], "left")

@@ -86,20 +86,32 @@ def _required(tree) -> list[str] | None:
     return max(usable, key=lambda c: min(map(len, c)), default=None)
 
 
-def first_match(rows: DataFrame, texts: dict[str, Column], tests: Sequence[Test], name: str, chain: int = CHAIN) -> DataFrame:
-    """rows with `name`, the index of the first test that holds; null if none does. `texts` are the columns that tests are of, each
-    with the text to test (of that column alone, null as empty).
+def first_match(rows: DataFrame, keys: list[str], tests: Sequence[tuple[int, Column]], name: str) -> DataFrame:
+    """rows with `name`, the index of the first condition that holds for their keys; null if none does.
+
+    Few conditions run on each row. Many run once for each distinct combination of the keys, which are then joined back (null-safe)."""
+    first = F.coalesce(*[F.when(t, F.lit(i)) for i, t in tests]) if tests else F.lit(None).cast("int")
+    if len(tests) <= CHAIN:
+        return rows.withColumn(name, first)
+    found = rows.select(*keys).distinct().withColumn(name, first)
+    found = found.where(F.col(name).isNotNull()).select(*[F.col(k).alias(f"_{k}") for k in keys], name)
+    same = reduce(lambda a, b: a & b, [rows[k].eqNullSafe(found[f"_{k}"]) for k in keys])
+    return rows.join(found, same, "left").drop(*[f"_{k}" for k in keys])
+
+
+def first_text_match(rows: DataFrame, texts: dict[str, Column], tests: Sequence[Test], name: str, chain: int = CHAIN) -> DataFrame:
+    """first_match for tests of texts. `texts` are the columns that tests are of, each with the text to test (of that column alone).
 
     Few tests run on each row, in order. With more, each is indexed: an equality by its value, a pattern by the rarest gram of
     each literal that it can't do without. The distinct combinations of the columns fetch candidates by their own grams and values,
     only those are tried, and the results are joined back (null-safe). Patterns without a literal are tried on all."""
     spark, values = rows.sparkSession, list(texts.values())
     if len(tests) <= chain:
-        first = [F.when(reduce(lambda a, b: a | b, [_holds(values[k], how, v) for k, how, v in conditions]), F.lit(i)) for i, conditions in tests]
-        return rows.withColumn(name, F.coalesce(*first) if first else F.lit(None).cast("int"))
+        return first_match(rows, list(texts), [(i, holds((i, conditions), texts)) for i, conditions in tests], name)
     indexed, open_ = _index(tests)
     keys = {c: f"_{i}" for i, c in enumerate(texts)}
     each = rows.select(*texts).distinct().select(*[F.col(f"`{c}`").alias(k) for c, k in keys.items()], *[t.alias(f"_t{i}") for i, t in enumerate(values)])
+
     def tokens_of(i: int) -> Column:
         text = F.coalesce(f"_t{i}", F.lit(""))
         own = F.array_distinct(F.concat(F.array(F.concat(F.lit("="), F.upper(text))), _grams(_folded(text))))

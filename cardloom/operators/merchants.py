@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .matching import first_match, valid_patterns, with_values
+from .matching import first_text_match, valid_patterns, with_values
 
 
 def canonicalize(ledger: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -17,7 +17,7 @@ def canonicalize(ledger: DataFrame, aliases: DataFrame) -> DataFrame:
     entries = sorted(valid_patterns(aliases.where("kind = 'regex'").select("entry_idx", "canonical", "kind", "pattern"), "pattern") + aliases.where("kind = 'exact'").select("entry_idx", "canonical", "kind", "pattern").collect(), key=lambda r: r["entry_idx"])
     texts = {c: F.coalesce(F.col(c), F.lit("")) for c in ("normalized_merchant", "raw_description")}
     tests = [(r["entry_idx"], [(0, "equal", r["pattern"])] if r["kind"] == "exact" else [(0, "regex", r["pattern"]), (1, "regex", r["pattern"])]) for r in entries]
-    found = first_match(ledger, texts, tests, "_entry")
+    found = first_text_match(ledger, texts, tests, "_entry")
     found = with_values(found, "_entry", {r["entry_idx"]: (r["canonical"],) for r in entries}, ("_name",))
     manual = (F.col("merchant_source") == "manual") & F.col("canonical_merchant").isNotNull() & (F.col("canonical_merchant") != "")
     manual = F.coalesce(manual, F.lit(False))

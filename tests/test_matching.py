@@ -41,7 +41,7 @@ def test_indexed_aliases_equal_the_chain(spark, monkeypatch):
         return sorted(map(tuple, classify.classify(named, rules, merchants.merchant_defaults(aliases)).select("txn_id", "canonical_merchant", "merchant_source", "category", "subcategory", "classified_by").collect()))
 
     want = run()
-    monkeypatch.setattr(matching.first_match, "__defaults__", (0,))
+    monkeypatch.setattr(matching.first_text_match, "__defaults__", (0,))
     monkeypatch.setattr(matching.with_values, "__defaults__", (0,))
     assert run() == want and len({r[1] for r in want}) > 8
 
