@@ -7,7 +7,8 @@ among the output shards by a binary tree: each node deals half of its draws, a u
 child, so the counts by source in a child are multivariate hypergeometric, and the shards' quotas add up to the sources'
 exactly. A shard's quota of a source takes the next blocks of the source's permuted list, disjoint from those of other
 shards, and a shard orders its documents by a hash of its own. All choices follow from hashes and the seed: reruns
-agree. DataFrame functions only; the tables of sources and draws have at most 257 draws a source and pass.
+agree. DataFrame functions only; the tables of sources and draws have at most 257 draws a source and pass, and
+no window spans all sources or all draws.
 """
 
 from __future__ import annotations
@@ -36,6 +37,23 @@ def size_in_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def before(rows: DataFrame, order: list[str], sums: dict[str, Column], all_: str = "all_", prior: str = "") -> DataFrame:
+    """`rows` with the sums over the rows that come before in `order`, and those over all rows, each as a prefix and its name.
+
+    Ranges of the order are summed on their own, and the sums of the ranges before are added, so a task holds a range at most.
+    """
+    parts = stored(rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
+    own = W.partitionBy("range").orderBy(*order)
+    inside = parts.withColumns({f"_in_{n}": F.sum(x).over(own) - x for n, x in sums.items()})
+    ranges = parts.groupBy("range").agg(*[F.sum(x).alias(f"_of_{n}") for n, x in sums.items()])  # a row a partition
+    lower = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    ranges = ranges.select("range", *[
+        c for n in sums for c in (F.coalesce(F.sum(f"_of_{n}").over(lower), F.lit(0)).alias(f"_to_{n}"), F.sum(f"_of_{n}").over(W.partitionBy()).alias(f"{all_}{n}"))
+    ])
+    out = inside.join(F.broadcast(ranges), "range").withColumns({f"{prior}{n}": F.col(f"_to_{n}") + F.col(f"_in_{n}") for n in sums})
+    return out.drop("range", *[f"_{k}_{n}" for k in ("in", "to") for n in sums])
+
+
 def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """(key, source_size, target) of each source of `sizes` (key, source_size): the weights repeat in key order and share
     `share` times all sizes; a target stops at `most` times its source's size and the excess is shared anew.
@@ -43,16 +61,14 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SH
     The sources that stop are the first ones by size over weight, so one pass in that order finds the level at which the
     others meet: the largest of (what is left) / (weights left).
     """
-    order = W.orderBy("key")
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.row_number().over(order) - 1) % len(weights) + 1)
-    by_cap = W.orderBy(F.col("cap") / F.col("w"), "key").rowsBetween(W.unboundedPreceding, -1)
-    everything = W.partitionBy()
-    table_ = sizes.withColumn("w", weight).withColumn("cap", F.col("source_size") * float(most)).withColumns({
-        "left": share * F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(by_cap), F.lit(0.0)),
-        "w_left": F.sum("w").over(everything) - F.coalesce(F.sum("w").over(by_cap), F.lit(0.0)),
-    })
-    level = F.max(F.col("left") / F.col("w_left")).over(everything)
-    return table_.select("key", "source_size", F.least("cap", level * F.col("w")).alias("target"))
+    numbered = before(sizes, ["key"], {"n": F.lit(1)})
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("n") % len(weights) + 1).cast("int"))
+    capped = numbered.select("key", "source_size", weight.alias("w"), (F.col("source_size") * float(most)).alias("cap"))
+    capped = capped.withColumn("stops", F.col("cap") / F.col("w"))
+    table_ = before(capped, ["stops", "key"], {"cap": F.col("cap"), "w": F.col("w"), "source_size": F.col("source_size")}, "all_", "prior_")
+    left = (share * F.col("all_source_size") - F.col("prior_cap")) / (F.col("all_w") - F.col("prior_w"))
+    level = table_.agg(F.max(left)).first()[0]
+    return table_.select("key", "source_size", F.least("cap", F.lit(level).cast("double") * F.col("w")).alias("target"))
 
 
 def _edge(units: DataFrame, keys: list[str], unit: str, tag: str) -> DataFrame:
@@ -65,13 +81,26 @@ def _edge(units: DataFrame, keys: list[str], unit: str, tag: str) -> DataFrame:
 
 
 def split_draws(draws: DataFrame, levels: int) -> DataFrame:
-    """`draws` (key, pass, block) with the shard that each goes to: the tree deals out quotas, the quotas take blocks."""
-    units = draws.withColumn("unit", F.row_number().over(W.partitionBy("key").orderBy("pass", "block"))).withColumn("node", F.lit(1))
+    """`draws` (key, pass, block) with the shard that each goes to: the tree deals out quotas, the quotas take blocks.
+
+    A node's first half are its draws of the smallest hashes, half of them to one. Counts by leading digits of the hash tell which
+    digits the last of these has; only draws with these are ordered, so no task holds all draws of a node.
+    """
+    units = stored(draws.withColumn("unit", F.row_number().over(W.partitionBy("key").orderBy("pass", "block"))).withColumn("node", F.lit(1)))
     for level in range(levels):
+        drawn = units.withColumn("draw", F.struct(_digest(F.lit(f"tree{level}"), "key", F.col("unit").cast("string")).alias("mark"), "key", "unit"))
+        drawn = drawn.withColumn("bucket", F.substring("draw.mark", 1, 3))
+        # The bucket that holds the last draw of a node's first half, by counts, and that draw by its place in the bucket alone.
+        counts = drawn.groupBy("node", "bucket").agg(F.count("*").alias("n"))
         inside = W.partitionBy("node")
-        rank = F.row_number().over(inside.orderBy(_digest(F.lit(f"tree{level}"), "key", F.col("unit").cast("string")), "key", "unit"))
-        units = units.withColumns({"rank": rank, "all": F.count("*").over(inside)})
-        units = units.withColumn("node", F.col("node") * 2 + (F.col("rank") > F.floor((F.col("all") + F.col("node") % 2) / 2)).cast("int"))
+        half = F.floor((F.sum("n").over(inside) + F.col("node") % 2) / 2)
+        counts = counts.withColumns({"left": half - F.sum("n").over(inside.orderBy("bucket")) + F.col("n")})
+        edge = F.broadcast(counts.where("left between 1 and n").select("node", "bucket", "left"))  # a row a node
+        place = F.row_number().over(W.partitionBy("node").orderBy("draw"))
+        last = drawn.join(edge, ["node", "bucket"]).select("node", "left", "draw", place.alias("place")).where("place = left")
+        last = stored(last.select("node", F.col("draw").alias("last")))
+        right = ~F.coalesce(F.col("draw") <= F.col("last"), F.lit(False))
+        units = drawn.join(F.broadcast(last), "node", "left").select("key", "unit", (F.col("node") * 2 + right.cast("int")).alias("node"))
     shards = units.select("key", (F.col("node") - 2**levels).alias("shard"), F.row_number().over(W.partitionBy("key").orderBy("node", "unit")).alias("place"))
     listed = draws.withColumn("place", F.row_number().over(W.partitionBy("key").orderBy("pass", _digest(F.lit("list"), "key", F.col("pass").cast("string"), F.col("block").cast("string")), "block")))
     return listed.join(shards, ["key", "place"]).drop("place")
@@ -117,19 +146,19 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     fitting = by_doc.where("fits").select("key", "mark")
     # What is missing then is filled by documents left over: the largest that still fits, some times, and in the end the one
     # whose size is nearest to what is missing, if that is nearer than none.
-    short = stored(by_doc.where("edge").select("key", F.col("want_inside").alias("missing")))
+    gaps = stored(by_doc.where("edge").select("key", F.col("want_inside").alias("missing"), F.array().cast("array<struct<mark:string,block:int>>").alias("picked")))
     left = sized.where("size > 0").join(small(by_block.where("not fits").select("key", "block")), ["key", "block"])
     left = left.join(small(by_sub.where("fits").select("key", "block", "sub")), ["key", "block", "sub"], "left_anti")
-    used = stored(fitting.select("key", "mark"))
-    filling = used.limit(0).withColumn("block", F.lit(0))
+    left = left.join(small(stored(fitting)), ["key", "mark"], "left_anti").join(small(gaps.select("key", "missing")), "key")
+    left = stored(left.where("size < 2 * missing").select("key", "mark", "block", "size"))  # what is missing only shrinks
     for n in range(FILLS):
-        near = left.join(small(used), ["key", "mark"], "left_anti").join(small(short), "key").withColumn("off", F.abs(F.col("size") - F.col("missing")))
+        near = left.join(small(gaps), "key").where(~F.exists("picked", lambda p: p["mark"] == F.col("mark"))).withColumn("off", F.abs(F.col("size") - F.col("missing")))
         best = F.min(F.struct("off", "mark", "block", "size")).alias("f")
-        pick = near.where("off < missing" if n == FILLS - 1 else "size <= missing").groupBy("key").agg(best).select("key", "f.*")
-        pick = stored(pick.select("key", "mark", "block", "size"))
-        filling, used = filling.unionByName(pick.select("key", "mark", "block")), used.unionByName(pick.select("key", "mark"))
-        short = stored(short.join(pick.select("key", "size"), "key", "left").select("key", (F.col("missing") - F.coalesce("size", F.lit(0))).alias("missing")))
-    filling = filling.select("key", "mark", "block")
+        pick = near.where("off < missing" if n == FILLS - 1 else "size <= missing").groupBy("key").agg(best)
+        more = F.when(F.col("f").isNotNull(), F.array(F.struct("f.mark", "f.block"))).otherwise(F.array())
+        gaps = gaps.join(pick, "key", "left").select("key", (F.col("missing") - F.coalesce("f.size", F.lit(0))).alias("missing"), F.concat("picked", more).alias("picked"))
+        gaps = stored(gaps)
+    filling = gaps.select("key", F.explode("picked").alias("p")).select("key", "p.*")
     some_docs = fitting.unionByName(filling.select("key", "mark")).distinct().withColumn("by_doc", F.lit(True))
     some_subs = by_sub.where("fits").select("key", "block", "sub", F.lit(True).alias("by_sub"))
 

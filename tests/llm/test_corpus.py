@@ -662,3 +662,41 @@ def test_mix_comes_near_every_target_and_writes_its_shards(spark):
             assert a["shard"] < b["shard"] or not once or order[a["doc_id"], a["shard"]] < order[b["doc_id"], b["shard"]]
     ids = [r["doc_id"] for p in parts for r in p if r["shard"] == 0]
     assert ids != sorted(ids)
+
+
+def test_many_sources_and_draws_equal_a_plain_loop(spark):
+    rnd = random.Random(71)
+    names = ["z" if i == 2999 else f"s{i:05d}" for i in range(3000)]
+    sizes = {s: rnd.choice([0, 1, 7, 7, 300, 90_000]) for s in names}
+    w = {s: mixing.WEIGHTS[i % 3] for i, s in enumerate(sorted(names))}
+    total, level, stopped = 1.5 * sum(sizes.values()), 0.0, set()
+    while True:
+        level = (total - sum(2 * sizes[s] for s in stopped)) / sum(w[s] for s in names if s not in stopped)
+        over = {s for s in names if s not in stopped and 2 * sizes[s] < level * w[s]}
+        if not over:
+            break
+        stopped |= over
+    found = mixing.source_targets(spark.createDataFrame(sorted(sizes.items()), "key string, source_size long").repartition(7)).collect()
+    assert len(found) == len(names)
+    assert all(r["source_size"] == sizes[r["key"]] and abs(r["target"] - min(2 * sizes[r["key"]], level * w[r["key"]])) < 1e-6 for r in found)
+
+    draws = [(s, p, b) for s in ("s1", "s2", "z") for p in (1, 2) for b in range(rnd.choice([1, 40, 256]))] + [("one", 1, 5)]
+    digest = lambda *parts: hashlib.md5("|".join([mixing.SEED, *map(str, parts)]).encode()).hexdigest()
+    for some, levels in ((draws, 3), (draws[:1], 2), ([], 2)):
+        nodes = {1: [(k, i + 1) for k in {d[0] for d in some} for i in range(sum(d[0] == k for d in some))]}
+        for level in range(levels):
+            halves = {}
+            for node, units in nodes.items():
+                units.sort(key=lambda u: (digest(f"tree{level}", *u), u))
+                cut = (len(units) + node % 2) // 2
+                halves[2 * node], halves[2 * node + 1] = units[:cut], units[cut:]
+            nodes = halves
+        quotas = Counter((k, node - 2**levels) for node, units in nodes.items() for k, _ in units)
+        split = mixing.split_draws(spark.createDataFrame(some, "key string, pass int, block int"), levels).collect()
+        assert Counter((r["key"], r["shard"]) for r in split) == quotas
+        assert sorted((r["key"], r["pass"], r["block"]) for r in split) == sorted(some)
+
+
+def test_mix_of_one_source_and_of_no_words(spark):
+    assert {r["taken"] for r in mixing.mix_sources(docs(spark, [(1, "a b", None), (2, None, None), (3, "", "s")])).collect()} <= {0, 2, 4}
+    assert [r["taken"] for r in mixing.mix_sources(docs(spark, [(1, None, "a"), (2, " ", "b")])).collect()] == [0, 0]
