@@ -187,6 +187,22 @@ def test_strings_equal_brute_force(spark, most_classes):
     assert all(want[r["doc_id"]] == (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in found)
 
 
+def test_op8_removes_planted_passages_of_400_bytes_and_no_shorter_ones(spark, tmp_path):
+    rnd = random.Random(23)
+    text = lambda k: " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(4, 6))) for _ in range(k))
+    passages = {size: text(90)[:size] for size in (330, 399, 400, 460)}  # of 55 words and more
+    assert min(len(WORD.findall(p)) for p in passages.values()) > 50
+    rows, sizes = [], {}
+    for n, (size, passage) in enumerate(passages.items()):
+        for copy, (before, after) in enumerate((("X", "Y"), ("Z", "U"))):  # what stands beside a passage differs
+            doc = 10 * n + copy
+            rows.append((doc, text(40) + before + passage + after + text(40), "s0"))
+            sizes[doc] = size
+    docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in suffix_dedup.op8_suffix_sort(spark, str(tmp_path)).collect()}
+    assert found == {doc: (size, 1) if size >= 400 else (0, 0) for doc, size in sizes.items()}
+
+
 def test_suffix_order_sorts():
     rng = random.Random(4)
     snippets = ["".join(rng.choice("ab") for _ in range(rng.randint(3, 30))).encode() for _ in range(200)]
