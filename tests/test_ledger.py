@@ -271,3 +271,26 @@ def test_first_match_is_the_same_for_few_and_many_patterns(spark, monkeypatch):
     monkeypatch.setattr(matching, "CHAIN", 0)
     many = sorted((r["n"], r["hit"]) for r in matching.first_match(rows, ["text"], tests, "hit").collect())
     assert few == many == [(1, 8), (2, 7), (3, 9), (4, None)] or str(few) == str(many)
+
+
+def test_the_ledger_is_built_with_a_single_exchange(spark):
+    from cardloom.plans import testledger as t
+
+    rows = raw(spark, ("c", "2026-01-02", "4.25", "A", "a", "a.csv", 1))
+    plan = classify.classify_rows(identity.normalize(rows), t.aliases(spark), t.rules(spark))._jdf.queryExecution().optimizedPlan().toString()
+    whole = identity.normalize(rows)._jdf.queryExecution().executedPlan().toString()
+    assert whole.count("Exchange hashpartitioning") == 1
+    assert "Aggregate [txn_id" not in plan
+    assert identity.transaction_sources(rows)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_rows_with_equal_ids_count_once(spark):
+    # No card and an empty one give the same id, and so do these two with | in a card.
+    rows = raw(spark, (None, "2026-01-02", "4.25", "A", "b", "b.csv", 1), ("", "2026-01-02", "4.25", "A", "a", "a.csv", 1), ("a", "2026-01-01", "5.00", "2026-02-02|6.00|x", "d", "d.csv", 1), ("a|2026-01-01|5.00", "2026-02-02", "6.00", "x", "c", "c.csv", 1))
+    assert sorted(r["source_document_id"] for r in identity.normalize(rows).collect()) == ["a", "c"]
+
+
+def test_plain_texts_give_the_same_names(spark):
+    texts = ["  STORE 12 x", "#1\t#", "loc  7 us", "Üs us USA", "a  b c d e f g", "12345 a12345", "*", "", "ſtore 3", "x ", "us*us #é"]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in texts], "t string").select(identity.normalize_merchant("t")).collect()]
+    assert got == ["X", "#", "UNKNOWN", "ÜS", "A B C D E F", "A12345", "UNKNOWN", "UNKNOWN", "UNKNOWN", "X", "É"]
